@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farwheel.llm import langid, lines, packing
+from farwheel.llm import jaccard, langid, lines, packing, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,16 +25,29 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return jaccard.components_of(docs.select("doc_id", "text"), k=4, num=85, den=100)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = lines.dedup_lines(docs.select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cut = repeats.remove_repeats(docs.select("doc_id", "text"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_language_id": op4_language_id,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, by which all operators of this package split words.
@@ -115,6 +115,25 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+#: Bits of a bitmap of ids: a fixed size, whatever the data; full ones only stop sparing rows.
+BITS = 1 << 20
+
+
+def bitmap(rows: DataFrame, column: str) -> bytes:
+    """128 KB in which the hashed values of `column` are set: at most 33 rows of 4 KB reach the driver."""
+    bit = F.pmod(F.xxhash64(column), F.lit(BITS)) + 1
+    chunks = rows.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
+    maps = {r[0]: bytes(r[1]) for r in chunks}
+    return b"".join(maps.get(k, bytes(4096)) for k in range(1, BITS // 32768 + 1))
+
+
+def in_bitmap(column: str, marks: bytes) -> Column:
+    """False only for values that the bitmap doesn't hold; null for null."""
+    bit = F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.lit(marks), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.col(column).isNotNull() & (F.getbit(byte, bit.bitwiseAND(7)) == 1)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable, for every node in `edges` (a long, b long).
 
