@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farwheel.llm import jaccard, langid, lines, packing, repeats
+from farwheel.llm import jaccard, langid, lines, packing, repeats, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(docs.select("doc_id", "text"), k=4, num=85, den=100)
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = vectors.links(vecs.select("vec_id", "embedding"), threshold=0.9)
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = lines.dedup_lines(docs.select("doc_id", "text"))
@@ -46,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
