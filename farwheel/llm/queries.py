@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farwheel.llm import jaccard, langid, lines, packing, repeats, vectors
+from farwheel.llm import jaccard, langid, lines, packing, pages, repeats, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(docs.select("doc_id", "text"), k=4, num=85, den=100)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     found = vectors.links(vecs.select("vec_id", "embedding"), threshold=0.9)
@@ -52,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_html_extraction": op6_html_extraction,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
