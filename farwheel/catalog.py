@@ -1,16 +1,10 @@
-"""Every registered query of the transit engine with its SQL oracle."""
+"""Every registered query of the transit engine with its SQL oracle. Keys are operator ids with a name behind."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from farwheel import queries_groups, queries_journeys, queries_rows, queries_scalars, queries_sources
+from farwheel.registry import ORACLE_SQL, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "Query", "queries_groups", "queries_journeys", "queries_rows", "queries_scalars", "queries_sources"]
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+FLAGSHIP: Query = QUERIES.get("TOP-01_next_departures")
