@@ -1 +1,359 @@
-"""Queries."""
+"""Queries over filters (FLT) and joins (JN)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from farwheel import feed
+from farwheel.feed import DAY, LAT, LON, NOW, table
+from farwheel.functions import geo, text, times
+from farwheel.operators import spatial, timetable
+from farwheel.queries_scalars import BEARING, HAVERSINE, r3
+from farwheel.registry import query
+
+_PAIRS = "SELECT a.stop_id AS a, b.stop_id AS b, " + HAVERSINE.format("a.lat", "a.lon", "b.lat", "b.lon") + " AS m FROM v_stops a, v_stops b"
+_HERE = HAVERSINE.format("lat", "lon", LAT, LON)
+
+
+def _day():
+    return F.lit(DAY).cast("date")
+
+
+@query("FLT-01_service_runs_on", f"SELECT trip_id FROM v_trips t SEMI JOIN v_service_days s ON t.service_id = s.service_id AND s.day = DATE '{DAY}'")
+def service_runs_on(spark: SparkSession, sf: str) -> DataFrame:
+    return timetable.service_runs(feed.trips(spark, sf), feed.service_days(spark, sf), _day()).select("trip_id")
+
+
+@query("FLT-02_15_23_route_filters", "SELECT route_id, feed <> 0 AS scheduled_only, route_type IN (0, 3) AND feed = 0 AS matched, route_type IN (1, 7) AND feed = 0 AS rail FROM v_routes WHERE route_type NOT IN (7)")
+def route_filters(spark: SparkSession, sf: str) -> DataFrame:
+    own, t = F.col("feed") == 0, F.col("route_type")
+    return feed.routes(spark, sf).where(~t.isin(7)).select("route_id", (~own).alias("scheduled_only"), (t.isin(0, 3) & own).alias("matched"), (t.isin(1, 7) & own).alias("rail"))
+
+
+def _suspended(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.alerts(spark, sf).where("effect = 1").select("stop_id").distinct()
+
+
+@query("FLT-03_suspended_stops", "SELECT pattern_id, pos, stop_id FROM v_pattern_stops WHERE stop_id NOT IN (SELECT stop_id FROM v_alerts WHERE effect = 1)")
+def suspended_stops(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.pattern_stops(spark, sf).join(_suspended(spark, sf), "stop_id", "left_anti").select("pattern_id", "pos", "stop_id")
+
+
+_GONE = "SELECT DISTINCT s.trip_id, s.pos FROM v_stop_times s JOIN v_updates u ON s.trip_id = u.trip_id WHERE u.canceled OR (u.skipped AND u.pos = s.pos)"
+
+
+@query("FLT-04_unavailable", f"SELECT s.trip_id, s.pos FROM v_stop_times s ANTI JOIN ({_GONE}) g ON s.trip_id = g.trip_id AND s.pos = g.pos")
+def unavailable(spark: SparkSession, sf: str) -> DataFrame:
+    s = feed.stop_times(spark, sf)
+    return s.join(timetable.unavailable(s, feed.updates(spark, sf)), ["trip_id", "pos"], "left_anti").select("trip_id", "pos")
+
+
+@query(
+    "FLT-05_06_07_08_label_filters",
+    """SELECT event_id FROM (SELECT event_id, value, event_id % 7200 AS arr, event_id % 2 = 0 AS by_ride, min(event_id % 7200) OVER (PARTITION BY user_id) AS best FROM events)
+    WHERE value <= 500 AND by_ride AND arr <= best + 1800""",
+)
+def label_filters(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    e = table(spark, sf, "events").select("event_id", "user_id", F.col("value").alias("walk"), (F.col("event_id") % 7200).alias("arr"), (F.col("event_id") % 2 == 0).alias("by_ride"))
+    best = F.min("arr").over(Window.partitionBy("user_id"))
+    return e.withColumn("best", best).where("walk <= 500 and by_ride and arr <= best + 1800").select("event_id")
+
+
+_AT = "TIMESTAMP '2024-01-10 12:00:00'"
+
+
+@query("FLT-09_10_13_alerts_for", f"""SELECT id, route_id = 3 OR stop_id = 5 AS for_me FROM v_alerts WHERE start <= {_AT} AND ("end" IS NULL OR "end" > {_AT})""")
+def alerts_for(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.expr("TIMESTAMP_NTZ '2024-01-10 12:00:00'")
+    periods = F.array(F.struct("start", "end"))
+    active = F.exists(periods, lambda p: (p["start"].isNull() | (p["start"] <= at)) & (p["end"].isNull() | (p["end"] > at)))
+    return feed.alerts(spark, sf).where(active).select("id", ((F.col("route_id") == 3) | (F.col("stop_id") == 5)).alias("for_me"))
+
+
+@query("FLT-11_12_affected", "SELECT 'stop' AS what, stop_id AS id FROM v_stops WHERE stop_id IN (SELECT stop_id FROM v_alerts WHERE effect = 1) UNION ALL SELECT 'route', route_id FROM v_routes WHERE route_id IN (SELECT route_id FROM v_alerts WHERE effect = 4)")
+def affected(spark: SparkSession, sf: str) -> DataFrame:
+    a = feed.alerts(spark, sf)
+    stops = feed.stops(spark, sf).join(a.where("effect = 1").select("stop_id"), "stop_id", "left_semi").select(F.lit("stop").alias("what"), F.col("stop_id").alias("id"))
+    routes = feed.routes(spark, sf).join(a.where("effect = 4").select("route_id"), "route_id", "left_semi").select(F.lit("route").alias("what"), F.col("route_id").cast("bigint").alias("id"))
+    return stops.unionByName(routes)
+
+
+@query("FLT-14_strike", "SELECT id FROM v_alerts WHERE cause = 4 OR regexp_matches(header, '(?i)sciopero|agitazione sindacale')")
+def strike(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.alerts(spark, sf).where(text.is_strike(F.col("cause"), F.col("header"))).select("id")
+
+
+@query("FLT-16_vehicle_focus", "SELECT event_id FROM v_fixes f JOIN v_routes r ON f.k % 25 = r.route_id WHERE r.route_type IN (0, 3)")
+def vehicle_focus(spark: SparkSession, sf: str) -> DataFrame:
+    allowed = feed.routes(spark, sf).where(F.col("route_type").isin(0, 3)).select(F.col("route_id").alias("r"))
+    return feed.fixes(spark, sf).join(F.broadcast(allowed), F.col("k") % 25 == F.col("r"), "left_semi").select("event_id")
+
+
+@query(
+    "FLT-17_18_heading_matches",
+    f"""SELECT event_id FROM (SELECT event_id, k * 3.6::DOUBLE AS heading, {BEARING.format(45.0, 7.6, 'lat', 'lon')} AS b, {HAVERSINE.format(45.0, 7.6, 'lat', 'lon')} AS m FROM v_fixes)
+    WHERE m <= 3000 AND least(abs(heading - b) % 360, 360 - abs(heading - b) % 360) <= 90""",
+)
+def heading_matches(spark: SparkSession, sf: str) -> DataFrame:
+    at = feed.d(45), feed.d(7.6), F.col("lat"), F.col("lon")
+    ok = (geo.haversine(*at) <= 3000) & (geo.bearing_delta(F.col("k") * feed.d(3.6), geo.bearing(*at)) <= 90)
+    return feed.fixes(spark, sf).where(ok).select("event_id")
+
+
+_TAGS = ("highway", "residential", "footway", "steps", "motorway", "service")
+
+
+@query(
+    "FLT-19_20_21_way_classes",
+    """SELECT p_partkey AS way_id, CASE p_partkey % 6 WHEN 1 THEN 'footway' WHEN 2 THEN 'steps' WHEN 3 THEN NULL WHEN 4 THEN 'road' ELSE 'road' END AS kind,
+    p_partkey % 6 NOT IN (1, 2) AS bus, CASE p_partkey % 4 WHEN 0 THEN 'signals' WHEN 1 THEN 'zebra' WHEN 2 THEN 'uncontrolled' ELSE 'none' END AS crossing FROM part""",
+)
+def way_classes(spark: SparkSession, sf: str) -> DataFrame:
+    from farwheel.functions import osm
+
+    k = F.col("p_partkey")
+    highway = F.element_at(F.array(*map(F.lit, ("residential", "footway", "steps", "motorway", "service", "tertiary"))), (k % 6 + 1).cast("int"))
+    crossing = F.element_at(F.array(*map(F.lit, ("traffic_signals", "marked", "uncontrolled", "no"))), (k % 4 + 1).cast("int"))
+    tags = F.create_map(F.lit("highway"), highway, F.lit("crossing"), crossing)
+    return table(spark, sf, "part").select(k.alias("way_id"), tags.alias("t")).select("way_id", osm.foot_kind(F.col("t")).alias("kind"), osm.bus_way(F.col("t")).alias("bus"), osm.crossing_type(F.col("t")).alias("crossing"))
+
+
+@query("FLT-24_25_bbox", "SELECT event_id FROM v_fixes WHERE lat BETWEEN 45.0 AND 45.02 AND lon BETWEEN 7.61 AND 7.63")
+def bbox(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.fixes(spark, sf).where(F.col("lat").between(45.0, 45.02) & F.col("lon").between(7.61, 7.63)).select("event_id")
+
+
+@query("FLT-22_corridor", "SELECT DISTINCT f.event_id FROM v_fixes f SEMI JOIN v_stops s ON abs(floor(f.lat / 0.002::DOUBLE) - floor(s.lat / 0.002::DOUBLE)) <= 1 AND abs(floor(f.lon / 0.002::DOUBLE) - floor(s.lon / 0.002::DOUBLE)) <= 1")
+def corridor(spark: SparkSession, sf: str) -> DataFrame:
+    y, x = geo.cell(F.col("lat"), F.col("lon"), 0.002, 0.002)
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    marked = feed.stops(spark, sf).select(y.alias("y"), x.alias("x")).distinct().withColumn("a", F.explode(near)).withColumn("b", F.explode(near)).select((F.col("y") + F.col("a")).alias("y"), (F.col("x") + F.col("b")).alias("x")).distinct()
+    return feed.fixes(spark, sf).withColumn("y", y).withColumn("x", x).join(marked, ["y", "x"], "left_semi").select("event_id")
+
+
+@query("FLT-27_stale_feed", "SELECT kind, max(ts) < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 90 SECOND AS stale FROM v_fixes GROUP BY kind")
+def stale_feed(spark: SparkSession, sf: str) -> DataFrame:
+    limit = F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00' - INTERVAL 90 SECONDS")
+    return feed.fixes(spark, sf).groupBy("kind").agg((F.max("ts") < limit).alias("stale"))
+
+
+@query("FLT-28_29_tight_usable", "SELECT event_id, value < 120 AND event_id % 3 <> 0 AS tight, CASE WHEN event_id % 5 > 0 AND value > 70 THEN event_id % 360 END AS heading FROM events")
+def tight_usable(spark: SparkSession, sf: str) -> DataFrame:
+    e, v = F.col("event_id"), F.col("value")
+    return table(spark, sf, "events").select("event_id", ((v < 120) & (e % 3 != 0)).alias("tight"), F.when((e % 5 > 0) & (v / 100 > 0.7), e % 360).alias("heading"))
+
+
+@query("FLT-26_30_31_gates", "SELECT count(*) AS nodes, count(*) >= 50 AS enough, max(lat) - min(lat) < 1 AS tight FROM v_stops")
+def gates(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.stops(spark, sf).agg(F.count("*").alias("nodes"), (F.count("*") >= 50).alias("enough"), (F.max("lat") - F.min("lat") < 1).alias("tight"))
+
+
+# -- joins ----------------------------------------------------------------------------------------------------------
+
+
+@query("JN-01_dictionary_join", "SELECT s.trip_id, s.seq, t.route_id, t.service_id FROM v_raw_stop_times s JOIN v_trips t ON s.trip_id = t.trip_id JOIN v_stops x ON s.stop_id = x.stop_id")
+def dictionary_join(spark: SparkSession, sf: str) -> DataFrame:
+    s = feed.raw_stop_times(spark, sf).join(feed.stops(spark, sf).select("stop_id"), "stop_id", "left_semi")
+    return s.join(feed.trips(spark, sf).select("trip_id", "route_id", "service_id"), "trip_id").select("trip_id", "seq", "route_id", "service_id")
+
+
+@query("JN-02_stop_to_patterns", "SELECT s.stop_id, p.pattern_id, p.pos FROM v_stops s JOIN v_pattern_stops p ON s.stop_id = p.stop_id")
+def stop_to_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.stops(spark, sf).join(feed.pattern_stops(spark, sf), "stop_id").select("stop_id", "pattern_id", "pos")
+
+
+_VEHICLE = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id * 2 END AS trip_id, CASE WHEN event_id % 3 < 2 THEN CAST(event_id % 40 AS INT) END AS route_id, event_id % 100 AS at_stop, CAST(event_id % 9 AS INT) AS at_seq FROM events"
+
+
+def _vehicles(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", F.when(e % 3 == 0, e * 2).alias("v_trip"), F.when(e % 3 < 2, (e % 40).cast("int")).alias("v_route"), (e % 100).alias("at_stop"), (e % 9).cast("int").alias("at_seq"))
+
+
+@query(
+    "JN-03_05_vehicle_route",
+    f"SELECT v.event_id, t.trip_id, coalesce(t.route_id, r.route_id) AS route_id FROM ({_VEHICLE}) v LEFT JOIN v_trips t ON v.trip_id = t.trip_id LEFT JOIN v_routes r ON v.route_id = r.route_id",
+)
+def vehicle_route(spark: SparkSession, sf: str) -> DataFrame:
+    t = feed.trips(spark, sf).select("trip_id", F.col("route_id").alias("t_route"))
+    r = feed.routes(spark, sf).select("route_id")
+    v = _vehicles(spark, sf).join(t, F.col("v_trip") == F.col("trip_id"), "left").join(F.broadcast(r), F.col("v_route") == F.col("route_id"), "left")
+    return v.select("event_id", "trip_id", F.coalesce("t_route", "route_id").alias("route_id"))
+
+
+@query(
+    "JN-04_vehicle_position",
+    f"""SELECT v.event_id, coalesce(min(s.pos) FILTER (s.stop_id = v.at_stop), min(s.pos) FILTER (s.seq = v.at_seq)) AS pos
+    FROM ({_VEHICLE}) v JOIN v_stop_times s ON v.trip_id = s.trip_id GROUP BY v.event_id""",
+)
+def vehicle_position(spark: SparkSession, sf: str) -> DataFrame:
+    s = feed.stop_times(spark, sf)
+    both = _vehicles(spark, sf).join(s, F.col("v_trip") == s["trip_id"])
+    return both.groupBy("event_id").agg(F.coalesce(F.min(F.when(F.col("stop_id") == F.col("at_stop"), F.col("pos"))), F.min(F.when(F.col("seq") == F.col("at_seq"), F.col("pos")))).alias("pos"))
+
+
+DELAYS = """SELECT * FROM (SELECT s.trip_id, s.pos, last_value(u.delay IGNORE NULLS) OVER (PARTITION BY s.trip_id ORDER BY s.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS delay
+    FROM v_stop_times s LEFT JOIN (SELECT trip_id, pos, arg_max(delay, event_id) AS delay FROM v_updates GROUP BY ALL) u ON s.trip_id = u.trip_id AND s.pos = u.pos) WHERE delay IS NOT NULL"""
+
+
+@query("JN-06_delay_asof", DELAYS)
+def delay_asof(spark: SparkSession, sf: str) -> DataFrame:
+    return timetable.delay_asof(feed.stop_times(spark, sf), feed.updates(spark, sf))
+
+
+@query(
+    "JN-07_cross_day_join",
+    f"""SELECT trip_id, day_shift, base + day_shift * 86400 AS dep FROM v_trips t, (SELECT unnest([0, -1, 1]) AS day_shift)
+    WHERE EXISTS (SELECT 1 FROM v_service_days s WHERE s.service_id = t.service_id AND s.day = DATE '{DAY}' + day_shift)""",
+)
+def cross_day_join(spark: SparkSession, sf: str) -> DataFrame:
+    rows = timetable.day_offsets(feed.trips(spark, sf), timetable.DAY)
+    on = timetable.service_runs(rows, feed.service_days(spark, sf), F.date_add(_day(), F.col("day_shift")))
+    return on.select("trip_id", "day_shift", (F.col("base") + F.col("offset")).alias("dep"))
+
+
+@query("JN-08_radius_join", f"SELECT f.event_id, s.stop_id, round({HAVERSINE.format('f.lat', 'f.lon', 's.lat', 's.lon')}, 3) AS metres FROM v_fixes f JOIN v_stops s ON {HAVERSINE.format('f.lat', 'f.lon', 's.lat', 's.lon')} <= 200")
+def radius_join(spark: SparkSession, sf: str) -> DataFrame:
+    near = spatial.within(feed.fixes(spark, sf).select("event_id", "lat", "lon"), spatial.second(feed.stops(spark, sf), "stop_id", "lat", "lon"), 200)
+    return near.select("event_id", F.col("stop_id2").alias("stop_id"), r3("metres").alias("metres"))
+
+
+@query("JN-09_stops_near", f"SELECT stop_id, round({_HERE}, 3) AS metres FROM v_stops WHERE {_HERE} <= 400 AND stop_id IN (SELECT stop_id FROM v_pattern_stops)")
+def stops_near(spark: SparkSession, sf: str) -> DataFrame:
+    served = feed.stops(spark, sf).join(feed.pattern_stops(spark, sf).select("stop_id"), "stop_id", "left_semi")
+    m = geo.haversine(F.col("lat"), F.col("lon"), feed.d(LAT), feed.d(LON))
+    return served.where(m <= 400).select("stop_id", r3(m).alias("metres"))
+
+
+@query("JN-10_footpath_selfjoin", f"SELECT a AS from_stop, b AS to_stop, round(m, 3) AS metres FROM ({_PAIRS}) WHERE a <> b AND m <= 400")
+def footpath_selfjoin(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.footpaths(feed.stops(spark, sf)).withColumn("metres", r3("metres"))
+
+
+@query(
+    "JN-11_nearest_snap",
+    f"""SELECT event_id, stop_id, round(m, 3) AS metres FROM (SELECT f.event_id, s.stop_id, {HAVERSINE.format('f.lat', 'f.lon', 's.lat', 's.lon')} AS m,
+    row_number() OVER (PARTITION BY f.event_id ORDER BY {HAVERSINE.format('f.lat', 'f.lon', 's.lat', 's.lon')}, s.stop_id) AS k FROM v_fixes f JOIN v_stops s ON abs(f.lat - s.lat) < 0.01) WHERE k = 1 AND m < 150""",
+)
+def nearest_snap(spark: SparkSession, sf: str) -> DataFrame:
+    near = spatial.within(feed.fixes(spark, sf).select("event_id", "lat", "lon"), spatial.second(feed.stops(spark, sf), "stop_id", "lat", "lon"), 150).where("metres < 150")
+    return spatial.nearest(near, ["event_id"], "metres", "stop_id2").select("event_id", F.col("stop_id2").alias("stop_id"), r3("metres").alias("metres"))
+
+
+_SEG = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))))"
+
+
+@query(
+    "JN-12_13_nearest_edges",
+    f"""WITH e AS (SELECT s.pattern_id, s.pos, (a.lon - 7.6::DOUBLE) * c AS ax, (a.lat - 45.0::DOUBLE) * 111194.9266::DOUBLE AS ay, (b.lon - 7.6::DOUBLE) * c AS bx, (b.lat - 45.0::DOUBLE) * 111194.9266::DOUBLE AS by_
+      FROM v_pattern_stops s JOIN v_pattern_stops n ON s.pattern_id = n.pattern_id AND n.pos = s.pos + 1 JOIN v_stops a ON s.stop_id = a.stop_id JOIN v_stops b ON n.stop_id = b.stop_id, (SELECT 111194.9266::DOUBLE * cos(radians(45.0::DOUBLE)) AS c) WHERE a.stop_id <> b.stop_id AND s.pattern_id < 10),
+    p AS (SELECT event_id, (lon - 7.6::DOUBLE) * 111194.9266::DOUBLE * cos(radians(45.0::DOUBLE)) AS px, (lat - 45.0::DOUBLE) * 111194.9266::DOUBLE AS py FROM v_fixes),
+    m AS (SELECT event_id, pattern_id, pos, sqrt(pow(px - (ax + t * (bx - ax)), 2) + pow(py - (ay + t * (by_ - ay)), 2)) AS m FROM (SELECT *, {_SEG} AS t FROM p, e)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(m, 6), pattern_id, pos) AS k, min(m) OVER (PARTITION BY event_id) AS best FROM m WHERE m <= 150)
+    SELECT event_id, pattern_id, pos, round(m, 3) AS metres FROM k WHERE k <= 4 AND m <= best + 7""",
+)
+def nearest_edges(spark: SparkSession, sf: str) -> DataFrame:
+    from farwheel.operators import edges
+
+    stops = feed.stops(spark, sf)
+    segments = edges.pattern_segments(feed.pattern_stops(spark, sf).where("pattern_id < 10"), stops, 45.0, 7.6)
+    x, y = geo.plane(F.col("lat"), F.col("lon"), 45.0, 7.6)
+    points = feed.fixes(spark, sf).select("event_id", x.alias("px"), y.alias("py"))
+    return edges.nearest_edges(points, "event_id", segments, ["pattern_id", "pos"], 150.0, 7.0, 4).withColumn("metres", r3("metres"))
+
+
+@query("JN-14_covering_semi", f"SELECT DISTINCT p.route_id FROM v_pattern_stops p SEMI JOIN (SELECT stop_id FROM v_stops WHERE {_HERE} > 600) u ON p.stop_id = u.stop_id")
+def covering_semi(spark: SparkSession, sf: str) -> DataFrame:
+    far = feed.stops(spark, sf).where(geo.haversine(F.col("lat"), F.col("lon"), feed.d(LAT), feed.d(LON)) > 600).select("stop_id")
+    return feed.pattern_stops(spark, sf).join(far, "stop_id", "left_semi").select("route_id").distinct()
+
+
+@query("JN-15_line_options", "SELECT b.pattern_id, b.stop_id AS board, a.stop_id AS alight, min(a.pos) AS alight_pos, b.pos AS board_pos FROM v_pattern_stops b JOIN v_pattern_stops a ON a.pattern_id = b.pattern_id AND a.pos > b.pos GROUP BY ALL")
+def line_options(spark: SparkSession, sf: str) -> DataFrame:
+    p = feed.pattern_stops(spark, sf)
+    a = p.select("pattern_id", F.col("stop_id").alias("alight"), F.col("pos").alias("a_pos"))
+    both = p.select("pattern_id", F.col("stop_id").alias("board"), F.col("pos").alias("board_pos")).join(a, "pattern_id").where("a_pos > board_pos")
+    return both.groupBy("pattern_id", "board", "alight", "board_pos").agg(F.min("a_pos").alias("alight_pos"))
+
+
+@query("JN-16_17_signature_shape", "SELECT pattern_id, arg_min(service_id, (-n, service_id)) AS shape FROM (SELECT pattern_id, service_id, count(*) AS n FROM v_trips GROUP BY ALL) GROUP BY pattern_id")
+def signature_shape(spark: SparkSession, sf: str) -> DataFrame:
+    n = feed.trips(spark, sf).groupBy("pattern_id", "service_id").agg(F.count("*").alias("n"))
+    return n.groupBy("pattern_id").agg(F.min(F.struct(-F.col("n"), "service_id"))["service_id"].alias("shape"))
+
+
+@query("JN-18_entrances_near", f"SELECT s.stop_id, f.event_id FROM v_stops s JOIN v_fixes f ON f.kind = 'view' AND {HAVERSINE.format('s.lat', 's.lon', 'f.lat', 'f.lon')} <= 150")
+def entrances_near(spark: SparkSession, sf: str) -> DataFrame:
+    doors = feed.fixes(spark, sf).where("kind = 'view'").select("event_id", "lat", "lon")
+    return spatial.within(doors, spatial.second(feed.stops(spark, sf), "stop_id", "lat", "lon"), 150).select(F.col("stop_id2").alias("stop_id"), "event_id")
+
+
+_ALONG = f"SELECT event_id, vehicle, {HAVERSINE.format(45.0, 7.6, 'lat', 'lon')} AS along FROM v_fixes"
+
+
+@query(
+    "JN-19_20_21_nearest_vehicle",
+    f"""SELECT stop_id, arg_min(event_id, (round(abs(along - expected), 6), event_id)) AS event_id FROM (SELECT s.stop_id, {HAVERSINE.format(45.0, 7.6, 's.lat', 's.lon')} AS expected FROM v_stops s), ({_ALONG})
+    WHERE abs(along - expected) <= 100 GROUP BY stop_id""",
+)
+def nearest_vehicle(spark: SparkSession, sf: str) -> DataFrame:
+    here = feed.d(45), feed.d(7.6), F.col("lat"), F.col("lon")
+    c = F.floor(F.col("expected") / 100)
+    s = feed.stops(spark, sf).select("stop_id", geo.haversine(*here).alias("expected")).withColumn("c", F.explode(F.array(c - 1, c, c + 1)))
+    v = feed.fixes(spark, sf).select("event_id", geo.haversine(*here).alias("along")).withColumn("c", F.floor(F.col("along") / 100))
+    gap = F.abs(F.col("along") - F.col("expected"))
+    return v.join(s, "c").where(gap <= 100).groupBy("stop_id").agg(F.min(F.struct(F.round(gap, 6).alias("g"), "event_id"))["event_id"].alias("event_id"))
+
+
+@query(
+    "JN-22_boarded_run",
+    """SELECT event_id, arg_min(trip_id, (abs(base - t), trip_id)) AS trip_id FROM (SELECT event_id, CAST(event_id % 50 AS INT) AS pattern_id, 18000 + event_id * 31 % 68400 AS t FROM events) e
+    JOIN v_trips v ON e.pattern_id = v.pattern_id AND abs(base - t) <= 900 GROUP BY event_id""",
+)
+def boarded_run(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    c = F.floor(F.col("t") / 900)
+    asks = table(spark, sf, "events").select("event_id", (e % 50).cast("int").alias("pattern_id"), (18000 + e * 31 % 68400).alias("t")).withColumn("c", F.explode(F.array(c - 1, c, c + 1)))
+    runs = feed.trips(spark, sf).select("trip_id", "pattern_id", "base", F.floor(F.col("base") / 900).alias("c"))
+    gap = F.abs(F.col("base") - F.col("t"))
+    return asks.join(runs, ["pattern_id", "c"]).where(gap <= 900).groupBy("event_id").agg(F.min(F.struct(gap.alias("g"), "trip_id"))["trip_id"].alias("trip_id"))
+
+
+@query("JN-23_transfer_relax", f"SELECT l.a AS origin, f.b AS stop_id, round(min(l.m + f.m), 3) AS walk FROM ({_PAIRS}) l, ({_PAIRS}) f WHERE l.b = f.a AND l.a <> l.b AND f.a <> f.b AND l.m <= 200 AND f.m <= 200 GROUP BY ALL")
+def transfer_relax(spark: SparkSession, sf: str) -> DataFrame:
+    p = spatial.footpaths(feed.stops(spark, sf), 200)
+    q = p.select(F.col("from_stop").alias("to_stop"), F.col("to_stop").alias("stop_id"), F.col("metres").alias("m2"))
+    return p.join(q, "to_stop").groupBy(F.col("from_stop").alias("origin"), "stop_id").agg(r3(F.min(F.col("metres") + F.col("m2"))).alias("walk"))
+
+
+@query(
+    "JN-24_group_at",
+    f"""SELECT event_id, stop_id FROM (SELECT f.event_id, s.stop_id, row_number() OVER (PARTITION BY f.event_id ORDER BY round({HAVERSINE.format('f.lat', 'f.lon', 's.lat', 's.lon')}, 6), s.stop_id DESC) AS k
+    FROM v_fixes f JOIN v_stops s ON s.name = 'NATION_' || f.k % 25 AND {HAVERSINE.format('f.lat', 'f.lon', 's.lat', 's.lon')} <= 150) WHERE k = 1""",
+)
+def group_at(spark: SparkSession, sf: str) -> DataFrame:
+    f = feed.fixes(spark, sf).select("event_id", "lat", "lon", F.concat(F.lit("NATION_"), F.col("k") % 25).alias("name"))
+    near = spatial.within(f, spatial.second(feed.stops(spark, sf), "stop_id", "name", "lat", "lon"), 150).where("name = name2")
+    return spatial.nearest(near, ["event_id"], F.round("metres", 6), F.col("stop_id2").desc()).select("event_id", F.col("stop_id2").alias("stop_id"))
+
+
+@query(
+    "JN-25_endpoint_poles",
+    f"""SELECT stop_id, round(min(m), 3) AS metres FROM (SELECT b AS stop_id, m FROM ({_PAIRS}) WHERE a IN (3, 40, 77) AND m <= 400 UNION ALL SELECT stop_id, 0 FROM v_stops WHERE stop_id IN (3, 40, 77)) GROUP BY stop_id""",
+)
+def endpoint_poles(spark: SparkSession, sf: str) -> DataFrame:
+    poles = feed.stops(spark, sf).where(F.col("stop_id").isin(3, 40, 77))
+    near = spatial.within(poles.select("stop_id", "lat", "lon"), spatial.second(feed.stops(spark, sf), "stop_id", "lat", "lon"), 400).select(F.col("stop_id2").alias("stop_id"), "metres")
+    own = poles.select("stop_id", feed.d(0).alias("metres"))
+    return near.unionByName(own).groupBy("stop_id").agg(r3(F.min("metres")).alias("metres"))
+
+
+@query("JN-26_29_route_for_tap", "SELECT event_id, arg_max(route_id, (score, -route_id)) AS route_id FROM (SELECT event_id, r.route_id, CASE WHEN feed = 0 THEN 2 ELSE 0 END + CASE WHEN route_type = k % 4 THEN 1 ELSE 0 END AS score FROM v_fixes f JOIN v_routes r ON r.short_name = CAST(f.k % 25 + 1 AS VARCHAR)) GROUP BY event_id")
+def route_for_tap(spark: SparkSession, sf: str) -> DataFrame:
+    taps = feed.fixes(spark, sf).select("event_id", "k", (F.col("k") % 25 + 1).cast("string").alias("short_name"))
+    both = taps.join(F.broadcast(feed.routes(spark, sf)), "short_name")
+    score = F.when(F.col("feed") == 0, 2).otherwise(0) + F.when(F.col("route_type") == F.col("k") % 4, 1).otherwise(0)
+    return both.groupBy("event_id").agg(F.max(F.struct(score.alias("s"), -F.col("route_id"), "route_id"))["route_id"].alias("route_id"))
