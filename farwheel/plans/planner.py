@@ -81,7 +81,7 @@ def plan(requests: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_t
     found = []
     for k in range(max_transfers + 1):
         rode = timetable.skyline(ride(labels, pattern_stops, runs, stop_times, suspended).where(F.col("walk") <= cap), ["request", "stop_id"], "legs").checkpoint()
-        done = rode.join(ends, ["request", "stop_id"]).withColumn("t0", F.col("arr")).withColumn("arr", (F.col("arr") + times.walk_seconds(F.col("egress"))).cast("int")).withColumn("walk", F.col("walk") + F.col("egress")).where(F.col("walk") <= cap)
+        done = rode.join(ends, ["request", "stop_id"]).withColumn("t0", F.col("arr")).withColumn("arr", (F.col("arr") + times.walk_seconds(F.col("egress"))).cast("int")).withColumn("walk", F.round(F.col("walk") + F.col("egress"), 3)).where(F.col("walk") <= cap)
         done = done.withColumn("legs", F.concat("legs", _leg("walk", "stop_id", "stop_id", None, "t0", "arr", F.col("egress"))))
         found.append(timetable.skyline(done, ["request"], "legs").select("request", "arr", "walk", F.lit(k + 1).alias("rides"), "legs"))
         if k < max_transfers:

@@ -1 +1,245 @@
-"""Queries."""
+"""Queries over graphs and journeys (GRF) and live state (STR)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from farwheel import feed
+from farwheel.feed import DAY, NOW, table
+from farwheel.functions import geo, times
+from farwheel.operators import graph, spatial, timetable
+from farwheel.plans import planner
+from farwheel.queries_groups import _CLUSTERS
+from farwheel.queries_rows import _GONE, _PAIRS, DELAYS
+from farwheel.queries_scalars import HAVERSINE, r3
+from farwheel.registry import query
+from farwheel.streaming import live
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One request a customer nation: from one stop's place to another's, departures five minutes apart."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("request"))
+    stops = feed.stops(spark, sf)
+    total = stops.agg(F.count("*").alias("n"))
+    a = stops.select(F.col("stop_id").alias("a"), "lat", "lon")
+    b = stops.select(F.col("stop_id").alias("b"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
+    n = n.crossJoin(F.broadcast(total)).withColumn("a", (F.col("request") * 7) % F.col("n")).withColumn("b", (F.col("request") * 7 + 4) % F.col("n"))
+    return n.join(a, "a").join(b, "b").select("request", "lat", "lon", "to_lat", "to_lon", (F.lit(NOW) + F.col("request") * 300).cast("int").alias("depart"))
+
+
+def plan(spark: SparkSession, sf: str, max_transfers: int = 1, suspended: DataFrame | None = None) -> DataFrame:
+    return planner.plan(requests(spark, sf), feed.stops(spark, sf), feed.pattern_stops(spark, sf), feed.stop_times(spark, sf), feed.service_days(spark, sf), DAY, max_transfers=max_transfers, suspended=suspended)
+
+
+_WALK = "CAST(round({} * 1.35::DOUBLE / 1.2::DOUBLE) AS INT)"
+#: Direct rides in SQL: seeds, earliest run of each (pattern, position), alighting, egress, skyline.
+_DIRECT = f"""
+    q AS (SELECT n_nationkey AS request, a.lat, a.lon, b.lat AS tlat, b.lon AS tlon, {NOW} + n_nationkey * 300 AS depart FROM nation
+      JOIN v_stops a ON a.stop_id = (n_nationkey * 7) % (SELECT count(*) FROM supplier) JOIN v_stops b ON b.stop_id = (n_nationkey * 7 + 4) % (SELECT count(*) FROM supplier)),
+    s AS (SELECT request, stop_id, m AS walk, depart + {_WALK.format('m')} AS t FROM (SELECT request, depart, stop_id, {HAVERSINE.format('q.lat', 'q.lon', 's.lat', 's.lon')} AS m FROM q, v_stops s) WHERE m <= 400),
+    e AS (SELECT request, stop_id, m AS egress FROM (SELECT request, stop_id, {HAVERSINE.format('q.tlat', 'q.tlon', 's.lat', 's.lon')} AS m FROM q, v_stops s) WHERE m <= 400),
+    r AS (SELECT s.trip_id, s.pattern_id, s.pos, s.dep + o * 86400 AS dep, o * 86400 AS shift FROM v_stop_times s, (SELECT unnest([0, -1, 1]) AS o) WHERE EXISTS (SELECT 1 FROM v_service_days d WHERE d.service_id = s.service_id AND d.day = DATE '{DAY}' + o)),
+    b AS (SELECT s.request, s.walk, s.t, p.pattern_id, p.pos, min((r.dep, r.trip_id, r.shift)) AS run FROM s JOIN v_pattern_stops p ON s.stop_id = p.stop_id AND NOT p.is_last JOIN r ON r.pattern_id = p.pattern_id AND r.pos = p.pos AND r.dep >= s.t AND r.dep - s.t <= 7200 GROUP BY ALL),
+    f AS (SELECT b.request, x.arr + b.run[3] + {_WALK.format('e.egress')} AS arr, round(b.walk + e.egress, 3) AS walk FROM b JOIN v_stop_times x ON x.trip_id = b.run[2] AND x.pos > b.pos JOIN e ON e.request = b.request AND e.stop_id = x.stop_id WHERE b.walk + e.egress <= 1000),
+    k AS (SELECT DISTINCT request, arr, walk FROM f),
+    y AS (SELECT *, min(arr) OVER (PARTITION BY request ORDER BY walk, arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k)"""
+
+
+@query(
+    "GRF-01_02_plan_direct",
+    "WITH " + _DIRECT.strip().replace("min((r.dep, r.trip_id, r.shift)) AS run", "min(row(r.dep, r.trip_id, r.shift)) AS run")
+    + " SELECT request, CAST(arr AS INT) AS arr, walk FROM (SELECT *, min(arr) OVER (PARTITION BY request) AS best FROM y WHERE before IS NULL OR arr < before) WHERE arr <= best + 3600",
+)
+def plan_direct(spark: SparkSession, sf: str) -> DataFrame:
+    return plan(spark, sf, 0).select("request", "arr", r3("walk").alias("walk"))
+
+
+@query("GRF-01_02_04_plan")
+def plan_transfers(spark: SparkSession, sf: str) -> DataFrame:
+    p = plan(spark, sf, 2)
+    return p.select("request", "arr", r3("walk").alias("walk"), "rides", F.size("legs").alias("n_legs"), F.to_json("legs").alias("legs"))
+
+
+@query("GRF-03_arrive_by")
+def arrive_by(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest departures of the journeys that arrive within an hour and a half of asking."""
+    p = plan(spark, sf, 1).join(requests(spark, sf).select("request", "depart"), "request").where(F.col("arr") <= F.col("depart") + 5400)
+    first = F.filter("legs", lambda x: x["kind"] == "ride")[0]["dep"]
+    rows = p.select("request", "arr", "walk", "rides", first.alias("board"), F.get("legs", 0)["walk"].alias("access"))
+    rows = rows.withColumn("leave", F.col("board") - times.walk_seconds(F.col("access")) - 120)
+    w = Window.partitionBy("request").orderBy(F.col("leave").desc(), "walk", "rides")
+    return rows.withColumn("rank", F.row_number().over(w)).select("request", "rank", "leave", "arr", r3("walk").alias("walk"), "rides")
+
+
+@query("GRF-05_06_reprice_walks")
+def reprice_walks(spark: SparkSession, sf: str) -> DataFrame:
+    """Journeys whose transfers hold when every walk is 10 per cent longer, with 30 seconds of grace."""
+    p = plan(spark, sf, 1)
+    late = lambda a, b: (a["kind"] == "walk") & (b["kind"] == "ride") & (a["dep"] + times.walk_seconds(a["walk"] * 1.1) > b["dep"] + 30)
+    pairs = F.zip_with(F.slice("legs", F.lit(1), F.size("legs") - 1), F.slice("legs", F.lit(2), F.size("legs") - 1), lambda a, b: late(a, b))
+    return p.where(~F.exists(pairs, lambda x: x)).select("request", "arr", r3(F.col("walk") * 1.1).alias("walk"), "rides")
+
+
+@query("GRF-07_footpath_table", f"SELECT a AS from_stop, b AS to_stop, round(m, 3) AS metres, CAST(row_number() OVER (PARTITION BY a ORDER BY round(m, 6), b) AS INT) AS rank FROM ({_PAIRS}) WHERE a <> b AND m <= 400")
+def footpath_table(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("from_stop").orderBy(F.round("metres", 6), "to_stop")
+    return spatial.footpaths(feed.stops(spark, sf)).withColumn("rank", F.row_number().over(w)).withColumn("metres", r3("metres"))
+
+
+@query(
+    "GRF-08_10_road_graph",
+    """SELECT s.pattern_id AS way_id, round(a.lat, 6) AS from_lat, round(a.lon, 6) AS from_lon, round(b.lat, 6) AS to_lat, round(b.lon, 6) AS to_lon FROM v_pattern_stops s JOIN v_pattern_stops n ON s.pattern_id = n.pattern_id AND (n.pos = s.pos + 1 OR (n.pos = s.pos - 1 AND s.pattern_id % 2 = 0))
+    JOIN v_stops a ON s.stop_id = a.stop_id JOIN v_stops b ON n.stop_id = b.stop_id WHERE s.stop_id <> n.stop_id""",
+)
+def road_graph(spark: SparkSession, sf: str) -> DataFrame:
+    at = feed.pattern_stops(spark, sf).join(feed.stops(spark, sf).select("stop_id", "lat", "lon"), "stop_id")
+    points = F.transform(F.sort_array(F.collect_list(F.struct("pos", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    ways = at.groupBy(F.col("pattern_id").alias("way_id")).agg(points.alias("points")).withColumn("oneway", F.col("way_id") % 2 == 1)
+    return graph.road_edges(ways).select("way_id", *(F.round(c, 6).alias(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")))
+
+
+@query("GRF-11_connected_components", _CLUSTERS + " SELECT s AS node, min(o) AS component FROM c GROUP BY s")
+def connected_components(spark: SparkSession, sf: str) -> DataFrame:
+    stops = feed.stops(spark, sf)
+    return graph.components(stops.select(F.col("stop_id").alias("node")), spatial.same_name_pairs(stops, 450))
+
+
+def walk_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """(a, b, metres): footpaths of 200 m as a walking graph."""
+    p = spatial.footpaths(feed.stops(spark, sf), 200)
+    return p.select(F.col("from_stop").alias("a"), F.col("to_stop").alias("b"), F.round("metres", 3).alias("metres"))
+
+
+@query(
+    "GRF-12_13_shortest_walks",
+    f"""WITH RECURSIVE e AS (SELECT a, b, round(m, 3) AS m FROM ({_PAIRS}) WHERE a <> b AND m <= 200),
+    d(s, t, m) AS (SELECT stop_id, stop_id, 0.0::DOUBLE FROM v_stops WHERE stop_id IN (0, 33, 66) UNION SELECT d.s, e.b, round(d.m + e.m, 3) FROM d JOIN e ON d.t = e.a WHERE d.m + e.m <= 500)
+    SELECT s AS source, t AS node, round(min(m), 2) AS metres FROM d GROUP BY ALL""",
+)
+def shortest_walks(spark: SparkSession, sf: str) -> DataFrame:
+    from farwheel.operators import paths
+
+    sources = feed.stops(spark, sf).where(F.col("stop_id").isin(0, 33, 66)).select(F.col("stop_id").alias("source"))
+    return paths.within_cost(walk_graph(spark, sf), sources, 500.0).select("source", "node", F.round("metres", 2).alias("metres"))
+
+
+@query("GRF-16_17_18_19_20_21_hmm_match")
+def hmm_match(spark: SparkSession, sf: str) -> DataFrame:
+    from farwheel.operators import edges, matching
+
+    segments = edges.pattern_segments(feed.pattern_stops(spark, sf).where("pattern_id < 10"), feed.stops(spark, sf), 45.0, 7.6)
+    x, y = geo.plane(F.col("lat"), F.col("lon"), 45.0, 7.6)
+    points = feed.fixes(spark, sf).select("vehicle", "ts", "event_id", x.alias("px"), y.alias("py"))
+    return matching.viterbi(points, segments, radius=150.0, most=8)
+
+
+@query("GRF-22_chord", "SELECT pattern_id, string_agg(printf('%.6f,%.6f', lon, lat), ';' ORDER BY pos) AS line FROM v_pattern_stops JOIN v_stops USING (stop_id) GROUP BY pattern_id")
+def chord(spark: SparkSession, sf: str) -> DataFrame:
+    at = feed.pattern_stops(spark, sf).join(feed.stops(spark, sf), "stop_id")
+    line = F.transform(F.sort_array(F.collect_list(F.struct("pos", "lon", "lat"))), lambda p: F.format_string("%.6f,%.6f", p["lon"], p["lat"]))
+    return at.groupBy("pattern_id").agg(F.array_join(line, ";").alias("line"))
+
+
+@query("GRF-23_24_merge_chain")
+def merge_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Maximal chains of segments with one mode and route set: a node of degree two joins its two segments."""
+    w = Window.partitionBy("pattern_id").orderBy("pos")
+    hops = feed.pattern_stops(spark, sf).withColumn("to_node", F.lead("stop_id").over(w)).where("to_node is not null and to_node <> stop_id").join(F.broadcast(feed.routes(spark, sf).select("route_id", "route_type")), "route_id")
+    m = graph.merge_segments(hops.select(F.col("route_type").alias("mode"), F.col("stop_id").alias("from_node"), "to_node", F.col("route_id").cast("string").alias("route")))
+    seg = m.withColumn("id", F.xxhash64("mode", "a", "b")).withColumn("key", F.concat_ws("|", "mode", F.array_join("routes", ","), "directions"))
+    ends = seg.select("id", "key", F.explode(F.array("a", "b")).alias("node"))
+    through = ends.groupBy("key", "node").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("n = 2")
+    found = graph.components(seg.select(F.col("id").alias("node")), through.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return seg.join(found, seg["id"] == found["node"]).groupBy("component").agg(F.first("key").alias("key"), F.count("*").alias("segments"), F.min("a").alias("least_node")).select("key", "segments", "least_node")
+
+
+@query("GRF-26_discover_hops")
+def discover_hops(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests for which a ride saves most walking against the straight walk, twenty at most."""
+    best = plan(spark, sf, 1).groupBy("request").agg(F.min("walk").alias("walk"))
+    both = best.join(planner.direct_walk(requests(spark, sf)), "request").withColumn("saved", r3(F.col("metres") - F.col("walk")))
+    return both.where("saved >= 100").orderBy(F.col("saved").desc(), "request").limit(20).select("request", "saved")
+
+
+@query(
+    "GRF-27_28_knots_gaps",
+    f"""SELECT event_id FROM (SELECT event_id, {HAVERSINE.format('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS m FROM v_fixes WINDOW w AS (PARTITION BY vehicle ORDER BY ts, event_id)) WHERE m > 1500""",
+)
+def knots_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("vehicle").orderBy("ts", "event_id")
+    m = geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
+    return feed.fixes(spark, sf).withColumn("m", m).where("m > 1500").select("event_id")
+
+
+# -- streaming and state --------------------------------------------------------------------------------------------
+
+
+@query("STR-02_latest_by_key", "SELECT vehicle, arg_max(event_id, (ts, event_id)) AS event_id FROM v_fixes GROUP BY vehicle")
+def latest_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    return live.latest(feed.fixes(spark, sf), ["vehicle"], ["ts", "event_id"]).select("vehicle", "event_id")
+
+
+@query("STR-03_expiry", "SELECT vehicle FROM v_fixes GROUP BY vehicle HAVING max(ts) >= (SELECT max(ts) FROM v_fixes) - INTERVAL 30 MINUTE")
+def expiry(spark: SparkSession, sf: str) -> DataFrame:
+    f = feed.fixes(spark, sf)
+    newest = f.agg((F.max("ts") - F.expr("INTERVAL 30 MINUTES")).alias("since"))
+    return f.groupBy("vehicle").agg(F.max("ts").alias("ts")).crossJoin(F.broadcast(newest)).where("ts >= since").select("vehicle")
+
+
+@query("STR-05_delay_lookup", f"SELECT trip_id, pos, dep + delay AS expected FROM v_stop_times JOIN ({DELAYS}) d USING (trip_id, pos)")
+def delay_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    s = feed.stop_times(spark, sf)
+    return s.join(timetable.delay_asof(s, feed.updates(spark, sf)), ["trip_id", "pos"]).select("trip_id", "pos", (F.col("dep") + F.col("delay")).alias("expected"))
+
+
+@query("STR-06_unavailable_lookup", _GONE)
+def unavailable_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return timetable.unavailable(feed.stop_times(spark, sf), feed.updates(spark, sf))
+
+
+@query("STR-07_08_09_10_15_live_advance")
+def live_advance(spark: SparkSession, sf: str) -> DataFrame:
+    return live.replay(feed.fixes(spark, sf).select(F.col("vehicle").alias("trip_key"), "ts", "lat", "lon", "event_id"))
+
+
+@query(
+    "STR-12_missed_ride",
+    f"SELECT trip_id FROM v_trips t LEFT JOIN (SELECT trip_id, min(delay) AS delay FROM v_updates GROUP BY trip_id) u USING (trip_id) WHERE {NOW} > base + coalesce(delay, 0) + 90 AND base > {NOW} - 3600",
+)
+def missed_ride(spark: SparkSession, sf: str) -> DataFrame:
+    u = feed.updates(spark, sf).groupBy("trip_id").agg(F.min("delay").alias("delay"))
+    late = F.lit(NOW) > F.col("base") + F.coalesce("delay", F.lit(0)) + 90
+    return feed.trips(spark, sf).where(F.col("base") > NOW - 3600).join(u, "trip_id", "left").where(late).select("trip_id")
+
+
+@query(
+    "STR-13_14_connection_risk",
+    "SELECT a.trip_id, a.arr + coalesce(d.delay, 0) + 300 > n.dep AS risk FROM v_stop_times a LEFT JOIN (SELECT trip_id, arg_max(delay, event_id) AS delay FROM v_updates GROUP BY trip_id) d ON a.trip_id = d.trip_id JOIN v_stop_times n ON n.trip_id = a.trip_id + 1 AND n.pos = 4 WHERE a.pos = 3",
+)
+def connection_risk(spark: SparkSession, sf: str) -> DataFrame:
+    s = feed.stop_times(spark, sf)
+    d = feed.updates(spark, sf).groupBy("trip_id").agg(F.max_by("delay", "event_id").alias("delay"))
+    n = s.where("pos = 4").select((F.col("trip_id") - 1).alias("trip_id"), F.col("dep").alias("next"))
+    both = s.where("pos = 3").join(d, "trip_id", "left").join(n, "trip_id")
+    return both.select("trip_id", (F.col("arr") + F.coalesce("delay", F.lit(0)) + 300 > F.col("next")).alias("risk"))
+
+
+@query("STR-16_trip_summary", f"SELECT vehicle, count(*) AS fixes, round(min(lat), 6) AS south, round(max(lat), 6) AS north FROM v_fixes GROUP BY vehicle")
+def trip_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.fixes(spark, sf).groupBy("vehicle").agg(F.count("*").alias("fixes"), F.round(F.min("lat"), 6).alias("south"), F.round(F.max("lat"), 6).alias("north"))
+
+
+@query(
+    "STR-17_18_change_detection",
+    "SELECT event_id FROM (SELECT event_id, kind, lag(kind) OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS was FROM v_fixes) WHERE was IS DISTINCT FROM kind",
+)
+def change_detection(spark: SparkSession, sf: str) -> DataFrame:
+    return live.changes(feed.fixes(spark, sf), ["vehicle"], ["ts", "event_id"], "kind").select("event_id")
+
+
+@query("STR-19_heading_filter")
+def heading_filter(spark: SparkSession, sf: str) -> DataFrame:
+    f = feed.fixes(spark, sf).select("vehicle", "ts", "event_id", (F.col("k") * 3.6).alias("heading"))
+    return live.smooth_headings(f)
