@@ -9,7 +9,8 @@
    Tokens travel as packed blobs, one a hash part and batch; a token of a single set never becomes a row.
 3. Similar sets are partitioned into groups: every set of a token's posting is compared with the posting's hub, the set
    with most shared tokens, and the connected components of the links found are the groups.
-4. A set is a query to every other group that shares a prefix token and fits in size. The group's row of the token-group
+4. A set is a query to every other group that shares a prefix token and fits in size, unless it has too many tokens that no
+   other candidate has: those count over whole sets and bound its overlap with anything. The group's row of the token-group
    matrix, the union of its sets' tokens, bounds the overlap; only groups that reach ceil(t n) are opened and their
    sets compared exactly. Within a group nothing is compared: its sets are connected already.
 5. Components over all links.
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farwheel.llm.shared import bitmap, components, in_bitmap, partitions, prepare, shingle_hashes, word_hashes, words_of, written
+from farwheel.llm.shared import bitmap, components, in_bitmap, partitions, prepare, settled, shingle_hashes, tables, word_hashes, words_of, written
 
 #: Sets of at most so many tokens have all of them counted.
 SMALL = 96
@@ -99,8 +100,8 @@ def _joins(n: int, small: bytes | None, large: bytes | None, head: int, rule: Ru
         yield 1, np.frombuffer(large, np.uint64) ^ _LARGE, rule.prefix(n) - head
 
 
-def _shared_tokens(classes: DataFrame, rule: Rule, parts: int) -> DataFrame:
-    """(cid, join, n, room, rest, df, token): the tokens of df 2 and more."""
+def _shared_tokens(classes: DataFrame, rule: Rule, parts: int, only_counts: bool = False) -> DataFrame:
+    """(cid, join, n, room, rest, df, token): the tokens of df 2 and more; `only_counts`: (cid, held), how many they are."""
     p = np.uint64(parts)
 
     def split(x: np.ndarray, *with_x: np.ndarray) -> Iterator[tuple]:
@@ -166,6 +167,11 @@ def _shared_tokens(classes: DataFrame, rule: Rule, parts: int) -> DataFrame:
                 a = np.frombuffer(x, np.uint64)
                 at = np.minimum(np.searchsorted(u, a), len(u) - 1)
                 hit = np.flatnonzero(u[at] == a)
+                if only_counts:
+                    cids = np.frombuffer(info, np.int64).reshape(-1, 4)[:, 0]
+                    held = np.bincount(np.frombuffer(o, np.uint32)[hit], minlength=len(cids))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cids)), pa.array(held.astype(np.int64))], ["cid", "held"])
+                    continue
                 f = np.frombuffer(info, np.int64).reshape(-1, 4)[np.frombuffer(o, np.uint32)[hit]]
                 cols = [*(pa.array(np.ascontiguousarray(f[:, i])) for i in range(4)), pa.array(np.frombuffer(r, np.bool_)[hit]), pa.array(df[at[hit]]), pa.array(a[hit].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(cols, names)
@@ -175,6 +181,8 @@ def _shared_tokens(classes: DataFrame, rule: Rule, parts: int) -> DataFrame:
     known = counted.groupBy("part").applyInArrow(add, "part int, known binary, dfs binary")
     dealt = rows.mapInArrow(deal, "part int, x binary, o binary, r binary, info binary")
     both = dealt.hint("merge").join(known, "part").select("x", "o", "r", "info", "known", "dfs")
+    if only_counts:
+        return both.mapInArrow(match, "cid long, held long").groupBy("cid").agg(F.sum("held").alias("held"))
     return both.mapInArrow(match, "cid long, join long, n long, room long, rest boolean, df long, token long")
 
 
@@ -215,7 +223,7 @@ def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     """(doc_id, n_shingles, component_id) of `docs` (doc_id, text); component_id is the smallest doc_id reachable."""
     spark = docs.sparkSession
     prepare(spark)
-    rule = Rule(k, num, den)
+    rule, since = Rule(k, num, den), tables(spark)
     made = written(_sets(docs, rule), "sets")
     known = made.where("doc_id is not null and fp is not null")
     classes = written(
@@ -245,32 +253,42 @@ def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     links = written(_linked(to_hub, sets, rule), "hub-links")
     groups = components(links)
 
+    # no set overlaps another by more than its tokens that some other candidate has too: `held`, counted over whole sets
+    total = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    whole = sets.select("cid", (F.octet_length("tokens") / 8).cast("long").alias("n"), F.col("tokens").alias("small"), F.lit(None).cast("binary").alias("large"), F.lit(0).cast("long").alias("head"))
+    held = _shared_tokens(whole, rule, max(partitions(spark), total // 8 // PART_TOKENS + 1), only_counts=True)
+    member = sizes.join(held, "cid").where(F.col("held") * den >= F.col("n") * num)
+    member = member.join(groups, member["cid"] == groups["node"], "left").select("cid", "n", "held", F.coalesce("component", "cid").alias("g"))
+    member = written(member, "members")
+    may = lambda n, o, m, p: (num + den) * F.least(o, p) >= num * (n + m)  # noqa: E731  the least overlap of sizes n and m
+
     # queries against other groups that share a prefix token
-    grouped = postings.join(groups, postings["cid"] == groups["node"], "left").select("token", "cid", "n", F.coalesce("component", "cid").alias("g"))
+    grouped = postings.select("token", "cid").join(member, "cid")
     mixed = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
     open_rows = written(grouped.join(mixed, "token", "left_semi"), "mixed")
-    of_group = grouped.select("g", "cid", "n").distinct().groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    asks = open_rows.join(of_group.select("g", "members"), "g").select("token", "cid", "n", F.col("g").alias("own"), F.col("members").alias("own_members"))
+    of_group = member.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("held").alias("most"))
+    asks = open_rows.join(of_group.select("g", "members"), "g").select("token", "cid", "n", "held", F.col("g").alias("own"), F.col("members").alias("own_members"))
     cells = open_rows.select("token", "g").distinct().join(of_group, "g")
-    near = (F.col("n_max") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("n_min") * num)
+    near = (F.col("n_max") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("n_min") * num) & may(F.col("n"), F.col("held"), F.col("n_min"), F.col("most"))
     smaller = F.struct("own_members", "own") < F.struct("members", "g")
-    queries = written(asks.join(cells, "token").where(smaller & near).select("cid", "n", "g", "members").distinct(), "queries")
+    queries = written(asks.join(cells, "token").where(smaller & near).select("cid", "n", "held", "g", "members").distinct(), "queries")
 
     # single-set groups are compared at once, others when the matrix allows
     single = queries.where("members = 1").select(F.col("cid").alias("a"), F.col("g").alias("b"))
-    many = queries.where("members > 1").select("cid", "n", "g")
-    member = grouped.select(F.col("g"), F.col("cid").alias("d"), F.col("n").alias("m")).distinct()
+    many = queries.where("members > 1").select("cid", "n", "held", "g")
     asked = many.select("g").distinct()
-    matrix = _exploded(member.join(asked, "g", "left_semi").select("g", F.col("d").alias("cid")), sets, "g").distinct()
+    matrix = _exploded(member.join(asked, "g", "left_semi").select("g", "cid"), sets, "g").distinct()
     overlap = _exploded(many.select("cid", "g"), sets, "cid", "g").join(matrix, ["g", "token"]).groupBy("cid", "g").agg(F.count("*").alias("bound"))
     opened = many.join(overlap, ["cid", "g"]).where(F.col("bound") * den >= F.col("n") * num)
-    inside = opened.join(member, "g").where(fits(F.col("n"), F.col("m"))).select(F.col("cid").alias("a"), F.col("d").alias("b"))
+    other = member.select("g", F.col("cid").alias("d"), F.col("n").alias("m"), F.col("held").alias("p"))
+    inside = opened.join(other, "g").where(fits(F.col("n"), F.col("m")) & may(F.col("n"), F.col("held"), F.col("m"), F.col("p"))).select(F.col("cid").alias("a"), F.col("d").alias("b"))
     more = _linked(written(single.unionByName(inside).distinct(), "pairs"), sets, rule)
     final = components(links.unionByName(more))
 
     home = classes.join(final, classes["cid"] == final["node"], "left").select("fp", F.coalesce("component", "cid").alias("component_id"))
     out = made.select("doc_id", "n", "fp").join(home, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return settled(out, "jaccard", since)
 
 
 def _exploded(rows: DataFrame, sets: DataFrame, *keep: str) -> DataFrame:

@@ -14,14 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farwheel.llm.shared import SPACE, partitions, prepare, written
+from farwheel.llm.shared import SPACE, prepare, settled, tables, written
 
 _STRIP = SPACE.encode()
 
@@ -118,12 +117,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     A key found in at least `min_docs` documents loses all its lines except in the largest doc_id that holds it."""
     spark = docs.sparkSession
     prepare(spark)
+    since = tables(spark)
     keys = written(line_keys(docs, min_chars), "line-keys")
     runs = LineRuns(spark)
     for batch in _batches(keys, batches):
         runs.add(batch)
     repeated = runs.merged().where(F.col("n_docs") >= min_docs).select("key", "max_doc")
     drops = keys.join(repeated, "key").where("doc_id < max_doc").groupBy("doc_id").agg(F.collect_list("key").alias("__drop"))
+    drops = settled(drops, "line-drops", since)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*names).join(drops.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
     at, drop_at = joined.columns.index("text"), joined.columns.index("__drop")

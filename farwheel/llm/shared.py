@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -39,10 +40,11 @@ def prepare(spark: SparkSession) -> None:
 _written: dict[str, list[str]] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """`df` as a table in the shared folder: its lineage is cut, and a lost executor costs one task, not the plan.
 
-    The tables of one application go when the driver ends."""
+    The tables of one application go when the driver ends. `free`: ask for the shuffle files behind it to go at once;
+    Spark drops them when the driver's garbage is collected, which may else be much later."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex[:12]}"
@@ -51,17 +53,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
         _written[app] = []
         atexit.register(_forget, spark, app)
     _written[app].append(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables(spark: SparkSession) -> int:
+    """How many tables of this application stand."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """`df` as a table; the tables written since then, on which only it is built, go at once."""
+    out = written(df, name, free=True)
+    spark = df.sparkSession
+    own = _written[spark.sparkContext.applicationId]
+    for path in own[since:-1]:
+        _delete(spark, path)
+    del own[since:-1]
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _forget(spark: SparkSession, app: str) -> None:
     try:
         if spark.sparkContext._jsc is None:
             return
-        jvm = spark.sparkContext._jvm
-        for p in _written.pop(app, []):
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in _written.pop(app, []):
+            _delete(spark, path)
     except Exception:  # noqa: BLE001 the JVM may be gone at exit; nothing else is swallowed here
         pass
 

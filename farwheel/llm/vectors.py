@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farwheel.llm.shared import components, mix, prepare, written
+from farwheel.llm.shared import components, mix, prepare, settled, tables, written
 
 WIDTH = 2.0
 
@@ -73,18 +73,19 @@ def links(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, crow
     """(vec_id, n_links, component_id) of (vec_id, embedding)."""
     spark = vectors.sparkSession
     prepare(spark)
+    since = tables(spark)
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     sound = F.col("vec_id").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     good = rows.where(F.coalesce(sound, F.lit(False))).select("vec_id", F.transform("e", lambda x: x + F.lit(0.0)).alias("e"))
     member = good.select("vec_id", F.md5(F.to_binary(F.array_join(F.transform("e", lambda x: x.cast("string")), ","), F.lit("utf-8"))).alias("fp"), "e")
     classes = written(member.groupBy("fp").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("e").alias("e")), "vectors")
-    k, tables = shape(classes.count(), threshold, recall, crowd)
+    k, many = shape(classes.count(), threshold, recall, crowd)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Hashes] = {}
         for b in batches:
             es = b.column(1).to_pylist()
-            keys = np.zeros((len(es), tables), np.uint64)
+            keys = np.zeros((len(es), many), np.uint64)
             xs: list[bytes] = [b""] * len(es)
             dims = np.array([len(e) for e in es], np.int64)
             for dim in np.unique(dims).tolist():
@@ -93,7 +94,7 @@ def links(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, crow
                 x /= np.abs(x).max(1, keepdims=True)  # no overflow in the norm
                 x /= np.sqrt((x * x).sum(1, keepdims=True))
                 if dim not in made:
-                    made[dim] = Hashes(dim, k, tables)
+                    made[dim] = Hashes(dim, k, many)
                 keys[at] = made[dim](x)
                 for i, v in zip(at, x, strict=True):
                     xs[i] = v.tobytes()
@@ -138,4 +139,4 @@ def links(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, crow
     per = per.select("fp", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     ids = member.select("vec_id", "fp").join(per, "fp").select("vec_id", "n_links", "component_id")
     bad = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return ids.unionByName(bad)
+    return settled(ids.unionByName(bad), "vector-links", since)
