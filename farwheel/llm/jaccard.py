@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from farwheel.llm.shared import bitmap, components, in_bitmap, partitions, prepare, settled, shingle_hashes, tables, word_hashes, words_of, written
+from farwheel.llm.shared import bitmap, components, in_bitmap, mix, partitions, prepare, settled, shingle_hashes, tables, word_hashes, words_of, written
 
 #: Sets of at most so many tokens have all of them counted.
 SMALL = 96
@@ -157,6 +158,7 @@ def _shared_tokens(classes: DataFrame, rule: Rule, parts: int, only_counts: bool
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cid", "join", "n", "room", "rest", "df", "token"]
         last: tuple = (None, None, None)
+        sums: list[tuple] = []
         for b in batches:
             for x, o, r, info, known, dfs in zip(*(b.column(c).to_pylist() for c in ("x", "o", "r", "info", "known", "dfs")), strict=True):
                 if last[0] != known:
@@ -169,12 +171,28 @@ def _shared_tokens(classes: DataFrame, rule: Rule, parts: int, only_counts: bool
                 hit = np.flatnonzero(u[at] == a)
                 if only_counts:
                     cids = np.frombuffer(info, np.int64).reshape(-1, 4)[:, 0]
-                    held = np.bincount(np.frombuffer(o, np.uint32)[hit], minlength=len(cids))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cids)), pa.array(held.astype(np.int64))], ["cid", "held"])
+                    sums.append((cids, np.bincount(np.frombuffer(o, np.uint32)[hit], minlength=len(cids))))
+                    if sum(len(c) for c, _ in sums) > PART_TOKENS:
+                        yield packed(sums)
+                        sums = []
                     continue
                 f = np.frombuffer(info, np.int64).reshape(-1, 4)[np.frombuffer(o, np.uint32)[hit]]
                 cols = [*(pa.array(np.ascontiguousarray(f[:, i])) for i in range(4)), pa.array(np.frombuffer(r, np.bool_)[hit]), pa.array(df[at[hit]]), pa.array(a[hit].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        if sums:
+            yield packed(sums)
+
+    def packed(sums: list[tuple]) -> pa.RecordBatch:
+        """Counts by set, summed and dealt by its hash: one row a part."""
+        cids, inv = np.unique(np.concatenate([c for c, _ in sums]), return_inverse=True)
+        n = np.bincount(inv, np.concatenate([x for _, x in sums]), len(cids)).astype(np.int64)
+        out = [(k, c.tobytes(), x.tobytes()) for k, _, c, x in split(mix(cids.view(np.uint64)), cids, n)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "cids", "held"])
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        cids, inv = np.unique(np.concatenate([np.frombuffer(v, np.int64) for v in table.column("cids").to_pylist()]), return_inverse=True)
+        n = np.bincount(inv, np.concatenate([np.frombuffer(v, np.int64) for v in table.column("held").to_pylist()]), len(cids))
+        return pa.table({"cid": pa.array(cids), "held": pa.array(n.astype(np.int64))})
 
     rows = classes.select("cid", "n", "small", "large", "head")
     counted = rows.mapInArrow(count, "part int, x binary, c binary")
@@ -182,7 +200,7 @@ def _shared_tokens(classes: DataFrame, rule: Rule, parts: int, only_counts: bool
     dealt = rows.mapInArrow(deal, "part int, x binary, o binary, r binary, info binary")
     both = dealt.hint("merge").join(known, "part").select("x", "o", "r", "info", "known", "dfs")
     if only_counts:
-        return both.mapInArrow(match, "cid long, held long").groupBy("cid").agg(F.sum("held").alias("held"))
+        return both.mapInArrow(match, "part int, cids binary, held binary").groupBy("part").applyInArrow(total, "cid long, held long")
     return both.mapInArrow(match, "cid long, join long, n long, room long, rest boolean, df long, token long")
 
 
@@ -239,7 +257,7 @@ def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     per = shared.groupBy("cid", "join", "n", "room").agg(F.sort_array(F.collect_list(item)).alias("items"), F.count_if(~F.col("rest")).alias("counted"))
     take = F.greatest(F.lit(0), F.col("room") + F.col("counted")).cast("int")
     per = per.withColumn("items", F.slice("items", F.lit(1), take)).where(F.size("items") > 0)
-    postings = written(per.select("cid", "n", (F.col("counted") / F.col("n")).alias("held"), F.explode("items.token").alias("token")), "postings")
+    postings = written(per.select("cid", "join", "n", (F.col("counted") / F.col("n")).alias("held"), F.posexplode("items.token").alias("place", "token")), "postings")
 
     # groups: every set against the hub of each of its postings
     hubs = postings.groupBy("token").agg(F.max(F.struct("held", -F.col("cid"))).alias("hub"), F.count("*").alias("size")).where("size > 1").select("token", (-F.col("hub.col2")).alias("hub"))
@@ -263,7 +281,12 @@ def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     may = lambda n, o, m, p: (num + den) * F.least(o, p) >= num * (n + m)  # noqa: E731  the least overlap of sizes n and m
 
     # queries against other groups that share a prefix token
-    grouped = postings.select("token", "cid").join(member, "cid")
+    # tokens that no other candidate has stand first in the order and take up a prefix's first places; what is left are
+    # the first tokens of those that have a posting in common, whose places count among themselves
+    least = F.floor((F.col("n") * num + den - 1) / den)
+    place = F.row_number().over(Window.partitionBy("cid", "join").orderBy("place"))
+    common = postings.join(hubs.select("token"), "token", "left_semi").select("token", "cid", place.alias("place"))
+    grouped = common.join(member, "cid").where(F.col("place") <= F.col("held") - least + 1).drop("place")
     mixed = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
     open_rows = written(grouped.join(mixed, "token", "left_semi"), "mixed")
     of_group = member.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("held").alias("most"))
