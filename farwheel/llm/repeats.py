@@ -30,24 +30,38 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farwheel.llm.shared import bitmap, in_bitmap, mix, partitions, prepare, written
+from farwheel.llm.shared import bitmap, in_bitmap, mix, partitions, prepare, settled, tables, written
 
-#: Bytes of a minimizer.
-K = 16
-#: Bytes of text in one stretch of documents, and in one block's transform.
-STRETCH, BLOCK = 8_000_000, 500_000
+#: Bytes of a minimizer, a multiple of 8: long enough that frequent words in a row seldom make one that two texts share.
+K = 24
+#: Bytes of text in one stretch of documents, and in one transform.
+STRETCH, BLOCK = 8_000_000, 60_000
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
 
+def eights(x: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number."""
+    v = x.astype(np.uint64)
+    for step in (1, 2, 4):
+        v = v[:-step] | (v[step:] << np.uint64(8 * step))
+    return v
+
+
+def string_hashes(v: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of all K-byte strings, of `eights`."""
+    m = len(v) - K + 8
+    h = v[:m] * _SEEDS[seed]
+    for at in range(8, K, 8):
+        h = mix(h + mix(v[at : at + m] ^ _SEEDS[seed]))
+    return h
+
+
 def window_minima(x: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     """The minimizer's hash of each window of `length` bytes of `x` (uint8)."""
     n = len(x)
     if n < length:
         return np.zeros(0, np.uint64)
-    v = x.astype(np.uint64)
-    for step in (1, 2, 4):
-        v = v[:-step] | (v[step:] << np.uint64(8 * step))
-    h = mix(v[:-8] * _SEEDS[seed] + mix(v[8:] ^ _SEEDS[seed]))  # of 16 bytes
+    h = string_hashes(eights(x), seed)
     w, span = length - K + 1, 1
     while 2 * span <= w:
         h = np.minimum(h[:-span], h[span:])
@@ -102,9 +116,10 @@ def interval_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
         have += ahead
     order = np.argsort(rank, kind="stable")
     bwt = np.where(order > 0, text[order - 1], 0)
-    occ = np.zeros((n + 1, symbols), np.int32)
-    occ[np.arange(1, n + 1), bwt] = 1
-    np.cumsum(occ, axis=0, out=occ)
+    kind = np.uint16 if n < 65536 else np.int32
+    at = np.zeros((symbols, n + 1), kind)
+    at[bwt, np.arange(1, n + 1)] = 1
+    occ = np.ascontiguousarray(np.cumsum(at, axis=1, dtype=kind).T)  # of each symbol before each place
     counts = np.bincount(text, minlength=symbols)
     first = np.cumsum(counts) - counts
     apart = np.zeros(n + 1, bool)  # a common-prefix value under `length` is set here
@@ -117,9 +132,9 @@ def interval_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
             d = occ[rb[a : a + 20_000]] - low
             d[:, 0] = 0
             i, c = np.nonzero(d)
-            low = first[c] + low[i, c]
-            lows.append(low)
-            highs.append(low + d[i, c])
+            start = first[c] + low[i, c]
+            lows.append(start)
+            highs.append(start + d[i, c])
         lo, hi = np.concatenate(lows), np.concatenate(highs)
         fresh = ~apart[hi]
         lb, rb = lo[fresh], hi[fresh]
@@ -177,6 +192,34 @@ def _dealt_again(texts: list[bytes], docs: np.ndarray, length: int, seed: int, p
     return out
 
 
+def may_share(texts: list[bytes], length: int) -> np.ndarray:
+    """Whether each text, a run of windows with one minimizer, may have a window in common with another of its minimizer.
+
+    A window is the minimizer and length - K bytes about it, so half of these at least stand on one side; texts can share
+    one only if they agree on the half before the minimizer or on the half behind it. Where a minimizer stands twice in a
+    text, all texts with it may share."""
+    half = (length - K + 1) // 2
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if half < 8:
+        return np.ones(len(texts), bool)
+    v = eights(np.frombuffer(b"".join(texts) + bytes(K + 8), np.uint8))
+    h = string_hashes(v)
+    start = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(texts)), sizes - K + 1)
+    at = start[of] + np.arange(len(of)) - (np.cumsum(sizes - K + 1) - (sizes - K + 1))[of]
+    least = np.minimum.reduceat(h[at], np.flatnonzero(np.append(True, of[1:] != of[:-1])))
+    hit = np.flatnonzero(h[at] == least[of])
+    own, first, times = np.unique(of[hit], return_index=True, return_counts=True)
+    place = at[hit][first]  # of each text's minimizer; every text has one
+    out = np.isin(least, least[own[times > 1]])
+    for side, fits in ((place - half, place - half >= start), (place + K, place + K + half <= start + sizes)):
+        i = np.flatnonzero(fits)
+        key = mix(mix(v[side[i]] + least[i]) + v[side[i] + half - 8])
+        _, same, n = np.unique(key, return_inverse=True, return_counts=True)
+        out[i] |= n[same] > 1
+    return out
+
+
 # -- packed blobs -------------------------------------------------------------------------------------------------
 
 
@@ -251,18 +294,20 @@ def _shared_runs(docs: DataFrame, length: int, parts: int) -> DataFrame:
             first = np.searchsorted(of, np.arange(len(texts)))
             run = (np.arange(len(of)) - first[of]).astype(np.uint32)
             info = np.array([ids, hs], np.int64)
-            yield _batch([(k, (a & _U32).astype(np.uint32).tobytes(), o.astype(np.uint32).tobytes(), r.tobytes(), info.tobytes()) for k, a, o, r in _split(_part(m, parts), m, of, run)], ["part", "x", "o", "r", "info"])
+            rows = [(k, (a & _U32).astype(np.uint32).tobytes(), *_own(info, o), r.tobytes()) for k, a, o, r in _split(_part(m, parts), m, of, run)]
+            yield _batch(rows, ["part", "x", "info", "o", "r"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Sender(parts, ["part", "ids", "hs", "o", "a"])
         for b in batches:
-            rows = []
             for x, o, r, info, known in zip(*(b.column(c).to_pylist() for c in ("x", "o", "r", "info", "known")), strict=True):
                 u, a = np.frombuffer(known, np.uint32), np.frombuffer(x, np.uint32)
                 if len(u):
                     hit = np.flatnonzero(u[np.minimum(np.searchsorted(u, a), len(u) - 1)] == a)
                     if len(hit):
-                        rows += _home(np.frombuffer(info, np.int64).reshape(2, -1), np.frombuffer(o, np.uint32)[hit], parts, np.frombuffer(r, np.uint32)[hit])
-            yield _batch(rows, ["part", "ids", "hs", "o", "a"])
+                        out.add(np.frombuffer(info, np.int64).reshape(2, -1), np.frombuffer(o, np.uint32)[hit], np.frombuffer(r, np.uint32)[hit])
+            yield from out.rows(GATHERED)
+        yield from out.rows(1)
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         doc, h, (run,) = _homed(table, "a")
@@ -270,12 +315,18 @@ def _shared_runs(docs: DataFrame, length: int, parts: int) -> DataFrame:
         return pa.table({"doc_id": pa.array(doc[cut]), "h": pa.array(h[cut]), "runs": pa.array([np.sort(x).tobytes() for x in np.split(run, cut[1:])] if len(cut) else [], pa.binary())})
 
     known = docs.mapInArrow(count, _ddl(["part", "x", "many"])).groupBy("part").applyInArrow(add, "part int, known binary")
-    dealt = docs.mapInArrow(deal, _ddl(["part", "x", "o", "r", "info"]))
+    dealt = docs.mapInArrow(deal, _ddl(["part", "x", "info", "o", "r"]))
     both = dealt.hint("merge").join(known, "part").select("x", "o", "r", "info", "known")
     back = both.mapInArrow(match, _ddl(["part", "ids", "hs", "o", "a"]))
     return back.groupBy("part").applyInArrow(join, "doc_id long, h long, runs binary")
 
 
+def _own(info: np.ndarray, of: np.ndarray) -> tuple[bytes, bytes]:
+    """The info of the documents that are used, and each item's number among them."""
+    used, of = np.unique(of, return_inverse=True)
+    return np.ascontiguousarray(info[:, used]).tobytes(), of.astype(np.uint32).tobytes()
+
+
 def _home(info: np.ndarray, of: np.ndarray, parts: int, *arrays: np.ndarray) -> list[tuple]:
     """Blobs by the part of the document: its ids and hashes, and for each item the number among them and the arrays."""
     part = mix(info[0].view(np.uint64) + np.uint64(77)) % np.uint64(parts)
@@ -286,6 +337,31 @@ def _home(info: np.ndarray, of: np.ndarray, parts: int, *arrays: np.ndarray) ->
     return out
 
 
+class _Sender:
+    """Gathers items of many blobs before they are dealt by document, so that few rows leave a task."""
+
+    def __init__(self, parts: int, names: list[str]) -> None:
+        self.parts, self.names = parts, names
+        self.held: list[tuple] = []
+        self.docs = self.items = 0
+
+    def add(self, info: np.ndarray, of: np.ndarray, *arrays: np.ndarray) -> None:
+        self.held.append((info, of.astype(np.int64) + self.docs, *arrays))
+        self.docs += info.shape[1]
+        self.items += len(of)
+
+    def rows(self, least: int) -> Iterator[pa.RecordBatch]:
+        """What is held, if it is `least` items and more."""
+        if self.held and self.items >= least:
+            infos, ofs, *arrays = zip(*self.held, strict=True)
+            yield _batch(_home(np.concatenate(infos, axis=1), np.concatenate(ofs), self.parts, *map(np.concatenate, arrays)), self.names)
+            self.held, self.docs, self.items = [], 0, 0
+
+
+#: Items that a task gathers before it sends them on.
+GATHERED = 500_000
+
+
 def _homed(table: pa.Table, *names: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of one part: doc_id, h and the named arrays, sorted by document."""
     docs, hs, xs = [], [], [[] for _ in names]
@@ -318,46 +394,69 @@ def _spans(docs: DataFrame, length: int, parts: int, blocks: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3).compress
         for ids, _, texts, runs in _stretches(batches, length):
             m, of, _, own = _cut_runs(texts, runs, length)
-            block: dict[int, dict[bytes, int]] = {}
-            for b, o, t in zip(_part(m, blocks).tolist(), of, own, strict=True):
+            block: dict[int, dict[bytes, list[int]]] = {}
+            for b, x, o, t in zip(_part(m, blocks).tolist(), m.tolist(), of, own, strict=True):
                 least = block.setdefault(b, {})
-                if least.get(t, ids[o]) >= ids[o]:
-                    least[t] = ids[o]
-            yield _batch([(b, pack(b"".join(d)), np.array([len(t) for t in d], np.uint32).tobytes(), np.array(list(d.values()), np.int64).tobytes()) for b, d in block.items()], ["part", "texts", "sizes", "docs"])
+                if least.setdefault(t, [ids[o], x])[0] > ids[o]:
+                    least[t][0] = ids[o]
+            rows = [(b, pack(b"".join(d)), np.array([len(t) for t in d], np.uint32).tobytes(), np.array([v[0] for v in d.values()], np.int64).tobytes(), np.array([v[1] & 0xFFFFFFFF for v in d.values()], np.uint32).tobytes()) for b, d in block.items()]
+            yield _batch(rows, ["part", "texts", "sizes", "docs", "minima"])
 
     def expand(key: tuple, table: pa.Table) -> pa.Table:
-        least: dict[bytes, int] = {}
-        for texts, sizes, docs_ in zip(*(table.column(c).to_pylist() for c in ("texts", "sizes", "docs")), strict=True):
+        least: dict[bytes, list[int]] = {}
+        for texts, sizes, docs_, minima in zip(*(table.column(c).to_pylist() for c in ("texts", "sizes", "docs", "minima")), strict=True):
             raw, at = zstandard.ZstdDecompressor().decompress(texts), 0
-            for n, d in zip(np.frombuffer(sizes, np.uint32).tolist(), np.frombuffer(docs_, np.int64).tolist(), strict=True):
+            for n, d, x in zip(*(np.frombuffer(v, t).tolist() for v, t in ((sizes, np.uint32), (docs_, np.int64), (minima, np.uint32))), strict=True):
                 t = raw[at : at + n]
                 at += n
-                if least.get(t, d) >= d:
-                    least[t] = d
+                if least.setdefault(t, [d, x])[0] > d:
+                    least[t][0] = d
         distinct = list(least)
-        found = least_docs(distinct, np.array(list(least.values()), np.int64), length)
+        docs_of = np.array([v[0] for v in least.values()], np.int64)
+        # a text alone with its minimizer has no window in common with another
+        _, of, n = np.unique(np.array([v[1] for v in least.values()], np.uint32), return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero((n[of] > 1) & may_share(distinct, length))
+        found: dict[int, np.ndarray] = {}
+        if len(mixed):
+            mixed = mixed[np.argsort(of[mixed], kind="stable")]
+            sizes = np.cumsum([len(distinct[i]) + 1 for i in mixed])
+            lo = 0
+            while lo < len(mixed):  # whole minimizers, about a block at a time
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + BLOCK, "right")))
+                while hi < len(mixed) and of[mixed[hi]] == of[mixed[hi - 1]]:
+                    hi += 1
+                some = mixed[lo:hi]
+                for i, x in zip(some.tolist(), least_docs([distinct[i] for i in some], docs_of[some], length), strict=True):
+                    found[i] = x
+                lo = hi
         keys = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+        # each text's windows in stretches of one least document: (end, document)
+        parts_of = {i: np.append(np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)) for i, x in found.items()}
+        many = np.ones(len(distinct), np.int64)
+        many[list(parts_of)] = [len(e) for e in parts_of.values()]
         order = np.argsort(keys)
-        ends, docs_out, many = [], [], []
-        for i in order:
-            x = found[i]
-            e = np.append(np.flatnonzero(x[1:] != x[:-1]) + 1, len(x))
-            ends.append(e)
-            docs_out.append(x[e - 1])
-            many.append(len(e))
-        blobs = (keys[order], np.array(many, np.uint32), np.concatenate(ends).astype(np.uint32), np.concatenate(docs_out))
+        first = np.empty(len(distinct), np.int64)
+        first[order] = np.cumsum(many[order]) - many[order]
+        ends, docs_out = np.empty(many.sum(), np.uint32), np.empty(many.sum(), np.int64)
+        ends[first] = np.array([len(t) for t in distinct], np.int64) - length + 1
+        docs_out[first] = docs_of
+        for i, e in parts_of.items():
+            ends[first[i] : first[i] + len(e)] = e
+            docs_out[first[i] : first[i] + len(e)] = found[i][e - 1]
+        blobs = (keys[order], many[order].astype(np.uint32), ends, docs_out)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32())} | {k: pa.array([b.tobytes()], pa.binary()) for k, b in zip(("keys", "many", "ends", "docs"), blobs, strict=True)})
 
     def deal_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hs, texts, runs in _stretches(batches, length):
             m, of, at, own = _cut_runs(texts, runs, length)
             x = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
-            info = np.array([ids, hs], np.int64).tobytes()
-            yield _batch([(k, a.tobytes(), o.tobytes(), p.tobytes(), info) for k, a, o, p in _split(_part(m, blocks), x, np.array(of, np.uint32), np.array(at, np.uint32))], ["part", "x", "o", "p", "info"])
+            info = np.array([ids, hs], np.int64)
+            rows = [(k, a.tobytes(), *_own(info, o), p.tobytes()) for k, a, o, p in _split(_part(m, blocks), x, np.array(of, np.int64), np.array(at, np.uint32))]
+            yield _batch(rows, ["part", "x", "info", "o", "p"])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Sender(parts, ["part", "ids", "hs", "o", "a", "b"])
         for b in batches:
-            rows = []
             for x, o, p, info, keys, many, ends, docs_ in zip(*(b.column(c).to_pylist() for c in ("x", "o", "p", "info", "keys", "many", "ends", "docs")), strict=True):
                 m = np.frombuffer(many, np.uint32).astype(np.int64)
                 k = np.searchsorted(np.frombuffer(keys, np.uint64), np.frombuffer(x, np.uint64))
@@ -372,8 +471,9 @@ def _spans(docs: DataFrame, length: int, parts: int, blocks: int) -> DataFrame:
                 hit = np.flatnonzero(np.frombuffer(docs_, np.int64)[at] < info_[0][of])
                 if len(hit):
                     place = np.frombuffer(p, np.uint32).astype(np.int64)[each]
-                    rows += _home(info_, of[hit], parts, (place + start)[hit].astype(np.uint32), (place + end[at] + length - 1)[hit].astype(np.uint32))
-            yield _batch(rows, ["part", "ids", "hs", "o", "a", "b"])
+                    out.add(info_, of[hit], (place + start)[hit].astype(np.uint32), (place + end[at] + length - 1)[hit].astype(np.uint32))
+            yield from out.rows(GATHERED)
+        yield from out.rows(1)
 
     def unite(key: tuple, table: pa.Table) -> pa.Table:
         doc, h, (a, b) = _homed(table, "a", "b")
@@ -389,8 +489,8 @@ def _spans(docs: DataFrame, length: int, parts: int, blocks: int) -> DataFrame:
         return pa.table({"doc_id": pa.array(doc[cut]), "h": pa.array(h[cut]), "spans": pa.array(out, pa.binary())})
 
     names = ["part", "keys", "many", "ends", "docs"]
-    found = docs.mapInArrow(deal_texts, _ddl(["part", "texts", "sizes", "docs"])).groupBy("part").applyInArrow(expand, _ddl(names))
-    places = docs.mapInArrow(deal_places, _ddl(["part", "x", "o", "p", "info"]))
+    found = docs.mapInArrow(deal_texts, _ddl(["part", "texts", "sizes", "docs", "minima"])).groupBy("part").applyInArrow(expand, _ddl(names))
+    places = docs.mapInArrow(deal_places, _ddl(["part", "x", "info", "o", "p"]))
     both = places.hint("merge").join(found, "part").select("x", "o", "p", "info", *names[1:])
     back = both.mapInArrow(look_up, _ddl(["part", "ids", "hs", "o", "a", "b"]))
     return back.groupBy("part").applyInArrow(unite, "doc_id long, h long, spans binary")
@@ -398,30 +498,33 @@ def _spans(docs: DataFrame, length: int, parts: int, blocks: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """`docs` (doc_id, text) as (doc_id, n_bytes, n_removed, n_spans, kept, spans): kept and spans are binary."""
-    if length < K + 8:
-        raise ValueError(f"length must be at least {K + 8}")
+    if length < K:
+        raise ValueError(f"length must be at least {K}")
     spark = docs.sparkSession
     prepare(spark)
+    since = tables(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    part = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    long = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    # of equal texts all but the smallest id go whole
+    same = long.select("doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").cast("long").alias("n"))
+    least = same.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = written(same.join(least.drop("most"), ["h", "h2", "n"]).where("doc_id > least").select("doc_id", "h").distinct(), "copies")
+    doubt = in_bitmap("doc_id", bitmap(copies, "doc_id"))
+    part = long.where(~doubt).unionByName(long.where(doubt).join(copies, ["doc_id", "h"], "left_anti").select("doc_id", "h", "text"))
     size = part.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(spark), size // 20_000_000 + 1)
-    shared = written(_shared_runs(part, length, parts), "runs")
+    shared = written(_shared_runs(part, length, parts), "runs", free=True)
     marks = bitmap(shared, "doc_id")
     joined = part.where(in_bitmap("doc_id", marks)).join(shared, ["doc_id", "h"]).select("doc_id", "h", "text", "runs")
-    again = written(joined, "repeating")
+    again = written(joined, "repeating", free=True)
     much = again.agg(F.sum(F.octet_length("runs"))).first()[0] or 0
-    blocks = max(partitions(spark), much // 4 * 64 // (2 * BLOCK) + 1)
+    blocks = max(partitions(spark), much // 4 * 64 // 2_000_000 + 1)
     spans = _spans(again, length, parts, blocks)
 
-    # of equal texts all but the smallest id go whole
-    same = part.select("doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").cast("long").alias("n"))
-    least = same.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
-    copies = same.join(least.drop("copies"), ["h", "h2", "n"]).where("doc_id > least").select("doc_id", "h", F.lit(True).alias("whole")).distinct()
-    gone = written(
-        spans.join(copies, ["doc_id", "h"], "full").select("doc_id", "h", "spans", F.coalesce("whole", F.lit(False)).alias("whole")), "spans"
-    )
+    whole = copies.withColumn("whole", F.lit(True))
+    gone = spans.join(whole, ["doc_id", "h"], "full").select("doc_id", "h", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
+    gone = settled(gone, "spans", since)
     return _apply(rows, gone)
 
 

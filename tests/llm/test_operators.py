@@ -404,6 +404,26 @@ def test_interval_expansion(monkeypatch, block):
     assert [x.tolist() for x in got] == [[least[t[i : i + 24]] for i in range(len(t) - 23)] for t in texts]
 
 
+def test_may_share_misses_none():
+    rng = random.Random(21)
+    base_ = bytes(rng.choice(b"abcdefgh ") for _ in range(400))
+    texts = []
+    for _ in range(60):
+        a = rng.randrange(200)
+        t = bytearray(base_[a : a + 150])
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(150)] = rng.choice(b"xyz")
+        texts.append(bytes(t))
+    texts.append(b"ab" * 100)
+    m, of, at, n = repeats.runs_of(texts, 50)
+    runs = {texts[o][a : a + k + 49]: int(x) for x, o, a, k in zip(m, of.tolist(), at.tolist(), n.tolist(), strict=True)}
+    distinct = list(runs)
+    may = repeats.may_share(distinct, 50)
+    held = Counter(w for t in distinct for w in {t[i : i + 50] for i in range(len(t) - 49)})
+    for t, ok in zip(distinct, may.tolist(), strict=True):
+        assert ok or all(held[t[i : i + 50]] == 1 for i in range(len(t) - 49))
+
+
 def test_minimizers_agree():
     rng = random.Random(2)
     x = bytes(rng.randrange(97, 103) for _ in range(3000))
