@@ -182,6 +182,31 @@ def brute_contamination(rows, items):
     return out
 
 
+def test_contamination_of_repeated_items(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"u{i}" for i in range(59)]
+    shared = [[f"t{i}" for i in range(59)] for _ in range(10)]  # one template, the last word differs
+    for i, w in enumerate(shared):
+        w[-1] = f"own{i}"
+    items = [(1, " ".join(base)), (2, " ".join(base))] + [(10 + i, " ".join(w)) for i, w in enumerate(shared)] + [(30 + i, words(rng, 20, [f"z{j}" for j in range(500)])) for i in range(20)]
+    changed, near = list(base), list(shared[0])
+    changed[30], near[30] = "changed", "changed"
+    rows = [(1, " ".join(changed)), (2, "before it " + " ".join(near) + " after it"), (3, items[-1][1]), (4, "nothing of it here at all")]
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return {(r.doc_id, r.item_id): r.similarity for r in contamination.find(docs, bench).collect()}
+
+    one = found()
+    assert one[1, 1] == one[1, 2] == one[2, 10] == pytest.approx(50 / 60)
+    assert {i: x for (d, i), x in one.items() if d == 2 and i > 10} == pytest.approx({10 + i: 49 / 61 for i in range(1, 10)})
+    assert {d for d, _ in one} == {1, 2, 3}
+    monkeypatch.setattr(contamination, "ITEMS", 3)
+    assert len(list(contamination._blocks(bench))) > 5
+    assert found() == one
+    assert {r.doc_id for r in contamination.remove(docs, bench).collect()} == {4}
+
+
 def test_hamming_index_is_whole():
     rng = np.random.default_rng(2)
     items = rng.integers(0, 2**63, 50).astype(np.uint64)
