@@ -1,10 +1,11 @@
 """Licence scans by sentence rules, in built-in functions only.
 
-A text falls into sentences, at line ends and after . ; or : before white space; a sentence is normalised: ASCII letters in
-lower case, everything but letters and digits one space. Each known licence sentence is a pattern over normalised
-sentences with an identifier; a text becomes the sequence of its identifiers, with their places. A rule is an ordered list
-of identifiers, each at most `gap` sentences after the one before it; where several rules match from one sentence, the
-longest stands, and a shorter rule within its reach doesn't count again.
+A text falls into pieces, at line ends and after . ; or : before white space; a piece is normalised: ASCII letters in lower
+case, everything but letters and digits one space. Pieces up to a full stop or a blank line are a sentence; abbreviations and
+numbers of a list don't end one. Each known licence sentence is a pattern with an identifier; it is sought in each piece, and
+over the adjacent pieces of a sentence, since notices are wrapped and hold ; and :. A text becomes the sequence of its
+identifiers, with their places. A rule is an ordered list of identifiers, each at most `gap` sentences after the one before
+it; where several rules match from one place, the longest stands, and a shorter rule within its reach doesn't count again.
 
 Null and empty texts hold nothing; a null doc_id is a row like others; repeated rows get equal answers; an empty table gives
 no rows.
@@ -12,6 +13,9 @@ no rows.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,10 +86,14 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 #: Every known sentence holds one of these; a sentence without any is no licence's.
 SIGNS = r"licen[sc]e|licen[sc]ed|permission|redistribut|copyright|warranty|rights reserved|free software|public domain|cc0|endorse|gnu|copy"
+#: A piece whose full stop doesn't end its sentence: an abbreviation or a number of a list.
+_GOES_ON = r"(?i)(\b(v|ver|vers|inc|co|corp|ltd|llc|no)|^[^A-Za-z0-9]*([0-9]{1,3}|[a-z]))\.[\"')\]]*\s*$"
+#: Between two words of a sentence: a space, or where one piece ends and the next begins, with its place.
+_BETWEEN = r"(?: |\n[0-9]+:)"
 
 
 def sentences(text: Column) -> Column:
-    """The sentences of a text, in order."""
+    """The pieces of a text, in order."""
     return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "([.;:])[ \\t\\n\\r\\f]+", "$1\n"), "\n", -1)
 
 
@@ -102,37 +110,74 @@ def identified(sentence: Column) -> Column:
     return out
 
 
+def _over_pieces(pattern: str) -> str:
+    """A pattern over normalised pieces as one over a joined sentence."""
+    whole = pattern.replace(".{0,80}", "(?:[a-z0-9]|<>){0,80}").replace(" ", _BETWEEN).replace("<>", _BETWEEN)
+    return re.sub(r"^\^", "(?<=:)", re.sub(r"\$$", r"(?=\\n|$)", whole))
+
+
+def _joined(pieces: Column) -> Column:
+    """The sentences of a text: of each its normalised pieces, every one as line end, place, colon and text."""
+    ends = lambda p: (normalised(p) == "") | (p.rlike(r"\.[\"')\]]*\s*$") & ~p.rlike(_GOES_ON))
+    put = F.transform(pieces, lambda p, i: F.concat(F.lit("\n"), i.cast("string"), F.lit(":"), normalised(p), F.when(ends(p), "|").otherwise("")))
+    # a blank piece ends the sentence before it, too
+    return F.filter(F.split(F.regexp_replace(F.array_join(put, ""), r"\n[0-9]+:\|", "|"), r"\|"), lambda x: x != "")
+
+
+def _marks(sentence: Column, j: Column) -> Column:
+    """array<struct<p, j, i, id>> of a joined sentence. i is the piece in which a match begins; p orders matches, for one that
+    runs on into the next piece comes after one within its piece."""
+    pieces = F.filter(F.split(sentence, "\n"), lambda x: x.rlike(SIGNS))
+    place = lambda x: F.substring_index(x, ":", 1).cast("int")
+    mark = lambda p, i, name: F.struct(p.alias("p"), j.alias("j"), i.alias("i"), name.alias("id"))
+    own = F.transform(pieces, lambda x: mark(2 * place(x), place(x), identified(F.substring_index(x, ":", -1))))
+    over = []
+    for name, pattern in SENTENCES:
+        found = F.filter(F.regexp_extract_all(sentence, F.lit(_over_pieces(pattern)), F.lit(0)), lambda v: F.contains(v, F.lit("\n")))
+        firsts = F.transform(found, lambda v: place(F.substring_index(F.substring_index(v, "\n", 2), "\n", -1)) - 1)
+        over.append(F.transform(firsts, _named(name, lambda i, id_: mark(2 * i + 1, i, id_))))
+    none = F.array().cast("array<struct<p:int,j:int,i:int,id:string>>")
+    several = sentence.rlike(r"\n[^\n]*\n") & sentence.rlike(SIGNS.replace(" ", _BETWEEN))
+    return F.concat(F.filter(own, lambda x: x["id"].isNotNull()), F.when(several, F.filter(F.concat(*over), lambda x: ~F.exists(own, lambda o: (o["i"] == x["i"]) & o["id"].eqNullSafe(x["id"])))).otherwise(none))
+
+
+def _named(name: str, mark: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+    return lambda i: mark(i, F.lit(name))
+
+
 def scan(docs: DataFrame, gap: int = 3) -> DataFrame:
-    """(doc_id, licence, rule, first_sentence, last_sentence) of (doc_id, text), one row a rule match; sentences count from 0."""
-    near = docs.where(F.lower("text").rlike(SIGNS)).select("doc_id", F.xxhash64("text").alias("h"), sentences(F.col("text")).alias("s"))
-    marked = F.filter(
-        F.transform("s", lambda s, i: F.struct(i.alias("i"), F.when(F.lower(s).rlike(SIGNS), identified(normalised(s))).alias("id"))),
-        lambda x: x["id"].isNotNull(),
-    )
-    reach = 1 + gap * (max(len(ids) for _, ids in RULES) - 1)  # marks that a rule can span
-    spots = F.transform("m", lambda x, i: F.struct(x.alias("f"), F.slice("m", i + 1, F.lit(reach)).alias("m")))
-    rows = near.select("doc_id", "h", marked.alias("m")).select("doc_id", "h", F.explode(spots).alias("x")).select("doc_id", "h", "x.f", "x.m")
+    """(doc_id, licence, rule, first_sentence, last_sentence) of (doc_id, text), one row a rule match; both are places of
+    pieces, from 0."""
+    signs = SIGNS.replace(" ", "[^a-z0-9]+")
+    near = docs.where(F.lower("text").rlike(signs)).select("doc_id", F.xxhash64("text").alias("h"), _joined(sentences(F.col("text"))).alias("s"))
+    marked = near.select("doc_id", "h", F.array_sort(F.flatten(F.transform("s", _marks))).alias("m")).where(F.size("m") > 0)
+    later = sorted({name for _, ids in RULES for name in ids[1:]})
+    reach = gap * (max(len(ids) for _, ids in RULES) - 1)  # sentences that a rule can span
+    marked = marked.withColumn("later", F.filter("m", lambda x: x["id"].isin(later)))
+    spots = F.transform("m", lambda x: F.struct(x.alias("f"), F.filter("later", lambda y: (y["p"] > x["p"]) & (y["j"] <= x["j"] + reach)).alias("m")))
+    rows = marked.select("doc_id", "h", F.explode(spots).alias("x")).select("doc_id", "h", "x.f", "x.m")
     found = [F.struct(F.lit(len(ids)).alias("size"), _reach(ids, gap).alias("last"), F.lit(licence).alias("licence"), F.lit("+".join(ids)).alias("rule")) for licence, ids in RULES]
     best = F.array_max(F.filter(F.array(*found), lambda r: r["last"].isNotNull()))
-    hits = rows.select("doc_id", "h", F.col("f.i").alias("first_sentence"), best.alias("b")).where("b is not null")
-    hits = hits.select("doc_id", "h", "b.licence", "b.rule", "first_sentence", F.col("b.last").alias("last_sentence"))
+    hits = rows.select("doc_id", "h", F.col("f.p").alias("p"), F.col("f.i").alias("first_sentence"), best.alias("b")).where("b is not null")
+    hits = hits.select("doc_id", "h", "p", "b.licence", "b.rule", "first_sentence", F.col("b.last.p").alias("last_p"), F.col("b.last.i").alias("last_sentence"))
     # a match inside a longer one of the same licence isn't counted again
-    earlier = Window.partitionBy("doc_id", "h", "licence").orderBy("first_sentence").rangeBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.max("last_sentence").over(earlier) >= F.col("last_sentence"), F.lit(False))
+    earlier = Window.partitionBy("doc_id", "h", "licence").orderBy("p").rangeBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.max("last_p").over(earlier) >= F.col("last_p"), F.lit(False))
     return hits.withColumn("__in", inside).where("not __in").select("doc_id", "licence", "rule", "first_sentence", "last_sentence")
 
 
 def _reach(ids: list[str], gap: int) -> Column:
-    """The place of a rule's last sentence when its first is `f`, or null."""
-    at = F.when(F.col("f.id") == ids[0], F.col("f.i"))
+    """(p, j, i) of a rule's last sentence when its first is `f`, or null."""
+    place = lambda x: F.struct(x["p"].alias("p"), x["j"].alias("j"), x["i"].alias("i"))
+    at = F.when(F.col("f.id") == ids[0], place(F.col("f")))
     for name in ids[1:]:
-        at = _next(at, name, gap)
+        at = _next(at, name, gap, place)
     return at
 
 
-def _next(prior: Column, name: str, gap: int) -> Column:
-    near = F.filter("m", lambda x: (x["id"] == name) & (x["i"] > prior) & (x["i"] <= prior + gap))
-    return F.array_min(F.transform(near, lambda x: x["i"]))
+def _next(prior: Column, name: str, gap: int, place) -> Column:
+    near = F.filter("m", lambda x: (x["id"] == name) & (x["p"] > prior["p"]) & (x["j"] <= prior["j"] + gap))
+    return F.array_min(F.transform(near, place))
 
 
 def oracle_sql(gap: int = 3) -> str:

@@ -387,6 +387,68 @@ def test_licences(spark):
     assert got == [(1, "MIT", 3), (2, "MIT", 0), (2, "Proprietary", 0), (3, "Apache-2.0", 0)]
 
 
+MIT_WRAPPED = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD_WRAPPED = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE_WRAPPED = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL_WRAPPED = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+
+
+def test_wrapped_licences(spark):
+    gpl2 = GPL_WRAPPED.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    texts = [MIT_WRAPPED, BSD_WRAPPED, APACHE_WRAPPED, GPL_WRAPPED, gpl2]
+    want = [("MIT", 3), ("BSD-3-Clause", 3), ("Apache-2.0", 3), ("GPL-3.0", 2), ("GPL-2.0", 2)]
+    layouts = [lambda t: t, lambda t: re.sub("(?m)^", " * ", t), lambda t: re.sub(r"(?<=\S)\n(?=[^\n])", " ", t), lambda t: re.sub(r"(?<=\S) (?=\S)", "\n", t)]
+    rows = [(10 * k + i, f(t)) for k, f in enumerate(layouts) for i, t in enumerate(texts)]
+    rows += [(90, "All rights\nreserved"), (91, "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"), (92, "subject to the terms of the Mozilla Public License, v. 2.0"), (93, "with permission is hereby\n\ngranted free of charge to any person obtaining a copy")]
+    found = licences.scan(frame(spark, rows)).collect()
+    got = sorted((r.doc_id, r.licence, r.rule.count("+")) for r in found)
+    assert got == sorted([(10 * k + i, *w) for k in range(len(layouts)) for i, w in enumerate(want)] + [(90, "Proprietary", 0), (91, "Apache-2.0", 0), (92, "MPL-2.0", 0)])
+    assert {(r.first_sentence, r.last_sentence) for r in found if r.doc_id == 0} == {(0, 13)}
+
+
 # -- repeats --
 
 
