@@ -136,6 +136,20 @@ def test_disclosing_terms(spark):
     assert pii.find(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_disclosing_terms_of_rare_entities(spark):
+    rows = [(i, f"plain words about number {i % 7} line") for i in range(60)]
+    rows += [(100, "words about Quillon at once@mail.com line\nplain words"), (None, "words about Norvane at never@mail.com line")]
+    rows += [(200 + i, f"plain words {i % 5}\nSigned Brastow sig@mail.com words") for i in range(20)]
+    found = {r.doc_id: {t.term: t.drop for t in r.terms} for r in pii.find(frame(spark, rows)).collect()}
+    n = len(rows)
+    assert found[100] == {"Quillon": False} and found[None] == {"Norvane": False}  # ln(n / 2) / ln(n) = 0.85
+    assert all(set(found[200 + i]) == {"Signed", "Brastow"} for i in range(20)) and not any(found[i] for i in range(60))
+    share = pii.find(frame(spark, rows)).where("doc_id = 100").first().terms[0].share
+    assert share == pytest.approx(np.log(n / 2) / np.log(n))
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert clean[100] == "words about [NAME] at [EMAIL] line\nplain words" and "Brastow" not in clean[205]
+
+
 # -- contamination --
 
 
