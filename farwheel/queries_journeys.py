@@ -125,7 +125,7 @@ def shortest_walks(spark: SparkSession, sf: str) -> DataFrame:
     return paths.within_cost(walk_graph(spark, sf), sources, 500.0).select("source", "node", F.round("metres", 2).alias("metres"))
 
 
-@query("GRF-16_17_18_19_20_21_hmm_match")
+@query("GRF-16_hmm_match")
 def hmm_match(spark: SparkSession, sf: str) -> DataFrame:
     from farwheel.operators import edges, matching
 
@@ -164,10 +164,10 @@ def discover_hops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "GRF-27_28_knots_gaps",
+    "GRF_position_jumps",
     f"""SELECT event_id FROM (SELECT event_id, {HAVERSINE.format('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS m FROM v_fixes WINDOW w AS (PARTITION BY vehicle ORDER BY ts, event_id)) WHERE m > 1500""",
 )
-def knots_gaps(spark: SparkSession, sf: str) -> DataFrame:
+def position_jumps(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("vehicle").orderBy("ts", "event_id")
     m = geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
     return feed.fixes(spark, sf).withColumn("m", m).where("m > 1500").select("event_id")

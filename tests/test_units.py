@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import zipfile
 
 import pandas as pd
@@ -113,3 +114,10 @@ def test_live_stream(spark, tmp_path):
     got = {r.event_id: (round(r.along, 2), r.aboard) for r in spark.sql("SELECT * FROM live").collect()}
     assert set(got) == set(whole) and whole[5][1] is True
     assert pd.Series({k: v[0] for k, v in whole.items()}).is_monotonic_increasing
+
+
+def test_names_claim_what_is_built():
+    from farwheel import catalog
+
+    claimed = {f"{kind}-{n}" for kind, ids in (re.match(r"([A-Z]+)-([0-9_]+)", x).groups() for x in catalog.QUERIES if re.match(r"[A-Z]+-[0-9]", x)) for n in ids.strip("_").split("_")}
+    assert not claimed & {"GRF-17", "GRF-18", "GRF-19", "GRF-20", "GRF-21", "GRF-27", "GRF-28", "JN-27", "JN-28"}
