@@ -1,9 +1,9 @@
 """Line dedup: levelled sorted runs of line hashes.
 
 `LineRuns` is the store: a batch of (line key, documents, largest document) becomes one run sorted by key; when a level
-holds `fanout` runs they are merged into one run of the next level, so a key is rewritten once a level. A new batch
-merge-joins the runs (both sides sorted by key) and then adds its own run. `dedup_lines` sends a table through the
-store in batches of doc_id ranges and then drops lines by the merged runs.
+holds `fanout` runs they are merged into one run of the next level, so a key is rewritten once a level. `unseen` is
+the merge-anti-join of a new batch against the runs (both sides sorted by key). `dedup_lines` doesn't call it: it adds
+each batch of a doc_id range as a run, and drops lines by an aggregate over all runs, joined with all keys.
 
 Keys: the line without ASCII white space at both ends, A-Z in lower case, as a 128-bit hash. Nulls and empty texts are
 one empty line; a null doc_id takes no part and keeps its text; a line that repeats within a document counts once;
