@@ -1,13 +1,15 @@
 """Line dedup: levelled sorted runs of line hashes.
 
-`LineRuns` is the store: a batch of (line key, documents, largest document) becomes one run sorted by key; when a level
-holds `fanout` runs they are merged into one run of the next level, so a key is rewritten once a level. `unseen` is
-the merge-anti-join of a new batch against the runs (both sides sorted by key). `dedup_lines` doesn't call it: it adds
-each batch of a doc_id range as a run, and drops lines by an aggregate over all runs, joined with all keys.
+`LineRuns` is the store. A run is a table of (key, n_docs, max_doc), cut into a fixed number of parts by hash of the key and
+sorted by it within each. A new batch of documents merge-anti-joins all runs: the keys that none holds become a run of their
+own, the others only add to the counts of keys seen before. When a level holds `fanout` runs, they are compacted
+into one of the next level; runs share no key, so that is a merge. All tables are cut alike: the keys of a batch
+are shuffled once, and neither the anti-joins nor the last join with the repeated keys move them again.
 
 Keys: the line without ASCII white space at both ends, A-Z in lower case, as a 128-bit hash. Nulls and empty texts are
 one empty line; a null doc_id takes no part and keeps its text; a line that repeats within a document counts once;
-extra columns pass through `dedup_lines` untouched; an empty table gives an empty result.
+rows of one doc_id are one document, and what it loses goes from each of them; no ties arise, for doc_ids decide; extra columns
+pass through `dedup_lines` untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farwheel.llm.shared import SPACE, prepare, settled, tables, written
+from farwheel.llm.shared import SPACE, marked, partitions, prepare, settled, tables, written
 
 _STRIP = SPACE.encode()
 
@@ -55,45 +57,56 @@ def line_keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs of (key, n_docs, max_doc)."""
+    """Levelled sorted runs of (key, n_docs, max_doc), and the counts of keys that later batches held again."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None) -> None:
         self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or partitions(spark)
         self.levels: list[list[DataFrame]] = []
+        self.again: list[DataFrame] = []
 
-    def _run(self, rows: DataFrame) -> DataFrame:
-        one = rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
-        return written(one.sortWithinPartitions("key"), "run")
+    def cut(self, keys: DataFrame) -> DataFrame:
+        """(key, doc_id) as a table cut like the runs."""
+        return written(keys.repartition(self.buckets, "key"), "line-keys", buckets=self.buckets)
+
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """Merge-anti-join: the rows whose key no run holds."""
+        out = rows
+        for run in self.runs():
+            out = out.join(run.select("key").hint("merge"), "key", "left_anti")
+        return out.select(rows.columns)
 
     def add(self, keys: DataFrame) -> None:
-        """One run of a batch's (doc_id, key); full levels are compacted."""
-        self._put(0, self._run(keys.select("key", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("max_doc"))))
+        """Take in a batch's (key, doc_id), best `cut`: new keys become a run, known ones are counted."""
+        own = keys.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        first = not self.runs()
+        new = written(self.unseen(own), "run", buckets=self.buckets)
+        if not first:
+            self.again.append(written(own.join(new.select("key").hint("merge"), "key", "left_anti"), "seen"))
+        self._put(0, new)
 
     def _put(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._run(_union(self.levels[level]))
+            merged = written(_union(self.levels[level]).repartition(self.buckets, "key"), "run", buckets=self.buckets)
             self.levels[level] = []
             self._put(level + 1, merged)
 
-    def merged(self) -> DataFrame:
-        """(key, n_docs, max_doc) over all runs."""
-        runs = [r for level in self.levels for r in level]
-        if not runs:
+    def repeated(self, min_docs: int) -> DataFrame:
+        """(key, n_docs, max_doc) of the keys that at least `min_docs` documents hold."""
+        if not self.runs():
             return self.spark.createDataFrame([], "key binary, n_docs long, max_doc long")
-        if len(runs) == 1:
-            return runs[0]
-        return _union(runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
-
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """Merge-anti-join: the rows of `keys` whose key no run holds."""
-        out = keys
-        for level in self.levels:
-            for run in level:
-                out = out.join(run.select("key").hint("merge"), "key", "left_anti")
-        return out.select(keys.columns)
+        if not self.again:
+            return _union([r.where(F.col("n_docs") >= min_docs) for r in self.runs()])
+        more = _union(self.again).groupBy("key").agg(F.sum("n_docs").alias("more"), F.max("max_doc").alias("later"))
+        more = written(more, "seen", buckets=self.buckets)
+        n, last = F.col("n_docs") + F.coalesce("more", F.lit(0)), F.greatest("max_doc", "later")
+        return _union([r.join(more.hint("merge"), "key", "left").select("key", n.alias("n_docs"), last.alias("max_doc")).where(F.col("n_docs") >= min_docs) for r in self.runs()])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -104,6 +117,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _batches(keys: DataFrame, n: int) -> list[DataFrame]:
+    """(key, doc_id) in n ranges of doc_id, so that rows of one id stay together."""
     lo, hi = keys.agg(F.min("doc_id"), F.max("doc_id")).first()
     if lo is None:
         return []
@@ -114,19 +128,23 @@ def _batches(keys: DataFrame, n: int) -> list[DataFrame]:
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
     """`docs` with `text` less its repeated lines, plus n_lines and n_dropped (long).
 
-    A key found in at least `min_docs` documents loses all its lines except in the largest doc_id that holds it."""
+    A key found in at least `min_docs` documents loses all its lines except in the largest doc_id that holds it. Only the
+    texts that lose a line move; a bitmap of fixed size tells most others."""
     spark = docs.sparkSession
     prepare(spark)
     since = tables(spark)
-    keys = written(line_keys(docs, min_chars), "line-keys")
     runs = LineRuns(spark)
+    keys = runs.cut(line_keys(docs, min_chars))
     for batch in _batches(keys, batches):
         runs.add(batch)
-    repeated = runs.merged().where(F.col("n_docs") >= min_docs).select("key", "max_doc")
-    drops = keys.join(repeated, "key").where("doc_id < max_doc").groupBy("doc_id").agg(F.collect_list("key").alias("__drop"))
-    drops = settled(drops, "line-drops", since)
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*names).join(drops.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    repeated = written(runs.repeated(min_docs).select("key", "max_doc").repartition(runs.buckets, "key"), "repeated", buckets=runs.buckets)
+    drops = keys.join(repeated.hint("merge"), "key").where("doc_id < max_doc")
+    drops = settled(drops.groupBy("doc_id").agg(F.collect_set("key").alias("__drop")), "line-drops", since)
+
+    rows = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")])
+    near, far = marked(rows, drops)
+    near = near.join(drops.withColumnRenamed("doc_id", "__doc").hint("merge"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    joined = near.unionByName(far.withColumn("__drop", F.lit(None).cast("array<binary>")))
     at, drop_at = joined.columns.index("text"), joined.columns.index("__drop")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in joined.schema.fields if f.name != "__drop"]).add("n_lines", "long").add("n_dropped", "long")
 

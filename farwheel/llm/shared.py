@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. A temporary one only where the session names none and all of Spark runs
+    in one process, as in tests; a cluster without a shared folder is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dir:
             _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="farwheel-")
@@ -38,17 +42,24 @@ def prepare(spark: SparkSession) -> None:
 
 
 _written: dict[str, list[str]] = {}
+_tables: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, free: bool = False, buckets: int = 0, key: str = "key") -> DataFrame:
     """`df` as a table in the shared folder: its lineage is cut, and a lost executor costs one task, not the plan.
 
     The tables of one application go when the driver ends. `free`: ask for the shuffle files behind it to go at once;
-    Spark drops them when the driver's garbage is collected, which may else be much later."""
+    Spark drops them when the driver's garbage is collected, which may else be much later. `buckets`: cut by hash of `key`
+    into so many files, each sorted by it, so that joins of such tables need no shuffle."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    if buckets:
+        _tables[path] = "farwheel_" + path.rsplit("/", 1)[1].replace("-", "_")
+        out.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(_tables[path])
+    else:
+        out.parquet(path)
     if app not in _written:
         _written[app] = []
         atexit.register(_forget, spark, app)
@@ -56,7 +67,7 @@ def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.table(_tables[path]) if buckets else spark.read.schema(df.schema).parquet(path)
 
 
 def tables(spark: SparkSession) -> int:
@@ -76,6 +87,8 @@ def settled(df: DataFrame, name: str, since: int) -> DataFrame:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -158,6 +171,26 @@ def in_bitmap(column: str, marks: bytes) -> Column:
     return F.col(column).isNotNull() & (F.getbit(byte, bit.bitwiseAND(7)) == 1)
 
 
+def marked(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id may be in `ids`, the others): only the first need move to meet what belongs to an id."""
+    near = F.coalesce(in_bitmap("doc_id", bitmap(ids, "doc_id")), F.lit(False))
+    return docs.where(near), docs.where(~near)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` less the rows whose doc_id is in `ids`; rows of a null doc_id stay."""
+    near, far = marked(docs, ids)
+    return near.join(ids.hint("merge"), "doc_id", "left_anti").select(docs.columns).unionByName(far)
+
+
+def beside(known: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The rows of both (part int, ...), by part, the `known` row of a part before its `dealt` ones, which then stream past it:
+    what is known of a part travels once and no task holds a whole part. Columns that a row hasn't are null."""
+    first, later = known.withColumn("__late", F.lit(0)), dealt.withColumn("__late", F.lit(1))
+    both = first.unionByName(later, allowMissingColumns=True)
+    return both.repartition("part").sortWithinPartitions("part", "__late").drop("__late")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable, for every node in `edges` (a long, b long).
 
