@@ -1,12 +1,16 @@
 """HTML extraction by consensus host paths.
 
 Every page scores its containers: a block of text gives its characters outside links to the container that holds it, half
-of them to the next one out, and so on. A container's path is its chain of tags and classes with digits generalised. Each
-page hands its score, as shares that sum to 1, to its paths; Spark sums the shares per host and path, and the path with
-most is the host's. Then every page is extracted anew from the containers on its host's path; a page without one falls
-back to its own best container.
-
-Dropped wherever they stand: the elements and the classes, ids and roles listed below. Blocks are what block elements part;
+of them to the next one out, and so on. A container whose parent belongs to the same article votes for the parent: an
+`article` or `main` always does, another one if the container holds at least half of its text and what else it holds is
+text rather than links. So headings, leads and sections beside the longest part stay. A path is a container's chain of
+tags and classes with digits generalised. Each page hands its score, as shares that sum to 1, to its paths; Spark sums the
+shares per host and path, and the path with most is the host's. Then every page is extracted anew from the containers on
+its host's path; a page without one falls back to its own best container.
+
+Dropped wherever they stand: the elements and roles listed below, and what a class or id names by a whole word or by a compound
+of such words ("ad-slot", "site-header"); a compound with any other word ("share-price", "article-header") drops
+nothing, nor does a header within an article. Blocks are what block elements part;
 `br` is white space. A null html, or one without text, gives an empty text; a null url is host ''; ties go to the first
 path by name; repeated rows get equal texts; an empty table gives no rows; extra columns pass through.
 """
@@ -30,13 +34,22 @@ DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "td", "center", "blockquote"}
-#: Words in a class or id by which a part is not the article's.
-SIGNS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "sponsor", "sponsored", "promo", "promoted", "banner",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "paywall",
-    "sidebar", "sidebars", "rail", "widget", "widgets", "menu", "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "toc",
-    "header", "masthead", "topbar", "footer", "foot", "copyright", "comment", "comments", "commentlist", "disqus", "replies", "reply", "respond",
-    "share", "sharing", "social", "related", "recommended", "pagination", "pager", "login", "signup", "search", "toolbar", "skip",
+#: Words of a class or id by which a part is not the article's, alone and in any compound.
+STRONG = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "sponsored", "promo", "promoted", "cookie", "cookies", "consent", "gdpr",
+    "popup", "modal", "newsletter", "subscribe", "paywall", "sidebar", "sidebars", "widget", "widgets", "menu", "menus", "nav", "navbar", "navigation",
+    "breadcrumb", "breadcrumbs", "masthead", "topbar", "footer", "comments", "commentlist", "disqus", "pagination", "pager", "toolbar",
+}
+#: Words that count alone, and in a compound of words from here or from PLACES.
+SIGNS = STRONG | {
+    "sponsor", "banner", "notice", "notices", "alert", "overlay", "rail", "toc", "header", "foot", "copyright", "comment", "replies", "reply", "respond",
+    "share", "sharing", "social", "related", "recommended", "login", "signup", "search", "skip",
+}
+#: An article with one of these is a reader's.
+COMMENTS = {"comment", "comments", "reply", "replies"}
+PLACES = {
+    "site", "page", "global", "top", "bottom", "left", "right", "main", "buttons", "button", "bar", "links", "link", "icons", "tools", "box", "form", "list", "posts", "articles",
+    "stories", "news", "block", "section", "area", "wrapper", "wrap", "container", "slot", "unit", "inner", "content", "media", "js", "user", "reader", "item",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 #: An opening tag ends an open element of these names, up to the nearest of the bounds.
@@ -57,6 +70,8 @@ class Block(NamedTuple):
 class Page(NamedTuple):
     blocks: list[Block]
     paths: list[str]  # of each container
+    tags: list[str]
+    parents: list[int]  # -1: none
 
     def scores(self) -> list[float]:
         out = [0.0] * len(self.paths)
@@ -67,13 +82,28 @@ class Page(NamedTuple):
                 share /= 2
         return out
 
+    def homes(self) -> list[int]:
+        """The container that each one votes for."""
+        own, size = [0] * len(self.paths), [0] * len(self.paths)
+        for b in self.blocks:
+            for k in b.chain:
+                own[k] += b.own
+                size[k] += len(b.text)
+        out = list(range(len(self.paths)))
+        for k, p in enumerate(self.parents):  # parents stand before their children
+            if p >= 0 and self.tags[p] not in ("html", "body"):
+                mostly = 2 * own[k] >= own[p] and 10 * (own[p] - own[k]) >= 7 * (size[p] - size[k])
+                if self.tags[p] in ("article", "main") or mostly:
+                    out[k] = out[p]
+        return out
+
     def shares(self) -> dict[str, float]:
         by: dict[str, float] = {}
         scores = self.scores()
         total = sum(scores)
-        for path, x in zip(self.paths, scores, strict=True):
+        for home, x in zip(self.homes(), scores, strict=True):
             if x > 0:
-                by[path] = by.get(path, 0.0) + x / total
+                by[self.paths[home]] = by.get(self.paths[home], 0.0) + x / total
         return by
 
     def text(self, path: str | None) -> str:
@@ -99,6 +129,8 @@ class _Open(NamedTuple):
 def parse(source: str) -> Page:
     blocks: list[Block] = []
     paths: list[str] = []
+    tags: list[str] = []
+    parents: list[int] = []
     stack = [_Open("", False, (), "", False)]
     words: list[str] = []
     own = 0
@@ -111,10 +143,11 @@ def parse(source: str) -> Page:
         words.clear()
         own = 0
 
-    def close(names: set[str], bounds: set[str]) -> None:
+    def close(names: set[str], bounds: set[str], part: bool = True) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
-                flush()
+                if part:  # an inline element's end parts no block
+                    flush()
                 del stack[i:]
                 return
             if stack[i].tag in bounds:
@@ -137,7 +170,7 @@ def parse(source: str) -> Page:
         tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
             if tag in INLINE:
-                close({tag}, {x.tag for x in stack} - INLINE)
+                close({tag}, {x.tag for x in stack} - INLINE, part=False)
                 continue
             flush()
             for i in range(len(stack) - 1, 0, -1):
@@ -163,20 +196,32 @@ def parse(source: str) -> Page:
         top = stack[-1]
         named = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
         dropped = top.dropped or tag in DROPPED or (tag == "header" and not ({"article", "main"} & {x.tag for x in stack}))
-        if not dropped and named and tag not in ("html", "body", "article", "main"):
-            signs = set(_WORDS.split(f"{named.get('class', '')} {named.get('id', '')}"))
-            dropped = bool(signs & SIGNS) or named.get("role") in ROLES
+        if tag == "article":
+            dropped = dropped or not COMMENTS.isdisjoint(_WORDS.split(named.get("class", "")))
+        elif not dropped and named and tag not in ("html", "body", "main"):
+            inside = bool({"article", "main"} & {x.tag for x in stack})
+            dropped = named.get("role") in ROLES or any(is_sign(w, inside) for w in f"{named.get('class', '')} {named.get('id', '')}".split())
         chain, path = top.chain, top.path
         if tag not in INLINE:
             path += ">" + ".".join([tag, *sorted(_DIGITS.sub("#", named.get("class", "")).split())])
             if tag in CONTAINERS and not dropped:
+                parents.append(chain[-1] if chain else -1)
                 chain = (*chain, len(paths))
                 paths.append(path)
+                tags.append(tag)
         if dropped and not top.dropped:
             flush()
         stack.append(_Open(tag, dropped, chain, path, top.link or tag == "a"))
     flush()
-    return Page(blocks, paths)
+    return Page(blocks, paths, tags, parents)
+
+
+def is_sign(word: str, in_article: bool) -> bool:
+    """Whether a word of a class or id, perhaps a compound, names a part that is not the article's."""
+    parts = [p for p in _WORDS.split(word) if p]
+    if in_article and "header" in parts:
+        return False
+    return not STRONG.isdisjoint(parts) or (not SIGNS.isdisjoint(parts) and all(p in SIGNS or p in PLACES or p.isdigit() for p in parts))
 
 
 def host_of(url: Column) -> Column:
