@@ -7,10 +7,11 @@ A byte goes if a string of `length` bytes covers it that also starts in a docume
    part and stretch of documents; only runs whose minimizer two documents share go on, so what follows is as large as
    what repeats, not as the corpus.
 2. The texts of these runs are dealt to blocks by minimizer and made distinct, each with its least doc_id. A block's
-   Burrows-Wheeler transform is expanded breadth first: from the interval of the empty string, all intervals of one
-   length are extended backward by every byte at once, which sets the common-prefix values in increasing order; at
-   `length` the expansion stops, and suffixes between which no value was set share `length` bytes. Each such interval gets
-   its least doc_id. Blocks that a frequent minimizer makes too large are dealt again by another hash.
+   Burrows-Wheeler transform, of its whole suffix order, is expanded breadth first: from the interval of the empty string,
+   all intervals of one length are extended backward by every byte at once, which sets the common-prefix values in
+   increasing order; at `length` the expansion stops, and suffixes between which no value was set share `length` bytes.
+   Each such interval gets its least doc_id. Blocks that a frequent minimizer makes too large are dealt again by longer
+   minimizers, up to whole windows, so that no transform outgrows a block however often a passage stands.
 3. Every occurrence of a run looks its text up; windows whose least doc_id is smaller are repeats; spans are joined per
    document and cut.
 
@@ -30,13 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farwheel.llm.shared import bitmap, in_bitmap, mix, partitions, prepare, settled, tables, written
+from farwheel.llm.shared import beside, bitmap, in_bitmap, mix, partitions, prepare, settled, tables, written
 
 #: Bytes of a minimizer, a multiple of 8: long enough that frequent words in a row seldom make one that two texts share.
 K = 24
 #: Bytes of text in one stretch of documents, and in one transform.
 STRETCH, BLOCK = 8_000_000, 60_000
-_SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def eights(x: np.ndarray) -> np.ndarray:
@@ -47,29 +48,31 @@ def eights(x: np.ndarray) -> np.ndarray:
     return v
 
 
-def string_hashes(v: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hashes of all K-byte strings, of `eights`."""
-    m = len(v) - K + 8
-    h = v[:m] * _SEEDS[seed]
-    for at in range(8, K, 8):
-        h = mix(h + mix(v[at : at + m] ^ _SEEDS[seed]))
+def string_hashes(v: np.ndarray, k: int = K) -> np.ndarray:
+    """Hashes of all strings of k >= 8 bytes, of `eights`."""
+    m = len(v) - k + 8
+    seed = _SEED + np.uint64(k - K)
+    h = v[:m] * seed
+    for at in range(8, k, 8):
+        at = min(at, k - 8)
+        h = mix(h + mix(v[at : at + m] ^ seed))
     return h
 
 
-def window_minima(x: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+def window_minima(x: np.ndarray, length: int, k: int = K) -> np.ndarray:
     """The minimizer's hash of each window of `length` bytes of `x` (uint8)."""
     n = len(x)
     if n < length:
         return np.zeros(0, np.uint64)
-    h = string_hashes(eights(x), seed)
-    w, span = length - K + 1, 1
+    h = string_hashes(eights(x), k)
+    w, span = length - k + 1, 1
     while 2 * span <= w:
         h = np.minimum(h[:-span], h[span:])
         span *= 2
     return np.minimum(h[: len(h) - (w - span)], h[w - span :]) if w > span else h
 
 
-def runs_of(texts: list[bytes], length: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(texts: list[bytes], length: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, text's number, first window, windows) of all runs of the texts, in order."""
     out, lo = [], 0
     while lo < len(texts):  # a megabyte at a time
@@ -78,7 +81,7 @@ def runs_of(texts: list[bytes], length: int, seed: int = 0) -> tuple[np.ndarray,
             size += len(texts[hi])
             hi += 1
         n = np.array([len(t) for t in texts[lo:hi]], np.int64)
-        minima = window_minima(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), length, seed)
+        minima = window_minima(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), length, k)
         windows = np.maximum(n - length + 1, 0)
         starts = np.cumsum(n) - n
         of = np.repeat(np.arange(hi - lo), windows)
@@ -101,20 +104,18 @@ def interval_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     `text`: symbols, 0 a separator. Groups hold for suffixes without a separator in their first `length` symbols."""
     n = len(text)
     symbols = int(text.max()) + 1
-    # order by the first `length` symbols: by 8, then doubled
+    # the whole suffix order: by 8 symbols, then doubled until all differ
     v = np.zeros(n + 8, np.uint64)
     v[:n] = text
     for step in (1, 2, 4):
         v[:-step] = (v[:-step] << np.uint64(8 * step)) | v[step:]
-    rank = np.unique(v[:n], return_inverse=True)[1].astype(np.int64)
+    order, rank = _ranked(v[:n])
     have = 8
-    while have < length:
-        ahead = min(have, length - have)
-        later = np.full(n, -1, np.int64)
-        later[: n - ahead] = rank[ahead:]
-        rank = np.unique(rank * (n + 1) + later + 1, return_inverse=True)[1].astype(np.int64)
-        have += ahead
-    order = np.argsort(rank, kind="stable")
+    while rank[order[-1]] < n - 1:
+        later = np.zeros(n, np.int64)
+        later[: n - have] = rank[have:] + 1
+        order, rank = _ranked(rank * (n + 1) + later)
+        have *= 2
     bwt = np.where(order > 0, text[order - 1], 0)
     kind = np.uint16 if n < 65536 else np.int32
     at = np.zeros((symbols, n + 1), kind)
@@ -144,11 +145,25 @@ def interval_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return order, np.cumsum(apart[:-1]) - 1
 
 
-def least_docs(texts: list[bytes], docs: np.ndarray, length: int, seed: int = 1) -> list[np.ndarray]:
-    """For each text, the least doc of each of its windows over all texts."""
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in order of their keys, rank of each place); equal keys have one rank."""
+    order = np.argsort(key, kind="stable")
+    in_order = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
+    return order, rank
+
+
+def least_docs(texts: list[bytes], docs: np.ndarray, length: int, k: int = K) -> list[np.ndarray]:
+    """For each text, the least doc of each of its windows over all texts, which fell together by minimizers of k bytes."""
     total = sum(map(len, texts)) + len(texts)
-    if total > BLOCK and seed < len(_SEEDS):
-        return _dealt_again(texts, docs, length, seed, -(-total // (BLOCK // 2)))
+    if total > BLOCK:
+        if k < length:
+            return _dealt_again(texts, docs, length, k + (length - k + 1) // 2)
+        least: dict[bytes, int] = {}  # all windows of a text are equal
+        for t, d in zip(texts, docs.tolist(), strict=True):
+            least[t[:length]] = min(least.get(t[:length], d), d)
+        return [np.full(len(t) - length + 1, least[t[:length]]) for t in texts]
     raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes + 1) - 1
@@ -171,22 +186,23 @@ def least_docs(texts: list[bytes], docs: np.ndarray, length: int, seed: int = 1)
     return np.split(least[g], np.cumsum(windows)[:-1])
 
 
-def _dealt_again(texts: list[bytes], docs: np.ndarray, length: int, seed: int, parts: int) -> list[np.ndarray]:
-    m, of, at, n = runs_of(texts, length, seed)
+def _dealt_again(texts: list[bytes], docs: np.ndarray, length: int, k: int) -> list[np.ndarray]:
+    m, of, at, n = runs_of(texts, length, k)
+    parts = -(-int((n + length).sum()) // (BLOCK // 2))
     part = (m >> np.uint64(16)) % np.uint64(parts)
     out = [np.zeros(len(t) - length + 1, np.int64) for t in texts]
     for p in np.unique(part):
         runs = np.flatnonzero(part == p)
         least: dict[bytes, int] = {}
         own = []
-        for o, a, k in zip(of[runs].tolist(), at[runs].tolist(), n[runs].tolist(), strict=True):
-            t = texts[o][a : a + k + length - 1]
+        for o, a, c in zip(of[runs].tolist(), at[runs].tolist(), n[runs].tolist(), strict=True):
+            t = texts[o][a : a + c + length - 1]
             own.append((t, o, a))
             d = int(docs[o])
             if least.get(t, d) >= d:
                 least[t] = d
         distinct = list(least)
-        found = dict(zip(distinct, least_docs(distinct, np.array([least[t] for t in distinct], np.int64), length, seed + 1), strict=True))
+        found = dict(zip(distinct, least_docs(distinct, np.array([least[t] for t in distinct], np.int64), length, k), strict=True))
         for t, o, a in own:
             out[o][a : a + len(found[t])] = found[t]
     return out
@@ -299,10 +315,13 @@ def _shared_runs(docs: DataFrame, length: int, parts: int) -> DataFrame:
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Sender(parts, ["part", "ids", "hs", "o", "a"])
+        at_part, u = None, np.zeros(0, np.uint32)
         for b in batches:
-            for x, o, r, info, known in zip(*(b.column(c).to_pylist() for c in ("x", "o", "r", "info", "known")), strict=True):
-                u, a = np.frombuffer(known, np.uint32), np.frombuffer(x, np.uint32)
-                if len(u):
+            for part, known, x, o, r, info in zip(*(b.column(c).to_pylist() for c in ("part", "known", "x", "o", "r", "info")), strict=True):
+                if known is not None:
+                    at_part, u = part, np.frombuffer(known, np.uint32)
+                elif part == at_part and len(u):
+                    a = np.frombuffer(x, np.uint32)
                     hit = np.flatnonzero(u[np.minimum(np.searchsorted(u, a), len(u) - 1)] == a)
                     if len(hit):
                         out.add(np.frombuffer(info, np.int64).reshape(2, -1), np.frombuffer(o, np.uint32)[hit], np.frombuffer(r, np.uint32)[hit])
@@ -316,8 +335,7 @@ def _shared_runs(docs: DataFrame, length: int, parts: int) -> DataFrame:
 
     known = docs.mapInArrow(count, _ddl(["part", "x", "many"])).groupBy("part").applyInArrow(add, "part int, known binary")
     dealt = docs.mapInArrow(deal, _ddl(["part", "x", "info", "o", "r"]))
-    both = dealt.hint("merge").join(known, "part").select("x", "o", "r", "info", "known")
-    back = both.mapInArrow(match, _ddl(["part", "ids", "hs", "o", "a"]))
+    back = beside(known, dealt).mapInArrow(match, _ddl(["part", "ids", "hs", "o", "a"]))
     return back.groupBy("part").applyInArrow(join, "doc_id long, h long, runs binary")
 
 
@@ -456,19 +474,25 @@ def _spans(docs: DataFrame, length: int, parts: int, blocks: int) -> DataFrame:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Sender(parts, ["part", "ids", "hs", "o", "a", "b"])
+        at_part = None
         for b in batches:
-            for x, o, p, info, keys, many, ends, docs_ in zip(*(b.column(c).to_pylist() for c in ("x", "o", "p", "info", "keys", "many", "ends", "docs")), strict=True):
-                m = np.frombuffer(many, np.uint32).astype(np.int64)
-                k = np.searchsorted(np.frombuffer(keys, np.uint64), np.frombuffer(x, np.uint64))
-                base = np.cumsum(m) - m
+            for part, x, o, p, info, *known in zip(*(b.column(c).to_pylist() for c in ("part", "x", "o", "p", "info", "keys", "many", "ends", "docs")), strict=True):
+                if known[0] is not None:
+                    at_part = part
+                    keys, m, end, least = (np.frombuffer(v, t) for v, t in zip(known, (np.uint64, np.uint32, np.uint32, np.int64), strict=True))
+                    m, end = m.astype(np.int64), end.astype(np.int64)
+                    base = np.cumsum(m) - m
+                    continue
+                if part != at_part:
+                    continue
+                k = np.searchsorted(keys, np.frombuffer(x, np.uint64))
                 each = np.repeat(np.arange(len(k)), m[k])
                 step = np.arange(len(each)) - np.repeat(np.cumsum(m[k]) - m[k], m[k])
                 at = base[k][each] + step
-                end = np.frombuffer(ends, np.uint32).astype(np.int64)
                 start = np.where(step > 0, end[at - 1], 0)
                 info_ = np.frombuffer(info, np.int64).reshape(2, -1)
                 of = np.frombuffer(o, np.uint32)[each]
-                hit = np.flatnonzero(np.frombuffer(docs_, np.int64)[at] < info_[0][of])
+                hit = np.flatnonzero(least[at] < info_[0][of])
                 if len(hit):
                     place = np.frombuffer(p, np.uint32).astype(np.int64)[each]
                     out.add(info_, of[hit], (place + start)[hit].astype(np.uint32), (place + end[at] + length - 1)[hit].astype(np.uint32))
@@ -491,8 +515,7 @@ def _spans(docs: DataFrame, length: int, parts: int, blocks: int) -> DataFrame:
     names = ["part", "keys", "many", "ends", "docs"]
     found = docs.mapInArrow(deal_texts, _ddl(["part", "texts", "sizes", "docs", "minima"])).groupBy("part").applyInArrow(expand, _ddl(names))
     places = docs.mapInArrow(deal_places, _ddl(["part", "x", "info", "o", "p"]))
-    both = places.hint("merge").join(found, "part").select("x", "o", "p", "info", *names[1:])
-    back = both.mapInArrow(look_up, _ddl(["part", "ids", "hs", "o", "a", "b"]))
+    back = beside(found, places).mapInArrow(look_up, _ddl(["part", "ids", "hs", "o", "a", "b"]))
     return back.groupBy("part").applyInArrow(unite, "doc_id long, h long, spans binary")
 
 
