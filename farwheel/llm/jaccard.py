@@ -7,17 +7,19 @@
    counted and stands first; it is wider than the prefixes, so a prefix lies in it but for few sets, which then add
    tokens of the rest by hash. Small sets are joined among themselves with all tokens counted.
    Tokens travel as packed blobs, one a hash part and batch; a token of a single set never becomes a row.
-3. Similar sets are partitioned into groups: every set of a token's posting is compared with the posting's hub, the set
-   with most shared tokens, and the connected components of the links found are the groups.
-4. A set is a query to every other group that shares a prefix token and fits in size, unless it has too many tokens that no
-   other candidate has: those count over whole sets and bound its overlap with anything. The group's row of the token-group
-   matrix, the union of its sets' tokens, bounds the overlap; only groups that reach ceil(t n) are opened and their
-   sets compared exactly. Within a group nothing is compared: its sets are connected already.
+3. Every set of a token's posting meets the posting's hub, the set with most shared tokens: what links with the hub is one
+   group, what doesn't stays by itself. Rooms are keyed by hub, so that a set travels once a hub, not once a token; two sets that
+   share a prefix token share a room.
+4. Within a room the sets by themselves are queries. Rows of the token-group matrix, the unions of the groups' tokens,
+   bound a query's overlap with a group; only groups that reach ceil(t n) are opened and compared exactly. Rooms are cut into
+   blocks of bounded tokens, a pair of blocks a task; tasks return links to one set of what they connect, never pairs.
 5. Components over all links.
 
 A null text, or one without words, has an empty set and links with nothing; fewer words than k make one shingle; a null
-doc_id gets its n_shingles and no component; repeated rows are equal sets; ties in any order fall by hash and id; an
-empty table gives no rows. 64-bit hashes stand for shingles and 128-bit ones for sets.
+doc_id gets its n_shingles and no component; repeated rows are equal sets; of one doc_id with several texts each row has its
+own set and component, and all are compared; ties in any order fall by hash; very long texts make large sets, which
+are compared whole; an empty table gives no rows. 64-bit hashes stand for shingles and 128-bit ones for sets, whose first half
+names a class.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from farwheel.llm.shared import bitmap, components, in_bitmap, mix, partitions, prepare, settled, shingle_hashes, tables, word_hashes, words_of, written
+from farwheel.llm.shared import beside, bitmap, components, in_bitmap, partitions, prepare, settled, shingle_hashes, tables, without, word_hashes, words_of, written
 
 #: Sets of at most so many tokens have all of them counted.
 SMALL = 96
-#: Tokens in one hash part.
-PART_TOKENS = 2_000_000
+#: Tokens in one hash part, and in one block of a room.
+PART_TOKENS, BLOCK_TOKENS = 2_000_000, 600_000
 
 
 class Rule:
@@ -58,17 +60,17 @@ class Rule:
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n, fp, small, large, head): the tokens of a set are given once a task."""
+    """(doc_id, n, fp, cid, small, large, head): the tokens of a set are given once a task."""
     large_from = rule.least(SMALL + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
         for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = rule.tokens(t)
                 n = len(s)
-                fp = xxhash.xxh3_128_digest(s.tobytes()) if n else None
+                fp = _print(s)
                 small = large = None
                 head = 0
                 if n and fp not in told and d is not None:
@@ -81,12 +83,20 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
                         head = len(first)
                         more = max(0, rule.prefix(n) - head)
                         large = np.concatenate([first, s[~in_share][:more]]).tobytes()
-                for c, v in zip(cols, (d, n, fp, small, large, head), strict=True):
+                for c, v in zip(cols, (d, n, fp, _class(fp), small, large, head), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n", "fp", "small", "large", "head"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n", "fp", "cid", "small", "large", "head"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, small binary, large binary, head long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, cid long, small binary, large binary, head long")
+
+
+def _print(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
+def _class(fp: bytes | None) -> int | None:
+    return None if fp is None else int.from_bytes(fp[:8], "little", signed=True)
 
 
 #: Tells the tokens of the two joins apart.
@@ -101,8 +111,8 @@ def _joins(n: int, small: bytes | None, large: bytes | None, head: int, rule: Ru
         yield 1, np.frombuffer(large, np.uint64) ^ _LARGE, rule.prefix(n) - head
 
 
-def _shared_tokens(classes: DataFrame, rule: Rule, parts: int, only_counts: bool = False) -> DataFrame:
-    """(cid, join, n, room, rest, df, token): the tokens of df 2 and more; `only_counts`: (cid, held), how many they are."""
+def _shared_tokens(classes: DataFrame, rule: Rule, parts: int) -> DataFrame:
+    """(cid, join, n, room, rest, df, token): the tokens of df 2 and more."""
     p = np.uint64(parts)
 
     def split(x: np.ndarray, *with_x: np.ndarray) -> Iterator[tuple]:
@@ -157,84 +167,154 @@ def _shared_tokens(classes: DataFrame, rule: Rule, parts: int, only_counts: bool
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cid", "join", "n", "room", "rest", "df", "token"]
-        last: tuple = (None, None, None)
-        sums: list[tuple] = []
+        at_part, u, df = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
-            for x, o, r, info, known, dfs in zip(*(b.column(c).to_pylist() for c in ("x", "o", "r", "info", "known", "dfs")), strict=True):
-                if last[0] != known:
-                    last = (known, np.frombuffer(known, np.uint64), np.frombuffer(dfs, np.int64))
-                _, u, df = last
-                if not len(u):
-                    continue
-                a = np.frombuffer(x, np.uint64)
-                at = np.minimum(np.searchsorted(u, a), len(u) - 1)
-                hit = np.flatnonzero(u[at] == a)
-                if only_counts:
-                    cids = np.frombuffer(info, np.int64).reshape(-1, 4)[:, 0]
-                    sums.append((cids, np.bincount(np.frombuffer(o, np.uint32)[hit], minlength=len(cids))))
-                    if sum(len(c) for c, _ in sums) > PART_TOKENS:
-                        yield packed(sums)
-                        sums = []
-                    continue
-                f = np.frombuffer(info, np.int64).reshape(-1, 4)[np.frombuffer(o, np.uint32)[hit]]
-                cols = [*(pa.array(np.ascontiguousarray(f[:, i])) for i in range(4)), pa.array(np.frombuffer(r, np.bool_)[hit]), pa.array(df[at[hit]]), pa.array(a[hit].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names)
-        if sums:
-            yield packed(sums)
-
-    def packed(sums: list[tuple]) -> pa.RecordBatch:
-        """Counts by set, summed and dealt by its hash: one row a part."""
-        cids, inv = np.unique(np.concatenate([c for c, _ in sums]), return_inverse=True)
-        n = np.bincount(inv, np.concatenate([x for _, x in sums]), len(cids)).astype(np.int64)
-        out = [(k, c.tobytes(), x.tobytes()) for k, _, c, x in split(mix(cids.view(np.uint64)), cids, n)]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "cids", "held"])
-
-    def total(key: tuple, table: pa.Table) -> pa.Table:
-        cids, inv = np.unique(np.concatenate([np.frombuffer(v, np.int64) for v in table.column("cids").to_pylist()]), return_inverse=True)
-        n = np.bincount(inv, np.concatenate([np.frombuffer(v, np.int64) for v in table.column("held").to_pylist()]), len(cids))
-        return pa.table({"cid": pa.array(cids), "held": pa.array(n.astype(np.int64))})
+            for part, known, dfs, x, o, r, info in zip(*(b.column(c).to_pylist() for c in ("part", "known", "dfs", "x", "o", "r", "info")), strict=True):
+                if known is not None:
+                    at_part, u, df = part, np.frombuffer(known, np.uint64), np.frombuffer(dfs, np.int64)
+                elif part == at_part and len(u):
+                    a = np.frombuffer(x, np.uint64)
+                    at = np.minimum(np.searchsorted(u, a), len(u) - 1)
+                    hit = np.flatnonzero(u[at] == a)
+                    f = np.frombuffer(info, np.int64).reshape(-1, 4)[np.frombuffer(o, np.uint32)[hit]]
+                    cols = [*(pa.array(np.ascontiguousarray(f[:, i])) for i in range(4)), pa.array(np.frombuffer(r, np.bool_)[hit]), pa.array(df[at[hit]]), pa.array(a[hit].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = classes.select("cid", "n", "small", "large", "head")
     counted = rows.mapInArrow(count, "part int, x binary, c binary")
     known = counted.groupBy("part").applyInArrow(add, "part int, known binary, dfs binary")
     dealt = rows.mapInArrow(deal, "part int, x binary, o binary, r binary, info binary")
-    both = dealt.hint("merge").join(known, "part").select("x", "o", "r", "info", "known", "dfs")
-    if only_counts:
-        return both.mapInArrow(match, "part int, cids binary, held binary").groupBy("part").applyInArrow(total, "cid long, held long")
-    return both.mapInArrow(match, "cid long, join long, n long, room long, rest boolean, df long, token long")
+    return beside(known, dealt).mapInArrow(match, "cid long, join long, n long, room long, rest boolean, df long, token long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The (a, b) of `pairs` that link, by their whole sets."""
-    one = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
+def _whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """(cid, tokens) of the sets in `wanted` (cid, doc_id); a fixed-size bitmap spares other documents the shuffle."""
+    near = docs.where("doc_id is not null").select("doc_id", "text")
+    maybe = near.where(in_bitmap("doc_id", bitmap(wanted, "doc_id")))
+    rows = maybe.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(rule.den * common >= rule.num * (len(both) - common))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            sets = [rule.tokens(t) for t in b.column(1).to_pylist()]
+            cids = [_class(_print(s)) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "tokens"])
 
-    full = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return full.mapInArrow(verify, "a long, b long")
+    made = rows.mapInArrow(run, "cid long, tokens binary").where("cid is not null")
+    return made.groupBy("cid").agg(F.max("tokens").alias("tokens"))
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(cid, tokens) of the documents whose id is in `wanted` (cid); a fixed-size bitmap spares others the shuffle."""
-    near = docs.where("doc_id is not null").select(F.col("doc_id").alias("cid"), "text")
-    maybe = near.where(in_bitmap("cid", bitmap(wanted, "cid")))
-    rows = maybe.join(wanted, "cid", "left_semi")
+def _with_hub(rooms: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(hub, cid, n, linked): every set of `rooms` (hub, cid, n) against its hub, which stands first in each block."""
+    size = rooms.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    inside = rooms.where("cid <> hub").join(size, "hub").select("hub", "cid", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("late"))
+    heads = size.select("hub", F.col("hub").alias("cid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("late"))
+    rows = inside.unionByName(heads).hint("merge").join(sets, "cid").select("hub", "cid", "block", "late", "tokens")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
         for b in batches:
-            out = [rule.tokens(t).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["cid", "tokens"])
-
-    return rows.mapInArrow(run, "cid long, tokens binary").groupBy("cid").agg(F.max("tokens").alias("tokens"))
+            out: list[tuple[int, int, int, bool]] = []
+            for h, c, late, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                if not late:
+                    hub = x
+                    continue
+                small, large = sorted((len(x), len(hub)))
+                common = 0
+                if rule.den * small >= rule.num * large:
+                    both = np.sort(np.concatenate([x, hub]), kind="stable")
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                out.append((h, c, len(x), rule.den * common >= rule.num * (small + large - common)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["hub", "cid", "n", "linked"])
+
+    dealt = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "late")
+    return dealt.mapInArrow(against, "hub long, cid long, n long, linked boolean")
+
+
+def _in_rooms(told: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): what the sets that don't link with their hub connect, of `told` (hub, cid, n, linked)."""
+    blocks = lambda tokens: F.ceil(F.coalesce(tokens, F.lit(0)) / BLOCK_TOKENS).cast("int")
+    room = told.groupBy("hub").agg(
+        blocks(F.sum(F.when(~F.col("linked"), F.col("n")))).alias("alone"), blocks(F.sum(F.when(F.col("linked"), F.col("n")))).alias("grouped"), F.count_if(~F.col("linked")).alias("many")
+    )
+    rows = told.join(room.where("many > 1 or many = 1 and grouped > 0"), "hub")
+    own = F.pmod(F.xxhash64("cid"), F.when(F.col("linked"), F.col("grouped")).otherwise(F.col("alone"))).cast("int")
+    rows = rows.select("hub", "cid", "linked", "alone", "grouped", own.alias("own"))
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"))
+    o = F.col("own")
+    with_groups = F.transform(up_to(F.col("grouped")), lambda q: pair(0, o, q))
+    among = F.transform(up_to(F.col("alone")), lambda q: pair(1, F.least(o, q), F.greatest(o, q)))
+    of_group = F.transform(up_to(F.col("alone")), lambda p: pair(0, p, o))
+    dealt = rows.select("hub", "cid", "linked", "own", F.explode(F.when(F.col("linked"), of_group).otherwise(F.concat(with_groups, among))).alias("c"))
+    dealt = dealt.select("hub", "cid", "linked", "own", "c.kind", "c.lo", "c.hi").hint("merge").join(sets, "cid")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        hub, kind, lo, hi = (x.as_py() for x in key)
+        cid, linked, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "linked", "own"))
+        a, b = room_links([np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("tokens")], linked.astype(bool), own if lo != hi else None, rule, kind == 0)
+        return pa.table({"a": pa.array(cid[a], pa.int64()), "b": pa.array(cid[b] if kind else np.full(len(a), hub), pa.int64())})
+
+    return dealt.groupBy("hub", "kind", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def room_links(sets: list[np.ndarray], linked: np.ndarray, own: np.ndarray | None, rule: Rule, to_group: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), places of sets that link. `to_group`: of each set not `linked` one link at most with the group of those that are;
+    otherwise what the sets not linked connect among themselves, each with the least place of its component. `own`: only
+    sets of different blocks are compared."""
+    none = np.zeros(0, np.int64)
+    m = len(sets)
+    n = np.array([len(s) for s in sets], np.int64)
+    need = -(-rule.num * n // rule.den)
+    col = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    row = np.repeat(np.arange(m), n)
+    alive = np.ones(m, bool)
+    while True:  # a set with too few tokens that others here have can't link; it goes, until none does
+        df = np.bincount(col[alive[row]], minlength=1)
+        held = np.bincount(row, alive[row] & (df[np.minimum(col, len(df) - 1)] > 1), m)
+        keep = alive & (held >= need)
+        if keep.sum() == alive.sum():
+            break
+        alive = keep
+    target = alive & linked if to_group else alive
+    ask = np.flatnonzero(alive & ~linked)
+    if not len(ask) or not target.any():
+        return none, none
+    width = int(col.max()) + 1
+    if to_group:  # the group's row of the matrix: the union of its tokens
+        union = np.zeros(width, bool)
+        union[col[target[row]]] = True
+        ask = ask[np.bincount(row, union[col], m)[ask] >= need[ask]]
+    of_target = target[row]
+    order = np.argsort(col[of_target], kind="stable")
+    holder = row[of_target][order]
+    start = np.searchsorted(col[of_target][order], np.arange(width + 1))
+    first = np.cumsum(n) - n
+    label = np.arange(m)
+    to: list[tuple[int, int]] = []
+    for a in ask.tolist():
+        t = col[first[a] : first[a] + n[a]]
+        many = start[t + 1] - start[t]
+        places = np.repeat(start[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        common = np.bincount(holder[places], minlength=m)
+        ok = target & (rule.den * common >= rule.num * (n[a] + n - common))
+        ok[a] = False
+        if own is not None and not to_group:
+            ok &= own != own[a]
+        hit = np.flatnonzero(ok)
+        if not len(hit):
+            continue
+        if to_group:
+            to.append((a, int(hit[0])))
+        else:
+            joined = np.unique(label[np.append(hit, a)])
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+    if to_group:
+        return (np.array([x for x, _ in to], np.int64), np.array([y for _, y in to], np.int64)) if to else (none, none)
+    moved = np.flatnonzero(label != np.arange(m))
+    return moved, label[moved]
 
 
 def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -245,7 +325,7 @@ def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     made = written(_sets(docs, rule), "sets")
     known = made.where("doc_id is not null and fp is not null")
     classes = written(
-        known.groupBy("fp").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"), F.max("small").alias("small"), F.max("large").alias("large"), F.max("head").alias("head")),
+        known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("cid").alias("cid"), F.max("n").alias("n"), F.max("small").alias("small"), F.max("large").alias("large"), F.max("head").alias("head")),
         "classes",
     )
     tokens = classes.agg(F.sum(F.coalesce(F.octet_length("small"), F.lit(0)) + F.coalesce(F.octet_length("large"), F.lit(0)))).first()[0] or 0
@@ -257,78 +337,28 @@ def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     per = shared.groupBy("cid", "join", "n", "room").agg(F.sort_array(F.collect_list(item)).alias("items"), F.count_if(~F.col("rest")).alias("counted"))
     take = F.greatest(F.lit(0), F.col("room") + F.col("counted")).cast("int")
     per = per.withColumn("items", F.slice("items", F.lit(1), take)).where(F.size("items") > 0)
-    postings = written(per.select("cid", "join", "n", (F.col("counted") / F.col("n")).alias("held"), F.posexplode("items.token").alias("place", "token")), "postings")
-
-    # groups: every set against the hub of each of its postings
-    hubs = postings.groupBy("token").agg(F.max(F.struct("held", -F.col("cid"))).alias("hub"), F.count("*").alias("size")).where("size > 1").select("token", (-F.col("hub.col2")).alias("hub"))
-    fits = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
-    sizes = postings.select("cid", "n").distinct()
-    to_hub = postings.join(hubs, "token").where("cid <> hub").select("cid", "n", "hub").distinct()
-    to_hub = to_hub.join(sizes.select(F.col("cid").alias("hub"), F.col("n").alias("m")), "hub").where(fits(F.col("n"), F.col("m")))
-    to_hub = to_hub.select(F.col("cid").alias("a"), F.col("hub").alias("b"))
-    in_postings = postings.join(hubs.select("token"), "token", "left_semi").select("cid").distinct()
-    sets = written(_whole_sets(docs, written(in_postings, "wanted"), rule), "whole")
-    links = written(_linked(to_hub, sets, rule), "hub-links")
-    groups = components(links)
-
-    # no set overlaps another by more than its tokens that some other candidate has too: `held`, counted over whole sets
-    total = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    whole = sets.select("cid", (F.octet_length("tokens") / 8).cast("long").alias("n"), F.col("tokens").alias("small"), F.lit(None).cast("binary").alias("large"), F.lit(0).cast("long").alias("head"))
-    held = _shared_tokens(whole, rule, max(partitions(spark), total // 8 // PART_TOKENS + 1), only_counts=True)
-    member = sizes.join(held, "cid").where(F.col("held") * den >= F.col("n") * num)
-    member = member.join(groups, member["cid"] == groups["node"], "left").select("cid", "n", "held", F.coalesce("component", "cid").alias("g"))
-    member = written(member, "members")
-    may = lambda n, o, m, p: (num + den) * F.least(o, p) >= num * (n + m)  # noqa: E731  the least overlap of sizes n and m
-
-    # queries against other groups that share a prefix token
-    # tokens that no other candidate has stand first in the order and take up a prefix's first places; what is left are
-    # the first tokens of those that have a posting in common, whose places count among themselves
-    least = F.floor((F.col("n") * num + den - 1) / den)
-    place = F.row_number().over(Window.partitionBy("cid", "join").orderBy("place"))
-    common = postings.join(hubs.select("token"), "token", "left_semi").select("token", "cid", place.alias("place"))
-    grouped = common.join(member, "cid").where(F.col("place") <= F.col("held") - least + 1).drop("place")
-    mixed = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
-    open_rows = written(grouped.join(mixed, "token", "left_semi"), "mixed")
-    of_group = member.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("held").alias("most"))
-    asks = open_rows.join(of_group.select("g", "members"), "g").select("token", "cid", "n", "held", F.col("g").alias("own"), F.col("members").alias("own_members"))
-    cells = open_rows.select("token", "g").distinct().join(of_group, "g")
-    near = (F.col("n_max") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("n_min") * num) & may(F.col("n"), F.col("held"), F.col("n_min"), F.col("most"))
-    smaller = F.struct("own_members", "own") < F.struct("members", "g")
-    queries = written(asks.join(cells, "token").where(smaller & near).select("cid", "n", "held", "g", "members").distinct(), "queries")
-
-    # single-set groups are compared at once, others when the matrix allows
-    single = queries.where("members = 1").select(F.col("cid").alias("a"), F.col("g").alias("b"))
-    many = queries.where("members > 1").select("cid", "n", "held", "g")
-    asked = many.select("g").distinct()
-    matrix = _exploded(member.join(asked, "g", "left_semi").select("g", "cid"), sets, "g").distinct()
-    overlap = _exploded(many.select("cid", "g"), sets, "cid", "g").join(matrix, ["g", "token"]).groupBy("cid", "g").agg(F.count("*").alias("bound"))
-    opened = many.join(overlap, ["cid", "g"]).where(F.col("bound") * den >= F.col("n") * num)
-    other = member.select("g", F.col("cid").alias("d"), F.col("n").alias("m"), F.col("held").alias("p"))
-    inside = opened.join(other, "g").where(fits(F.col("n"), F.col("m")) & may(F.col("n"), F.col("held"), F.col("m"), F.col("p"))).select(F.col("cid").alias("a"), F.col("d").alias("b"))
-    more = _linked(written(single.unionByName(inside).distinct(), "pairs"), sets, rule)
-    final = components(links.unionByName(more))
-
-    home = classes.join(final, classes["cid"] == final["node"], "left").select("fp", F.coalesce("component", "cid").alias("component_id"))
-    out = made.select("doc_id", "n", "fp").join(home, "fp", "left")
+    postings = written(per.select("cid", "n", (F.col("counted") / F.col("n")).alias("held"), F.explode("items.token").alias("token")), "postings")
+
+    hubs = postings.groupBy("token").agg(F.max(F.struct("held", "cid")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("token", F.col("hub.cid").alias("hub"))
+    rooms = written(postings.join(hubs, "token").select("hub", "cid", "n").distinct(), "rooms")
+    # joins with sets and texts are merges at every size, so that cost grows as the input does
+    wanted = rooms.select("cid").distinct().join(classes.select("cid", "doc_id"), "cid")
+    sets = written(_whole_sets(docs, written(wanted, "wanted"), rule), "whole")
+    told = written(_with_hub(rooms, sets, rule), "told")
+    links = told.where("linked").select(F.col("cid").alias("a"), F.col("hub").alias("b")).unionByName(_in_rooms(told, sets, rule))
+    final = components(written(links, "links"))
+
+    least = final.join(classes.select("cid", "doc_id"), F.col("node") == F.col("cid")).groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = final.join(least, "component").select("node", "least")
+    home = classes.join(named, F.col("cid") == F.col("node"), "left").select("fp", F.coalesce("least", "doc_id").alias("component_id"))
+    out = made.select("doc_id", "n", "fp").join(home.hint("merge"), "fp", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return settled(out, "jaccard", since)
 
 
-def _exploded(rows: DataFrame, sets: DataFrame, *keep: str) -> DataFrame:
-    """`keep` columns and one row a token of the set `cid`."""
-    names = list(keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            xs = [np.frombuffer(v, np.int64) for v in b.column(len(names)).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(xs)), [len(x) for x in xs]))
-            tokens = np.concatenate(xs) if xs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(names))), pa.array(tokens, pa.int64())], [*names, "token"])
-
-    return rows.join(sets, "cid").select(*names, "tokens").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "token"]))
-
-
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """`docs` with the smallest doc_id of each component; rows of a null doc_id stay."""
-    gone = components_of(docs, k, num, den).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """`docs` with the smallest doc_id of each component; rows of a null doc_id stay, rows of one doc_id go together.
+
+    Ids move, and of the texts about those that go."""
+    gone = components_of(docs, k, num, den).where("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, written(gone, "gone"))
