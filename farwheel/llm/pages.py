@@ -209,7 +209,7 @@ def parse(source: str) -> Page:
                 chain = (*chain, len(paths))
                 paths.append(path)
                 tags.append(tag)
-        if dropped and not top.dropped:
+        if dropped and not top.dropped and tag not in INLINE:
             flush()
         stack.append(_Open(tag, dropped, chain, path, top.link or tag == "a"))
     flush()

@@ -77,8 +77,7 @@ def test_pack(spark):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    rows = [*corpus(), (96, "two  spaces \n\n lines\t'll don't"), (97, "<|endoftext|> x"), (93, "a")]
+    rows = [*corpus(), (96, "two  spaces \n\n lines\t'll don't"), (97, "<|endoftext|> x"), (98, "a<|endoftext|>b <|endoftext|><|endoftext|>"), (99, "a <|endoftext| >  <|endoftext|> b"), (93, "a")]
     got = packing.pack(frame(spark, rows), capacity=64).toPandas()
     seen = got.sort_values(["sequence_id", "offset"])
     for _, s in seen.groupby("sequence_id"):
@@ -226,10 +225,42 @@ def test_hamming_index_is_whole():
     items = rng.integers(0, 2**63, 50).astype(np.uint64)
     flips = np.array([int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 26), replace=False))) for _ in range(400)], np.uint64)
     prints = items[rng.integers(0, 50, 400)] ^ flips
-    got = set(zip(*(x.tolist() for x in contamination.Index.candidates(prints, items)), strict=True))
+    got = set(zip(*(x.tolist() for x in contamination.candidates(prints, items, contamination.multi_index(items))), strict=True))
     assert got == {(a, b) for a in range(400) for b in range(50) if int(prints[a] ^ items[b]).bit_count() <= contamination.RADIUS}
 
 
+def test_radius_recall():
+    """Of pairs at a similarity of 0.8 and more, with shingles of equal and of unequal weights, hardly one lies beyond RADIUS."""
+    rng = random.Random(31)
+    far = total = 0
+    for _ in range(4000):
+        n = rng.randint(12, 120)
+        heavy = rng.random() < 0.5
+        bag = Counter({rng.getrandbits(64): rng.choice([1, 1, 1, 2, 5]) if heavy else 1 for _ in range(n)})
+        other = Counter(bag)
+        while True:
+            was = Counter(other)
+            other[rng.choice(list(other))] -= 1
+            other = +other
+            other[rng.getrandbits(64)] += 1
+            if contamination.Index._similar(bag, other) < 0.8:
+                break
+        total += 1
+        prints = [contamination.Index._print(None, x) for x in (bag, was)]
+        far += (prints[0] ^ prints[1]).bit_count() > contamination.RADIUS
+    assert far <= 0.002 * total  # all stand just above 0.8, the farthest that count
+
+
+def test_contamination_edges(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item)], "item_id long, text string")
+    rows = [(None, item), (5, item), (5, item), (6, "x " * 30_000 + item), (7, None)]
+    got = Counter((r.doc_id, r.item_id) for r in contamination.find(frame(spark, rows), bench).collect())
+    assert got == Counter({(None, 1): 2, (None, None): 1, (5, 1): 4, (5, None): 2, (6, 1): 2, (6, None): 1})
+    assert contamination.remove(frame(spark, rows), bench).columns == ["doc_id", "text", "n", "key", "h"]
+    assert contamination.find(frame(spark, rows).limit(0), bench).count() == 0
+
+
 # -- language --
 
 
@@ -250,6 +281,33 @@ def test_language(spark):
     assert kept >= {i for i, _, _ in rows} and 901 not in kept
 
 
+def test_language_equals_plain_compression(spark):
+    """identify against one compressor a language and a whole text, without blocks, batches or Spark."""
+    import zstandard
+
+    rng = random.Random(5)
+    langs = {"aa": ["thing", "ation", "the"], "bb": ["ueil", "ment", "oir"], "cc": ["thing", "oir", "szcz"]}
+    rows = [(i, words(rng, rng.randint(5, 200), v), k) for i, (k, v) in enumerate(list(langs.items()) * 15)]
+    rows += [(None, "The HAND, with 12 things", "aa"), (3, rows[3][1], "cc"), (3, rows[3][1], "cc"), (700, "thing " * 30_000, None), (701, "\u00e9t\u00e9", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df.where("lang is not null").select("text", "lang"))
+    want = []
+    for d, t, _ in rows:
+        data = b" " + b" ".join(re.sub(r"[\x00-\x08\x0e-\x1b!-@\[-`{-\x7f]", "", re.sub("[A-Z]", lambda m: m[0].lower(), t)).encode().split()) + b" "
+        sizes = []
+        for k in sorted(model):
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(model[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_content_size=False, write_dict_id=False))
+            sizes.append((sum(len(c.compress(data[i : i + 4096])) for i in range(0, len(data), 4096)), k))
+        sizes.sort()
+        want.append((str(d), sizes[0][1], round(1 - sizes[0][0] / sizes[1][0], 9)))
+    got = [(str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in langid.identify(df, model).collect()]
+    assert sorted(got) == sorted(want)
+    held = {r.doc_id: r.h for r in df.select("doc_id", langid.held_out().alias("h")).collect()}
+    import zlib
+
+    assert all(h == (d is not None and zlib.crc32(str(d).encode()) % 5 == 0) for d, h in held.items())
+
+
 # -- Jaccard --
 
 
@@ -289,6 +347,31 @@ def test_jaccard_edges(spark):
     assert jaccard.components_of(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_of_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, a), (7, b), (3, a + " x"), (9, b + " y"), (5, "z " + b)]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.components_of(frame(spark, rows), 5, 80, 100).collect())
+    assert got == [(3, 3), (5, 5), (7, 3), (7, 5), (9, 5)]
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK_TOKENS, 300])
+def test_jaccard_in_rooms(spark, monkeypatch, block):
+    """Near copies that share edits among themselves, but many of which don't link with the text that they all copy."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", block)
+    rng = random.Random(17)
+    base_ = [f"b{i}" for i in range(60)]
+    rows = [(0, " ".join(base_))]
+    for i in range(1, 70):
+        w = list(base_)
+        for cut in range(rng.randint(0, 4)):
+            at = rng.randrange(12) * 5
+            w[at] = f"edit{at}" if rng.random() < 0.7 else f"own{i}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(frame(spark, rows), 4, 85, 100).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+    assert len({c for _, c in got.values()}) > 5
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 80) if i % 9] + [(rng.randrange(200, 230), rng.randrange(200, 230)) for _ in range(25)]
@@ -325,6 +408,44 @@ def test_pages(spark):
     assert path.host == "host.com" and path.path == ">html>body>div.post.post-#"
 
 
+BODIES = {
+    # page -> what of it is the article's
+    "<article><h1>Head</h1><p>A lead</p><div class=body><p>" + "Body text goes on. " * 30 + "</p></div></article>": "Head\nA lead\n" + ("Body text goes on. " * 30).strip(),
+    "<main><section class=intro><p>An introduction of some words</p></section><section class=body><p>" + "The longer part. " * 20 + "</p></section></main>": "An introduction of some words\n" + ("The longer part. " * 20).strip(),
+    '<div id=wrap><div class=links><a href=a>One link here</a> <a href=b>Another link here</a></div><div class=story><h2>Title</h2><div class=txt><p>' + "Told at length. " * 20 + "</p></div></div></div>": "Title\n" + ("Told at length. " * 20).strip(),
+    '<article><div class="article-header"><h1>Head</h1></div><div class="share-price"><p>Shares rose</p></div><p>' + "More of it. " * 20 + '</p><div class="ad-slot">Buy</div><div class="share-buttons">Tweet</div></article>': "Head\nShares rose\n" + ("More of it. " * 20).strip(),
+    '<div class="site-header"><p>The site</p></div><div class="cookie-notice">We set cookies</div><div class=post><p>' + "Post text. " * 20 + '</p></div><div id="reader-comments"><p>' + "I disagree. " * 40 + "</p></div>": ("Post text. " * 20).strip(),
+    '<article><header class="header"><h1>Kept</h1></header><p>' + "Words. " * 9 + "</p><table><tr><td>a</td><td>b &lt; c</td></tr></table><pre>x\n  y</pre></article><article class=comment><p>" + "No. " * 90 + "</p></article>": "Kept\n" + ("Words. " * 9).strip() + "\na\nb < c\nx y",
+}
+
+
+def test_pages_of_many_shapes(spark):
+    rows = [(i, f"http://h{i}.org/{j}", html) for i, html in enumerate(BODIES) for j in range(2)]
+    rows += [(100, "http://h0.org/x", next(iter(BODIES)).replace("Body text", "Other " * 20_000))]
+    got = [(r.page_id, r.text) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    want = [(i, text) for i, text in enumerate(BODIES.values()) for _ in range(2)]  # repeated rows
+    assert sorted(x for x in got if x[0] < 100) == want
+    assert [len(x.split()) for i, x in got if i == 100] == [3 + 30 * 20_002]
+    assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_against_what_was_built(spark):
+    """Random pages whose article is known, with parts that aren't the article's about and within it."""
+    rng = random.Random(41)
+    vocab = [f"word{i}" for i in range(200)] + ["caf\u00e9", "a&amp;b", "&lt;x&gt;"]
+    plain = lambda t: t.replace("&amp;", "&").replace("&lt;", "<").replace("&gt;", ">")
+    noise = ["<nav><ul><li><a href=/>Home page</a></li></ul></nav>", "<aside><p>%s</p></aside>", '<div class="ad">%s</div>', "<form><p>%s</p><input name=q></form>", "<script>var a='</p>%s';</script>", "<footer>%s</footer>", "<!-- %s -->", '<div class="cookie-bar" id=c>%s</div>', '<section id="comments"><p>%s</p></section>']
+    rows, want = [], {}
+    for i in range(40):
+        blocks = [words(rng, rng.randint(3, 60), vocab) for _ in range(rng.randint(2, 8))]
+        junk = lambda: "".join(rng.choice(noise).replace("%s", words(rng, rng.randint(1, 90), vocab)) for _ in range(rng.randint(0, 3)))
+        body = f"<h1>{blocks[0]}</h1>" + "".join(rng.choice(["<p>%s</p>", "<p>%s", "<h2>%s</h2>", "<ul><li>%s</ul>", "<blockquote>%s</blockquote>", "<div>%s</div>"]).replace("%s", b.replace(" ", rng.choice([" ", "  ", "\n", "<br>", " <b></b>"]))) + junk() for b in blocks[1:])
+        rows.append((i, f"https://site{i % 3}.net/{i}", f"<html><head><title>x</title></head><body>{junk()}<article>{body}</article>{junk()}</body></html>"))
+        want[i] = plain("\n".join(blocks))
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 # -- vectors --
 
 
@@ -386,9 +507,27 @@ def test_runs_compact(spark):
     for b in range(5):
         runs.add(spark.createDataFrame([(b, bytes([k])) for k in range(b, b + 3)], "doc_id long, key binary"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {bytes(r.key): (r.n_docs, r.max_doc) for r in runs.merged().collect()} == {bytes([k]): (len(o), max(o)) for k in range(7) if (o := [b for b in range(5) if b <= k < b + 3])}
+    assert {bytes(r.key): (r.n_docs, r.max_doc) for r in runs.repeated(1).collect()} == {bytes([k]): (len(o), max(o)) for k in range(7) if (o := [b for b in range(5) if b <= k < b + 3])}
     new = spark.createDataFrame([(9, bytes([k])) for k in (3, 50)], "doc_id long, key binary")
     assert [bytes(r.key) for r in runs.unseen(new).collect()] == [bytes([50])]
+    assert {bytes(r.key) for r in runs.repeated(2).collect()} == {bytes([k]) for k in range(1, 6)}
+
+
+def test_lines_of_repeated_ids(spark):
+    line = "a line that stands in many documents"
+    rows = [(1, line), (1, line + "\nother"), (2, line), (None, line), (5, "x" * 40_000 + "\n" + "y" * 19)]
+    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(frame(spark, rows)).collect())
+    assert got == sorted((str(d), t.count("\n") + 1, 0, t) for d, t in rows)  # in two documents only, whatever their rows
+    got = {(r.doc_id, r.text) for r in lines.dedup_lines(frame(spark, [*rows, (9, line)])).collect()}
+    assert got == {(1, ""), (1, "other"), (2, ""), (None, line), (5, rows[4][1]), (9, line)}
+
+
+def test_marked_rows(spark):
+    rows = frame(spark, [(None, "a"), (1, "b"), (2, "c"), (2, "d")])
+    ids = spark.createDataFrame([(2,), (7,)], "doc_id long")
+    assert sorted(r.text for r in shared.without(rows, ids).collect()) == ["a", "b"]
+    near, far = shared.marked(rows, ids)
+    assert near.count() >= 2 and near.count() + far.count() == 4
 
 
 # -- licences --
@@ -490,19 +629,48 @@ def test_repeats(spark):
     assert repeats.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [24, 37])
 @pytest.mark.parametrize("block", [repeats.BLOCK, 300])
-def test_interval_expansion(monkeypatch, block):
+def test_interval_expansion(monkeypatch, block, length):
     monkeypatch.setattr(repeats, "BLOCK", block)
     rng = random.Random(12)
-    texts = list({bytes(rng.choice(b"ab") for _ in range(rng.randint(24, 60))) for _ in range(60)} | {b"a" * 70, b"ab" * 40})
+    texts = list({bytes(rng.choice(b"ab") for _ in range(rng.randint(length, 70))) for _ in range(60)} | {b"a" * 70, b"ab" * 40})
     docs = np.array([rng.randrange(40) for _ in texts])
     least: dict[bytes, int] = {}
     for t, d in zip(texts, docs.tolist(), strict=True):
-        for i in range(len(t) - 23):
-            w = t[i : i + 24]
+        for i in range(len(t) - length + 1):
+            w = t[i : i + length]
             least[w] = min(least.get(w, d), d)
-    got = repeats.least_docs(texts, docs, 24)
-    assert [x.tolist() for x in got] == [[least[t[i : i + 24]] for i in range(len(t) - 23)] for t in texts]
+    got = repeats.least_docs(texts, docs, length)
+    assert [x.tolist() for x in got] == [[least[t[i : i + length]] for i in range(len(t) - length + 1)] for t in texts]
+
+
+def test_suffix_order_is_whole():
+    rng = random.Random(3)
+    text = np.array([rng.choice([1, 1, 2, 3]) for _ in range(400)] + [0] + [1] * 90 + [0], np.uint8)
+    order, group = repeats.interval_groups(text, 50)
+    raw = text.tobytes()
+    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    for a, b, same in zip(order, order[1:], group[1:] == group[:-1], strict=False):
+        x, y = raw[a : a + 50], raw[b : b + 50]
+        if len(x) == len(y) == 50 and 0 not in x and 0 not in y:
+            assert same == (x == y)
+
+
+def test_no_transform_outgrows_a_block(monkeypatch):
+    """A passage between random flanks, however often it stands."""
+    rng = random.Random(4)
+    passage = bytes(rng.choice(b"abcdefgh") for _ in range(90))
+    sizes = []
+    inner = repeats.interval_groups
+    monkeypatch.setattr(repeats, "interval_groups", lambda t, n: (sizes.append(len(t)), inner(t, n))[1])
+    for many in (500, 4000):
+        flank = lambda: bytes(rng.choice(b"ijklmnop") for _ in range(60))
+        texts = [flank() + passage + flank() for _ in range(many)]
+        own = [t[10:-10] for t in texts]
+        got = repeats.least_docs(own, np.arange(many), 50)
+        assert all(x[50 : 50 + 41].tolist() == [0] * 41 for x in got)
+        assert max(sizes) <= repeats.BLOCK
 
 
 def test_may_share_misses_none():
