@@ -111,13 +111,14 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, header, cause, effect, route_id, stop_id, periods): one alert an error event, in force for two hours."""
+    """(id, header, description, cause, effect, route_id, stop_id, periods): one alert an error event, in force for two hours."""
     e = F.col("event_id")
     start = F.date_trunc("second", "ts")
     n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
     return table(spark, sf_dir, "events").where("event_type = 'error'").crossJoin(F.broadcast(n)).select(
         e.alias("id"),
         F.when(e % 9 == 0, "Sciopero nazionale").otherwise("Avviso").alias("header"),
+        F.when(e % 13 == 0, "Possibile agitazione sindacale").otherwise("").alias("description"),
         (e % 12).cast("int").alias("cause"),
         (e % 7).cast("int").alias("effect"),
         (e % 25).cast("int").alias("route_id"),
@@ -151,7 +152,7 @@ _V: dict[str, tuple[str, tuple[str, ...]]] = {
     "v_updates": ("""SELECT event_id % (SELECT count(*) FROM orders) AS trip_id, CAST(event_id % 8 AS INT) AS pos, CAST(floor(value) - 100 AS INT) AS delay,
         event_id % 17 = 0 AS canceled, event_id % 11 = 0 AS skipped, event_id FROM events""", ()),
     "v_history": ("""SELECT ts AS at, value AS walk_m, value * 10 AS ride_m, value * 1.5::DOUBLE AS direct_m, CAST(floor(value * 2) AS INT) AS seconds, user_id AS rider FROM events""", ()),
-    "v_alerts": ("""SELECT event_id AS id, CASE WHEN event_id % 9 = 0 THEN 'Sciopero nazionale' ELSE 'Avviso' END AS header, CAST(event_id % 12 AS INT) AS cause,
+    "v_alerts": ("""SELECT event_id AS id, CASE WHEN event_id % 9 = 0 THEN 'Sciopero nazionale' ELSE 'Avviso' END AS header, CASE WHEN event_id % 13 = 0 THEN 'Possibile agitazione sindacale' ELSE '' END AS description, CAST(event_id % 12 AS INT) AS cause,
         CAST(event_id % 7 AS INT) AS effect, CAST(event_id % 25 AS INT) AS route_id, event_id % (SELECT count(*) FROM supplier) AS stop_id, date_trunc('second', ts) AS start,
         CASE WHEN event_id % 5 = 0 THEN NULL ELSE date_trunc('second', ts) + INTERVAL 2 HOUR END AS "end" FROM events WHERE event_type = 'error'""", ()),
 }

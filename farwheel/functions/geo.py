@@ -95,5 +95,15 @@ def merged_width(base: float, n: Column) -> Column:
     return _d(base) * F.least(1 + 0.4 * (n - 1), _d(3.0))
 
 
+def derived_speed(metres: Column, seconds: Column) -> Column:
+    """Metres a second from the fix before; -1 without one, too soon after it, or too long."""
+    return F.coalesce(F.when(seconds.between(0.5, 30.0), metres / seconds), _d(-1.0))
+
+
+def moving_like_a_vehicle(trail: Column, t: Column, along: Column, least_seconds: float = 6.0, speed: float = 7.5) -> Column:
+    """Whether some span from a sample of `trail` (array<struct<t, along>>) until now is long and fast enough."""
+    return F.exists(trail, lambda x: (t - x["t"] >= least_seconds) & ((along - x["along"]) / (t - x["t"]) >= speed))
+
+
 def me_heading(speed: Column, course: Column, compass: Column) -> Column:
     return F.when(speed >= 4.0, course).otherwise(F.coalesce(compass, course))

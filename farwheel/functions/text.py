@@ -69,8 +69,24 @@ def version_key(version: Column) -> Column:
     return F.struct(num(1, 0).alias("major"), num(2, 0).alias("minor"), num(3, 0).alias("patch"), num(4, 1 << 30).alias("pre"), num(5, 0).alias("point"))
 
 
-def is_strike(cause: Column, header: Column) -> Column:
-    return (cause == STRIKE_CAUSE) | header.rlike(f"(?i){STRIKE_WORDS}")
+def is_strike(cause: Column, header: Column, description: Column) -> Column:
+    words = f"(?i){STRIKE_WORDS}"
+    return F.coalesce(cause == STRIKE_CAUSE, F.lit(False)) | F.coalesce(header, F.lit("")).rlike(words) | F.coalesce(description, F.lit("")).rlike(words)
+
+
+def translation(texts: Column, language: str = "it") -> Column:
+    """Of array<struct<text, language>>: the first text in the language, else the first of all, else ''."""
+    have = F.filter(texts, lambda t: t["text"].isNotNull())
+    own = F.filter(have, lambda t: F.coalesce(F.startswith(F.lower(t["language"]), F.lit(language)), F.lit(False)))
+    return F.coalesce(F.get(own, 0)["text"], F.get(have, 0)["text"], F.lit(""))
+
+
+def address_line(street: Column, number: Column, city: Column) -> Column:
+    return F.concat_ws(", ", F.when(street.isNotNull(), F.concat_ws(" ", street, number)), city)
+
+
+def place_name(name: Column, street: Column, number: Column, city: Column) -> Column:
+    return F.coalesce(name, F.when(street.isNotNull(), F.concat_ws(" ", street, number)), city, F.lit("?"))
 
 
 def duration_label(seconds: Column) -> Column:

@@ -54,3 +54,10 @@ def minutes_late(seconds: Column) -> Column:
 def picked_day(day: Column, picked: Column, now: Column) -> Column:
     """A picked clock time more than 30 minutes past means tomorrow."""
     return F.when(picked < now - 1800, F.date_add(day, 1)).otherwise(day)
+
+
+def update_due(seconds_since: Column, forced: Column, has_version: Column, file_there: Column, etag: Column) -> Column:
+    """(due, etag) of a check for a newer file: due when forced, never checked, or a day after the last check; the etag goes along
+    only unless forced, and only while the file that it stands for is there."""
+    due = forced | seconds_since.isNull() | (seconds_since >= 86400)
+    return F.struct(due.alias("due"), F.when(~forced & (~has_version | file_there), etag).alias("etag"))

@@ -15,7 +15,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFram
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     state = nodes.select("node", F.col("node").alias("component"))
     if not _checkpoints(spark):
-        spark.sparkContext.setCheckpointDir(_scratch())
+        spark.sparkContext.setCheckpointDir(_scratch(spark))
     both, state = both.checkpoint(), state.checkpoint()
     for _ in range(rounds):
         near = both.join(state, both["b"] == state["node"]).groupBy("a").agg(F.min("component").alias("m"))
@@ -32,9 +32,16 @@ def _checkpoints(spark) -> bool:
     return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
 
 
-def _scratch() -> str:
+def _scratch(spark) -> str:
+    """The session's shared folder; a temporary one only where it names none and all of Spark runs in one process."""
+    import re
     import tempfile
 
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return "file://" + tempfile.mkdtemp(prefix="farwheel-ckpt-")
 
 

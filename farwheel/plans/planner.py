@@ -8,6 +8,8 @@ no label meets all trips. Rounds are checkpointed, since each reads the last one
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +19,11 @@ from farwheel.operators import spatial, timetable
 from farwheel.operators.graph import _checkpoints, _scratch
 
 LEG = "array<struct<kind:string,from_stop:bigint,to_stop:bigint,trip_id:bigint,dep:int,arr:int,walk:double>>"
-TRANSFER, MAX_WAIT = 60, 7200
+TRANSFER = 60
+#: Arrive-by: seconds kept at the stop before the first ride, how far before the window the first pass starts, and passes.
+BOARD_BUFFER, LOOKBACK, PASSES = 120, 3600, 8
+#: Seconds by which a walk may overshoot a ride that is still caught.
+GRACE = 30
 
 
 def _leg(kind: str, a: str, b: str, trip: str | None, dep: str, arr: str, walk) -> F.Column:
@@ -44,7 +50,7 @@ def ride(labels: DataFrame, pattern_stops: DataFrame, runs: DataFrame, stop_time
     w = Window.partitionBy("pattern_id", "pos").orderBy(F.col("t").desc(), "kind", F.col("trip_id").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     run = F.last(F.when(F.col("kind") == 0, F.struct("trip_id", "offset", F.col("t").alias("dep"))), ignorenulls=True).over(w)
     on = asks.unionByName(offers, allowMissingColumns=True).withColumn("run", run).where("kind = 1 and run is not null")
-    on = on.select("request", "pattern_id", "pos", "from_stop", "walk", "legs", "t", "run.trip_id", "run.offset", "run.dep").where(F.col("dep") - F.col("t") <= MAX_WAIT)
+    on = on.select("request", "pattern_id", "pos", "from_stop", "walk", "legs", "t", "run.trip_id", "run.offset", "run.dep")
     later = stop_times.select("trip_id", F.col("pos").alias("pos2"), F.col("stop_id").alias("to_stop"), F.col("arr").alias("sched"))
     off = on.join(later, "trip_id").where("pos2 > pos").withColumn("arr2", (F.col("sched") + F.col("offset")).cast("int"))
     if suspended is not None:
@@ -61,38 +67,145 @@ def walk_on(labels: DataFrame, footpaths: DataFrame, cap: float) -> DataFrame:
     return rows.select("request", F.col("to_stop").alias("stop_id"), F.col("arr2").alias("arr"), F.col("walk2").alias("walk"), F.lit(False).alias("by_ride"), F.concat("legs", leg).alias("legs"))
 
 
-def plan(requests: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, service_days: DataFrame, day: str, max_transfers: int = 2, cap: float = 1000.0, radius: float = 400.0, max_extra: int = 3600, suspended: DataFrame | None = None) -> DataFrame:
-    """(request, arr, walk, rides, legs): the journeys of (request, lat, lon, to_lat, to_lon, depart), skyline a number of rides."""
-    spark = requests.sparkSession
+class Network(NamedTuple):
+    """What all searches of a day share."""
+
+    stops: DataFrame
+    pattern_stops: DataFrame
+    stop_times: DataFrame
+    runs: DataFrame
+    footpaths: DataFrame
+    suspended: DataFrame | None
+    radius: float
+
+
+def network(stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, service_days: DataFrame, day: str, radius: float = 400.0, suspended: DataFrame | None = None) -> Network:
+    """The runs of a day and its neighbours in seconds of that day, and footpaths, as checkpoints."""
+    spark = stops.sparkSession
     if not _checkpoints(spark):
-        spark.sparkContext.setCheckpointDir(_scratch())
+        spark.sparkContext.setCheckpointDir(_scratch(spark))
     if suspended is not None:
         stops = stops.join(suspended, "stop_id", "left_anti")
     paths = spatial.footpaths(stops, radius).checkpoint()
     shifted = timetable.day_offsets(stop_times.select("trip_id", "pattern_id", "service_id", "pos", "dep"), timetable.DAY)
     runs = timetable.service_runs(shifted, service_days, F.date_add(F.lit(day).cast("date"), F.col("day_shift")))
-    runs = runs.select("trip_id", "pattern_id", "pos", (F.col("dep") + F.col("offset")).cast("int").alias("dep"), "offset")
-    bounds = requests.agg(F.min("depart"), F.max("depart")).first()
-    if bounds[0] is not None:
-        runs = runs.where(F.col("dep").between(bounds[0], bounds[1] + (max_transfers + 1) * (MAX_WAIT + 3600)))
-    runs = runs.checkpoint()
-    ends = spatial.within(requests.select("request", F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon")), spatial.second(stops, "stop_id", "lat", "lon"), radius).select("request", F.col("stop_id2").alias("stop_id"), F.col("metres").alias("egress"))
-    labels = timetable.skyline(seeds(requests, stops, radius), ["request", "stop_id"])
-    found = []
+    runs = runs.select("trip_id", "pattern_id", "pos", (F.col("dep") + F.col("offset")).cast("int").alias("dep"), "offset").checkpoint()
+    return Network(stops, pattern_stops, stop_times, runs, paths, suspended, radius)
+
+
+def search(requests: DataFrame, net: Network, max_transfers: int = 2, cap: float = 1000.0) -> DataFrame:
+    """(request, arr, walk, rides, legs): every journey that no other of as many rides beats on (arr, walk)."""
+    runs = net.runs
+    first = requests.agg(F.min("depart")).first()[0]
+    if first is not None:
+        runs = runs.where(F.col("dep") >= first)
+    ends = spatial.within(requests.select("request", F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon")), spatial.second(net.stops, "stop_id", "lat", "lon"), net.radius).select("request", F.col("stop_id2").alias("stop_id"), F.col("metres").alias("egress"))
+    labels = timetable.skyline(seeds(requests, net.stops, net.radius), ["request", "stop_id"])
+    out = None
     for k in range(max_transfers + 1):
-        rode = timetable.skyline(ride(labels, pattern_stops, runs, stop_times, suspended).where(F.col("walk") <= cap), ["request", "stop_id"], "legs").checkpoint()
+        rode = timetable.skyline(ride(labels, net.pattern_stops, runs, net.stop_times, net.suspended).where(F.col("walk") <= cap), ["request", "stop_id"], "legs").checkpoint()
         done = rode.join(ends, ["request", "stop_id"]).withColumn("t0", F.col("arr")).withColumn("arr", (F.col("arr") + times.walk_seconds(F.col("egress"))).cast("int")).withColumn("walk", F.round(F.col("walk") + F.col("egress"), 3)).where(F.col("walk") <= cap)
         done = done.withColumn("legs", F.concat("legs", _leg("walk", "stop_id", "stop_id", None, "t0", "arr", F.col("egress"))))
-        found.append(timetable.skyline(done, ["request"], "legs").select("request", "arr", "walk", F.lit(k + 1).alias("rides"), "legs"))
+        found = timetable.skyline(done, ["request"], "legs").select("request", "arr", "walk", F.lit(k + 1).alias("rides"), "legs")
+        out = found if out is None else out.unionByName(found)
         if k < max_transfers:
-            labels = timetable.skyline(rode.unionByName(walk_on(rode, paths, cap)), ["request", "stop_id"], "legs").checkpoint()
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+            labels = timetable.skyline(rode.unionByName(walk_on(rode, net.footpaths, cap)), ["request", "stop_id"], "legs").checkpoint()
+    return out
+
+
+def plan(requests: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, service_days: DataFrame, day: str, max_transfers: int = 2, cap: float = 1000.0, radius: float = 400.0, max_extra: int = 3600, suspended: DataFrame | None = None) -> DataFrame:
+    """(request, arr, walk, rides, legs): the journeys of (request, lat, lon, to_lat, to_lon, depart), skyline a number of rides,
+    arriving at most `max_extra` seconds after the first. Waits have no limit."""
+    out = search(requests, network(stops, pattern_stops, stop_times, service_days, day, radius, suspended), max_transfers, cap)
     fastest = F.min("arr").over(Window.partitionBy("request"))
     return out.withColumn("__f", fastest).where(F.col("arr") <= F.col("__f") + max_extra).drop("__f")
 
 
+def leave_late(journeys: DataFrame) -> DataFrame:
+    """`journeys` with `departure` and `last_leave`: the walking before the first ride moves as late as that ride allows."""
+    legs = F.col("legs")
+    rows = journeys.withColumn("__r", F.array_position(F.transform(legs, lambda x: x["kind"]), "ride"))  # from 1
+    rows = rows.withColumn("__ride", F.get(legs, F.col("__r") - 1)).withColumn("__before", F.get(legs, F.col("__r") - 2))
+    slack = F.when(F.col("__r") > 1, F.greatest(F.lit(0), F.col("__ride.dep") - BOARD_BUFFER - F.col("__before.arr"))).otherwise(0)
+    first = F.get(legs, F.lit(0))["dep"]
+    rows = rows.withColumn("__slack", slack).withColumn("last_leave", F.when(F.col("__r") > 1, F.col("__ride.dep") - (F.col("__before.arr") - first)).otherwise(first))
+
+    def later(leg: F.Column, i: F.Column) -> F.Column:
+        by = F.when(i < F.col("__r") - 1, F.col("__slack")).otherwise(0)
+        return leg.withField("dep", leg["dep"] + by).withField("arr", leg["arr"] + by)
+
+    rows = rows.withColumn("legs", F.transform(legs, later))
+    return rows.withColumn("departure", F.get("legs", F.lit(0))["dep"]).drop("__r", "__ride", "__before", "__slack")
+
+
+def arrive_by(requests: DataFrame, net: Network, max_transfers: int = 2, cap: float = 1000.0, window: int = 1800, max_extra: int = 3600, passes: int = PASSES) -> DataFrame:
+    """(request, departure, arr, walk, rides, legs) of (request, lat, lon, to_lat, to_lon, deadline): journeys that arrive by the
+    deadline and that no other beats on later departure, less walking and fewer rides.
+
+    Each pass searches forward for all requests at once, from a second after the last moment at which the earliest ride of
+    the pass before could still be caught; a request drops out when nothing fits."""
+    asks = requests.withColumn("depart", (F.col("deadline") - window - LOOKBACK).cast("int"))
+    found = None
+    for _ in range(passes):
+        fits = search(asks, net, max_transfers, cap).join(asks.select("request", "deadline"), "request").where("arr <= deadline")
+        fits = leave_late(fits).checkpoint()
+        part = fits.drop("deadline", "last_leave")
+        found = part if found is None else found.unionByName(part)
+        onward = fits.groupBy("request").agg((F.min("last_leave") + 1).cast("int").alias("depart"))
+        asks = asks.drop("depart").join(onward, "request").where("depart < deadline").checkpoint()
+        if asks.isEmpty():
+            break
+    one = F.struct("departure", "arr", "walk", "rides", "legs")
+    per = found.distinct().groupBy("request").agg(F.collect_list(one).alias("all"))  # a few journeys a pass
+
+    def beaten(j: F.Column) -> F.Column:
+        no_worse = lambda k: (k["departure"] >= j["departure"]) & (k["walk"] <= j["walk"]) & (k["rides"] <= j["rides"])
+        return F.exists("all", lambda k: no_worse(k) & ((k["departure"] > j["departure"]) | (k["walk"] < j["walk"]) | (k["rides"] < j["rides"])))
+
+    per = per.select("request", F.filter("all", lambda j: ~beaten(j)).alias("front")).withColumn("latest", F.array_max(F.transform("front", lambda j: j["departure"])))
+    rows = per.select("request", "latest", F.explode("front").alias("j")).where(F.col("j.departure") >= F.col("latest") - max_extra)
+    return rows.select("request", "j.*")
+
+
+def reprice(journeys: DataFrame, net: Network, routed: DataFrame, cap: float, max_extra: int = 3600, deadline: DataFrame | None = None) -> DataFrame:
+    """`journeys` with real walks: (from_stop, to_stop, metres) of `routed` where it has them, else the estimate with its detour.
+
+    A ride that the walk misses by more than GRACE seconds is boarded anew: on the earliest arrival between its stops on
+    any line; without one the journey goes, as it does beyond `cap` metres of walking, after `deadline` (request, deadline), or
+    `max_extra` seconds after the request's first arrival (with a deadline: before its last departure)."""
+    rows = journeys.withColumn("j", F.xxhash64("request", F.to_json("legs"))).withColumn("size", F.size("legs"))
+    longest = rows.agg(F.max("size")).first()[0] or 0
+    state = rows.select("j", "request", "rides", "legs", "size", F.get("legs", F.lit(0))["dep"].alias("t"), F.array().cast(LEG).alias("out"))
+    off = net.stop_times.select("trip_id", F.col("pos").alias("pos2"), F.col("stop_id").alias("to_stop"), F.col("arr").alias("sched"))
+    on = net.runs.join(net.pattern_stops.select("pattern_id", "pos", F.col("stop_id").alias("from_stop")), ["pattern_id", "pos"])
+    hops = rows.select(F.explode("legs").alias("x")).where("x.kind = 'ride'").select("x.from_stop", "x.to_stop").distinct()
+    offers = hops.join(on, "from_stop").join(off, ["trip_id", "to_stop"]).where("pos2 > pos").select("from_stop", "to_stop", F.col("trip_id").alias("trip2"), F.col("dep").alias("dep2"), (F.col("sched") + F.col("offset")).cast("int").alias("arr2")).checkpoint()
+    for i in range(longest):
+        x = state.withColumn("x", F.get("legs", F.lit(i)))
+        over = x.where("x is null")
+        walks = x.where("x.kind = 'walk'").withColumn("from_stop", F.col("x.from_stop")).withColumn("to_stop", F.col("x.to_stop"))
+        walks = walks.join(routed.select("from_stop", "to_stop", F.col("metres").alias("real")), ["from_stop", "to_stop"], "left")
+        straight = F.col("x.from_stop") == F.col("x.to_stop")  # from or to a place: no stop pair has its route
+        metres = F.when(straight | F.col("real").isNull(), F.col("x.walk") * times.DETOUR).otherwise(F.col("real"))
+        walks = walks.withColumn("m", metres).withColumn("end", (F.col("t") + F.round(F.col("m") / times.SPEED)).cast("int"))
+        leg = F.col("x").withField("walk", F.col("m")).withField("dep", F.col("t")).withField("arr", F.col("end"))
+        walks = walks.select("j", "request", "rides", "legs", "size", F.col("end").alias("t"), F.array_append("out", leg).alias("out"))
+        rides = x.where("x.kind = 'ride'")
+        kept = rides.where(F.col("x.dep") + GRACE >= F.col("t")).select("j", "request", "rides", "legs", "size", F.col("x.arr").alias("t"), F.array_append("out", F.col("x")).alias("out"))
+        late = rides.where(F.col("x.dep") + GRACE < F.col("t")).withColumn("from_stop", F.col("x.from_stop")).withColumn("to_stop", F.col("x.to_stop"))
+        again = late.join(offers, ["from_stop", "to_stop"]).where("dep2 >= t").groupBy("j").agg(F.min(F.struct("arr2", "dep2", "trip2")).alias("run"), F.first(F.struct("request", "rides", "legs", "size", "out", "x")).alias("s"))
+        leg = F.col("s.x").withField("trip_id", F.col("run.trip2")).withField("dep", F.col("run.dep2")).withField("arr", F.col("run.arr2"))
+        again = again.select("j", "s.request", "s.rides", "s.legs", "s.size", F.col("run.arr2").alias("t"), F.array_append("s.out", leg).alias("out"))
+        state = over.drop("x").unionByName(walks).unionByName(kept).unionByName(again).checkpoint()
+    out = state.select("request", F.col("t").alias("arr"), F.aggregate("out", F.lit(0.0), lambda a, x: a + F.coalesce(x["walk"], F.lit(0.0))).alias("walk"), "rides", F.get("out", F.lit(0))["dep"].alias("departure"), F.col("out").alias("legs")).where(F.col("walk") <= cap)
+    if deadline is not None:
+        out = out.join(deadline, "request").where("arr <= deadline").drop("deadline")
+        edge = F.max("departure").over(Window.partitionBy("request"))
+        return out.withColumn("__e", edge).where(F.col("departure") >= F.col("__e") - max_extra).drop("__e")
+    edge = F.min("arr").over(Window.partitionBy("request"))
+    return out.withColumn("__e", edge).where(F.col("arr") <= F.col("__e") + max_extra).drop("__e")
+
+
 def direct_walk(requests: DataFrame) -> DataFrame:
     """(request, metres, seconds) on foot all the way, straight line."""
     m = geo.haversine(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))

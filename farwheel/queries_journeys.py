@@ -15,7 +15,7 @@ from farwheel.queries_groups import _CLUSTERS
 from farwheel.queries_rows import _GONE, _PAIRS, DELAYS
 from farwheel.queries_scalars import HAVERSINE, r3
 from farwheel.registry import query
-from farwheel.streaming import live
+from farwheel.streaming import live, ride
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +41,7 @@ _DIRECT = f"""
     s AS (SELECT request, stop_id, m AS walk, depart + {_WALK.format('m')} AS t FROM (SELECT request, depart, stop_id, {HAVERSINE.format('q.lat', 'q.lon', 's.lat', 's.lon')} AS m FROM q, v_stops s) WHERE m <= 400),
     e AS (SELECT request, stop_id, m AS egress FROM (SELECT request, stop_id, {HAVERSINE.format('q.tlat', 'q.tlon', 's.lat', 's.lon')} AS m FROM q, v_stops s) WHERE m <= 400),
     r AS (SELECT s.trip_id, s.pattern_id, s.pos, s.dep + o * 86400 AS dep, o * 86400 AS shift FROM v_stop_times s, (SELECT unnest([0, -1, 1]) AS o) WHERE EXISTS (SELECT 1 FROM v_service_days d WHERE d.service_id = s.service_id AND d.day = DATE '{DAY}' + o)),
-    b AS (SELECT s.request, s.walk, s.t, p.pattern_id, p.pos, min((r.dep, r.trip_id, r.shift)) AS run FROM s JOIN v_pattern_stops p ON s.stop_id = p.stop_id AND NOT p.is_last JOIN r ON r.pattern_id = p.pattern_id AND r.pos = p.pos AND r.dep >= s.t AND r.dep - s.t <= 7200 GROUP BY ALL),
+    b AS (SELECT s.request, s.walk, s.t, p.pattern_id, p.pos, min((r.dep, r.trip_id, r.shift)) AS run FROM s JOIN v_pattern_stops p ON s.stop_id = p.stop_id AND NOT p.is_last JOIN r ON r.pattern_id = p.pattern_id AND r.pos = p.pos AND r.dep >= s.t GROUP BY ALL),
     f AS (SELECT b.request, x.arr + b.run[3] + {_WALK.format('e.egress')} AS arr, round(b.walk + e.egress, 3) AS walk FROM b JOIN v_stop_times x ON x.trip_id = b.run[2] AND x.pos > b.pos JOIN e ON e.request = b.request AND e.stop_id = x.stop_id WHERE b.walk + e.egress <= 1000),
     k AS (SELECT DISTINCT request, arr, walk FROM f),
     y AS (SELECT *, min(arr) OVER (PARTITION BY request ORDER BY walk, arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k)"""
@@ -62,24 +62,27 @@ def plan_transfers(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("request", "arr", r3("walk").alias("walk"), "rides", F.size("legs").alias("n_legs"), F.to_json("legs").alias("legs"))
 
 
-@query("GRF-03_arrive_by")
+def network(spark: SparkSession, sf: str) -> planner.Network:
+    return planner.network(feed.stops(spark, sf), feed.pattern_stops(spark, sf), feed.stop_times(spark, sf), feed.service_days(spark, sf), DAY)
+
+
+@query("GRF-03_TOP-19_arrive_by")
 def arrive_by(spark: SparkSession, sf: str) -> DataFrame:
-    """Latest departures of the journeys that arrive within an hour and a half of asking."""
-    p = plan(spark, sf, 1).join(requests(spark, sf).select("request", "depart"), "request").where(F.col("arr") <= F.col("depart") + 5400)
-    first = F.filter("legs", lambda x: x["kind"] == "ride")[0]["dep"]
-    rows = p.select("request", "arr", "walk", "rides", first.alias("board"), F.get("legs", 0)["walk"].alias("access"))
-    rows = rows.withColumn("leave", F.col("board") - times.walk_seconds(F.col("access")) - 120)
-    w = Window.partitionBy("request").orderBy(F.col("leave").desc(), "walk", "rides")
-    return rows.withColumn("rank", F.row_number().over(w)).select("request", "rank", "leave", "arr", r3("walk").alias("walk"), "rides")
+    """Every request's latest departures that arrive within an hour of asking, on direct rides."""
+    asks = requests(spark, sf).withColumn("deadline", F.col("depart") + 3600).drop("depart")
+    found = planner.arrive_by(asks, network(spark, sf), max_transfers=0)
+    return found.select("request", "departure", "arr", r3("walk").alias("walk"), "rides")
 
 
 @query("GRF-05_06_reprice_walks")
 def reprice_walks(spark: SparkSession, sf: str) -> DataFrame:
-    """Journeys whose transfers hold when every walk is 10 per cent longer, with 30 seconds of grace."""
-    p = plan(spark, sf, 1)
-    late = lambda a, b: (a["kind"] == "walk") & (b["kind"] == "ride") & (a["dep"] + times.walk_seconds(a["walk"] * 1.1) > b["dep"] + 30)
-    pairs = F.zip_with(F.slice("legs", F.lit(1), F.size("legs") - 1), F.slice("legs", F.lit(2), F.size("legs") - 1), lambda a, b: late(a, b))
-    return p.where(~F.exists(pairs, lambda x: x)).select("request", "arr", r3(F.col("walk") * 1.1).alias("walk"), "rides")
+    """Journeys with walks routed over footpaths of 200 m, boarded anew where a walk misses its ride."""
+    from farwheel.operators import paths
+
+    net = network(spark, sf)
+    routed = paths.within_cost(walk_graph(spark, sf), feed.stops(spark, sf).select(F.col("stop_id").alias("source")), 600.0)
+    found = planner.reprice(planner.search(requests(spark, sf), net, 1), net, routed.select(F.col("source").alias("from_stop"), F.col("node").alias("to_stop"), "metres"), cap=1350.0)
+    return found.select("request", "departure", "arr", r3("walk").alias("walk"), "rides")
 
 
 @query("GRF-07_footpath_table", f"SELECT a AS from_stop, b AS to_stop, round(m, 3) AS metres, CAST(row_number() OVER (PARTITION BY a ORDER BY round(m, 6), b) AS INT) AS rank FROM ({_PAIRS}) WHERE a <> b AND m <= 400")
@@ -115,13 +118,13 @@ def walk_graph(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "GRF-12_13_shortest_walks",
     f"""WITH RECURSIVE e AS (SELECT a, b, round(m, 3) AS m FROM ({_PAIRS}) WHERE a <> b AND m <= 200),
-    d(s, t, m) AS (SELECT stop_id, stop_id, 0.0::DOUBLE FROM v_stops WHERE stop_id IN (0, 33, 66) UNION SELECT d.s, e.b, round(d.m + e.m, 3) FROM d JOIN e ON d.t = e.a WHERE d.m + e.m <= 500)
+    d(s, t, m) AS (SELECT stop_id, stop_id, 0.0::DOUBLE FROM v_stops UNION SELECT d.s, e.b, round(d.m + e.m, 3) FROM d JOIN e ON d.t = e.a WHERE d.m + e.m <= 500)
     SELECT s AS source, t AS node, round(min(m), 2) AS metres FROM d GROUP BY ALL""",
 )
 def shortest_walks(spark: SparkSession, sf: str) -> DataFrame:
     from farwheel.operators import paths
 
-    sources = feed.stops(spark, sf).where(F.col("stop_id").isin(0, 33, 66)).select(F.col("stop_id").alias("source"))
+    sources = feed.stops(spark, sf).select(F.col("stop_id").alias("source"))
     return paths.within_cost(walk_graph(spark, sf), sources, 500.0).select("source", "node", F.round("metres", 2).alias("metres"))
 
 
@@ -129,7 +132,7 @@ def shortest_walks(spark: SparkSession, sf: str) -> DataFrame:
 def hmm_match(spark: SparkSession, sf: str) -> DataFrame:
     from farwheel.operators import edges, matching
 
-    segments = edges.pattern_segments(feed.pattern_stops(spark, sf).where("pattern_id < 10"), feed.stops(spark, sf), 45.0, 7.6)
+    segments = edges.pattern_segments(feed.pattern_stops(spark, sf), feed.stops(spark, sf), 45.0, 7.6)
     x, y = geo.plane(F.col("lat"), F.col("lon"), 45.0, 7.6)
     points = feed.fixes(spark, sf).select("vehicle", "ts", "event_id", x.alias("px"), y.alias("py"))
     return matching.viterbi(points, segments, radius=150.0, most=8)
@@ -204,6 +207,30 @@ def live_advance(spark: SparkSession, sf: str) -> DataFrame:
     return live.replay(feed.fixes(spark, sf).select(F.col("vehicle").alias("trip_key"), "ts", "lat", "lon", "event_id"))
 
 
+_EVENTS = """SELECT vehicle AS trip_key, event_id, CAST(((epoch_us(ts) // 3600000000) - min(epoch_us(ts) // 3600000000) OVER (PARTITION BY vehicle)) AS DOUBLE) AS t, CASE kind WHEN 'error' THEN 'next' WHEN 'view' THEN 'tick' ELSE 'fix' END AS what, value AS along FROM v_fixes"""
+
+
+@query(
+    "STR-09_10_15_ride_progress",
+    f"""WITH x AS ({_EVENTS}), n AS (SELECT *, sum(CASE WHEN what = 'next' THEN 1 ELSE 0 END) OVER w AS leg, max(CASE WHEN what = 'fix' THEN t END) OVER w AS last_fix FROM x WINDOW w AS (PARTITION BY trip_key ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)),
+    s AS (SELECT *, what = 'tick' AND coalesce(t - last_fix >= 20, false) AS stale, leg % 2 = 0 AS ride FROM n WHERE leg < 6),
+    m AS (SELECT *, coalesce(max(CASE WHEN what = 'fix' THEN least(along, 400) WHEN stale AND ride THEN 400 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (t - (leg * 200 + 30)) / 180)) END) OVER (PARTITION BY trip_key, leg ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 0.0::DOUBLE) AS place FROM s),
+    c AS (SELECT *, CAST(CASE WHEN place < 100 THEN 4 WHEN place < 200 THEN 3 WHEN place < 300 THEN 2 WHEN place < 400 THEN 1 ELSE 0 END AS INT) AS stops_left FROM m),
+    b AS (SELECT *, coalesce(lag(stops_left) OVER (PARTITION BY trip_key, leg ORDER BY t, event_id), 4) AS before FROM c)
+    SELECT trip_key, event_id, CAST(leg AS BIGINT) AS leg, round(place, 6) AS along, stops_left, stale AS estimated, CASE WHEN NOT ride THEN NULL WHEN stops_left = 0 AND before > 0 THEN 'alight_now' WHEN stops_left = 1 AND before > 1 THEN 'one_stop_left' END AS cue FROM b""",
+)
+def ride_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors end a leg, views are ticks, other events fixes; six legs of 400 m and four stops, every second one a ride 30 s late."""
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    what = F.when(F.col("kind") == "error", "next").when(F.col("kind") == "view", "tick").otherwise("fix")
+    f = feed.fixes(spark, sf).withColumn("hour", hour)
+    first = F.min("hour").over(Window.partitionBy("vehicle"))
+    events = f.select(F.col("vehicle").alias("trip_key"), "event_id", (F.col("hour") - first).cast("double").alias("t"), what.alias("what"), F.col("value").alias("along"))
+    leg = spark.range(6).select(F.col("id").alias("leg"), (F.col("id") % 2 == 0).alias("ride"), F.lit(400.0).alias("metres"), (F.col("id") * 200.0).alias("departure"), (F.col("id") * 200.0 + 180.0).alias("arrival"), F.lit(30.0).alias("delay"), F.array(*map(F.lit, (100.0, 200.0, 300.0, 400.0))).alias("stops"))
+    legs = events.select("trip_key").distinct().crossJoin(leg)  # six rows a trip
+    return ride.progress(events, legs).select("trip_key", "event_id", "leg", F.round("along", 6).alias("along"), "stops_left", F.coalesce("estimated", F.lit(False)).alias("estimated"), "cue")
+
+
 @query(
     "STR-12_missed_ride",
     f"SELECT trip_id FROM v_trips t LEFT JOIN (SELECT trip_id, min(delay) AS delay FROM v_updates GROUP BY trip_id) u USING (trip_id) WHERE {NOW} > base + coalesce(delay, 0) + 90 AND base > {NOW} - 3600",

@@ -81,9 +81,9 @@ def affected(spark: SparkSession, sf: str) -> DataFrame:
     return stops.unionByName(routes)
 
 
-@query("FLT-14_strike", "SELECT id FROM v_alerts WHERE cause = 4 OR regexp_matches(header, '(?i)sciopero|agitazione sindacale')")
+@query("FLT-14_strike", "SELECT id FROM v_alerts WHERE cause = 4 OR regexp_matches(header, '(?i)sciopero|agitazione sindacale') OR regexp_matches(description, '(?i)sciopero|agitazione sindacale')")
 def strike(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.alerts(spark, sf).where(text.is_strike(F.col("cause"), F.col("header"))).select("id")
+    return feed.alerts(spark, sf).where(text.is_strike(F.col("cause"), F.col("header"), F.col("description"))).select("id")
 
 
 @query("FLT-16_vehicle_focus", "SELECT event_id FROM v_fixes f JOIN v_routes r ON f.k % 25 = r.route_id WHERE r.route_type IN (0, 3)")
@@ -249,7 +249,7 @@ _SEG = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px - ax) * (bx - ax) + (py -
 @query(
     "JN-12_13_nearest_edges",
     f"""WITH e AS (SELECT s.pattern_id, s.pos, (a.lon - 7.6::DOUBLE) * c AS ax, (a.lat - 45.0::DOUBLE) * 111194.9266::DOUBLE AS ay, (b.lon - 7.6::DOUBLE) * c AS bx, (b.lat - 45.0::DOUBLE) * 111194.9266::DOUBLE AS by_
-      FROM v_pattern_stops s JOIN v_pattern_stops n ON s.pattern_id = n.pattern_id AND n.pos = s.pos + 1 JOIN v_stops a ON s.stop_id = a.stop_id JOIN v_stops b ON n.stop_id = b.stop_id, (SELECT 111194.9266::DOUBLE * cos(radians(45.0::DOUBLE)) AS c) WHERE a.stop_id <> b.stop_id AND s.pattern_id < 10),
+      FROM v_pattern_stops s JOIN v_pattern_stops n ON s.pattern_id = n.pattern_id AND n.pos = s.pos + 1 JOIN v_stops a ON s.stop_id = a.stop_id JOIN v_stops b ON n.stop_id = b.stop_id, (SELECT 111194.9266::DOUBLE * cos(radians(45.0::DOUBLE)) AS c) WHERE a.stop_id <> b.stop_id),
     p AS (SELECT event_id, (lon - 7.6::DOUBLE) * 111194.9266::DOUBLE * cos(radians(45.0::DOUBLE)) AS px, (lat - 45.0::DOUBLE) * 111194.9266::DOUBLE AS py FROM v_fixes),
     m AS (SELECT event_id, pattern_id, pos, sqrt(pow(px - (ax + t * (bx - ax)), 2) + pow(py - (ay + t * (by_ - ay)), 2)) AS m FROM (SELECT *, {_SEG} AS t FROM p, e)),
     k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(m, 6), pattern_id, pos) AS k, min(m) OVER (PARTITION BY event_id) AS best FROM m WHERE m <= 150)
@@ -259,7 +259,7 @@ def nearest_edges(spark: SparkSession, sf: str) -> DataFrame:
     from farwheel.operators import edges
 
     stops = feed.stops(spark, sf)
-    segments = edges.pattern_segments(feed.pattern_stops(spark, sf).where("pattern_id < 10"), stops, 45.0, 7.6)
+    segments = edges.pattern_segments(feed.pattern_stops(spark, sf), stops, 45.0, 7.6)
     x, y = geo.plane(F.col("lat"), F.col("lon"), 45.0, 7.6)
     points = feed.fixes(spark, sf).select("event_id", x.alias("px"), y.alias("py"))
     return edges.nearest_edges(points, "event_id", segments, ["pattern_id", "pos"], 150.0, 7.0, 4).withColumn("metres", r3("metres"))
@@ -342,13 +342,13 @@ def group_at(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "JN-25_endpoint_poles",
-    f"""SELECT stop_id, round(min(m), 3) AS metres FROM (SELECT b AS stop_id, m FROM ({_PAIRS}) WHERE a IN (3, 40, 77) AND m <= 400 UNION ALL SELECT stop_id, 0 FROM v_stops WHERE stop_id IN (3, 40, 77)) GROUP BY stop_id""",
+    f"""SELECT pole, stop_id, round(min(m), 3) AS metres FROM (SELECT a AS pole, b AS stop_id, m FROM ({_PAIRS}) WHERE m <= 400 AND a <> b UNION ALL SELECT stop_id, stop_id, 0 FROM v_stops) GROUP BY ALL""",
 )
 def endpoint_poles(spark: SparkSession, sf: str) -> DataFrame:
-    poles = feed.stops(spark, sf).where(F.col("stop_id").isin(3, 40, 77))
-    near = spatial.within(poles.select("stop_id", "lat", "lon"), spatial.second(feed.stops(spark, sf), "stop_id", "lat", "lon"), 400).select(F.col("stop_id2").alias("stop_id"), "metres")
-    own = poles.select("stop_id", feed.d(0).alias("metres"))
-    return near.unionByName(own).groupBy("stop_id").agg(r3(F.min("metres")).alias("metres"))
+    """Every stop as an endpoint: itself at no distance, and the stops about it."""
+    poles = feed.stops(spark, sf).select(F.col("stop_id").alias("pole"), "lat", "lon")
+    near = spatial.within(poles, spatial.second(feed.stops(spark, sf), "stop_id", "lat", "lon"), 400).where("pole <> stop_id2").select("pole", F.col("stop_id2").alias("stop_id"), r3("metres").alias("metres"))
+    return near.unionByName(poles.select("pole", F.col("pole").alias("stop_id"), feed.d(0).alias("metres")))
 
 
 @query("JN-26_29_route_for_tap", "SELECT event_id, arg_max(route_id, (score, -route_id)) AS route_id FROM (SELECT event_id, r.route_id, CASE WHEN feed = 0 THEN 2 ELSE 0 END + CASE WHEN route_type = k % 4 THEN 1 ELSE 0 END AS score FROM v_fixes f JOIN v_routes r ON r.short_name = CAST(f.k % 25 + 1 AS VARCHAR)) GROUP BY event_id")

@@ -210,14 +210,17 @@ def project_on_segment(spark: SparkSession, sf: str) -> DataFrame:
     return feed.fixes(spark, sf).select("event_id", p.alias("p")).select("event_id", F.round("p.t", 6).alias("t"), r3("p.metres").alias("metres"))
 
 
+_SIDE = "(({2} - {0}) * ({5} - {1}) - ({3} - {1}) * ({4} - {0}))"
+
+
 @query(
     "SCL-35_segment_cross",
-    """SELECT event_id, ((0 - 1000.0) * (k * 20.0 - 500 - 0) - 0 * 0) * 0 = 0 AND (500.0 - k * 10 > 0) AND k > 0 AS crosses FROM v_fixes""",
+    f"""SELECT event_id, {_SIDE.format('ax', 'ay', 'bx', 'by_', 'cx', 'cy')} * {_SIDE.format('ax', 'ay', 'bx', 'by_', 'dx', 'dy')} < 0 AND {_SIDE.format('cx', 'cy', 'dx', 'dy', 'ax', 'ay')} * {_SIDE.format('cx', 'cy', 'dx', 'dy', 'bx', 'by_')} < 0 AS crosses
+    FROM (SELECT event_id, 0.0::DOUBLE AS ax, 0.0::DOUBLE AS ay, 100.0::DOUBLE AS bx, CAST(k AS DOUBLE) AS by_, CAST(event_id % 150 AS DOUBLE) AS cx, -20.0::DOUBLE AS cy, CAST(event_id % 130 AS DOUBLE) AS dx, CAST(event_id % 61 AS DOUBLE) AS dy FROM v_fixes)""",
 )
 def segment_cross(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("k") * 10.0
-    # from (0, 0) to (0, 500) against (-k, k) to (k, k)
-    c = geo.crosses(feed.d(0), feed.d(0), feed.d(0), feed.d(500), -k, k, k, k)
+    k, e = F.col("k").cast("double"), F.col("event_id")
+    c = geo.crosses(feed.d(0), feed.d(0), feed.d(100), k, (e % 150).cast("double"), feed.d(-20), (e % 130).cast("double"), (e % 61).cast("double"))
     return feed.fixes(spark, sf).select("event_id", c.alias("crosses"))
 
 
@@ -244,13 +247,17 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "SCL-39_walk_edge_cost",
-    """SELECT event_id, round(value * CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1.1::DOUBLE WHEN 2 THEN 3.0::DOUBLE WHEN 3 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END + CASE WHEN event_id % 5 = 4 THEN 12 ELSE 0 END, 3) AS cost FROM events""",
+    """SELECT event_id, round(value * (f * CASE WHEN c THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END) + CASE WHEN kind = 4 THEN [20.0::DOUBLE, 25.0::DOUBLE, 30.0::DOUBLE, 120.0::DOUBLE][sub + 1] ELSE 0 END, 6) AS cost FROM (
+    SELECT *, CASE kind WHEN 0 THEN [1.0::DOUBLE, 1.0::DOUBLE, 0.95::DOUBLE, 1.3::DOUBLE][sub + 1] WHEN 1 THEN [1.0::DOUBLE, 0.95::DOUBLE, 1.3::DOUBLE][least(sub, 2) + 1]
+      WHEN 2 THEN [[1.15::DOUBLE, 1.0::DOUBLE, 1.6::DOUBLE], [1.25::DOUBLE, 1.05::DOUBLE, 2.0::DOUBLE], [1.4::DOUBLE, 1.1::DOUBLE, 2.5::DOUBLE]][least(sub, 2) + 1][least(walk, 2) + 1] WHEN 3 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS f
+    FROM (SELECT event_id, value, event_id % 5 AS kind, event_id // 5 % 4 AS sub, event_id // 20 % 4 AS walk, event_id % 7 = 0 AS c FROM events))""",
 )
 def walk_edge_cost(spark: SparkSession, sf: str) -> DataFrame:
-    from farwheel.functions.walking import edge_cost
+    from farwheel.functions import walking
 
-    kind = F.element_at(F.array(*map(F.lit, ("footway", "path", "steps", "road", "crossing"))), (F.col("event_id") % 5 + 1).cast("int"))
-    return table(spark, sf, "events").select("event_id", r3(edge_cost(F.col("value"), kind)).alias("cost"))
+    e = F.col("event_id")
+    f = walking.flags(e % 5, F.floor(e / 5) % 4, F.floor(e / 20) % 4, e % 7 == 0)
+    return table(spark, sf, "events").select("event_id", F.round(walking.edge_cost(F.col("value"), f), 6).alias("cost"))
 
 
 @query(
@@ -310,3 +317,28 @@ def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(F.round("lon", 6), F.round("lat", 6)).alias("coordinates"), "name"))
     back = F.from_json(point, "type string, coordinates array<double>, name string")
     return feed.stops(spark, sf).select("stop_id", back.alias("p")).select("stop_id", "p.name", F.get("p.coordinates", 1).alias("lat"), F.get("p.coordinates", 0).alias("lon"))
+
+
+@query(
+    "SCL-14_address_line",
+    """SELECT c_custkey, coalesce(CASE WHEN st IS NOT NULL THEN st || coalesce(' ' || nr, '') || ', ' || ci ELSE ci END, '') AS address, coalesce(nm, st || coalesce(' ' || nr, ''), ci, '?') AS name FROM (
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS nm, CASE WHEN c_custkey % 4 <> 0 THEN 'Via ' || c_custkey % 50 END AS st, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 90 AS VARCHAR) END AS nr, n_name AS ci FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
+)
+def address_line(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    street, number = F.when(k % 4 != 0, F.concat(F.lit("Via "), (k % 50).cast("string"))), F.when(k % 5 != 0, (k % 90).cast("string"))
+    name = F.when(k % 3 == 0, F.col("c_name"))
+    return c.select("c_custkey", text.address_line(street, number, F.col("n_name")).alias("address"), text.place_name(name, street, number, F.col("n_name")).alias("name"))
+
+
+@query(
+    "FLT-30_update_due",
+    "SELECT event_id, (event_id % 4 = 0) OR (event_id % 7 = 0) OR (event_id * 9000 % 200000) >= 86400 AS due, CASE WHEN NOT (event_id % 4 = 0) AND (event_id % 3 = 0 OR event_id % 2 = 0) THEN 'etag-' || event_id % 11 END AS etag FROM events",
+)
+def update_due(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks of a downloaded file: forced ones, first ones (never checked), or those a day after the last."""
+    e = F.col("event_id")
+    since = F.when(e % 7 == 0, None).otherwise(e * 9000 % 200000)
+    got = times.update_due(since, e % 4 == 0, e % 3 != 0, e % 2 == 0, F.concat(F.lit("etag-"), (e % 11).cast("string")))
+    return table(spark, sf, "events").select("event_id", got.alias("u")).select("event_id", "u.due", "u.etag")

@@ -80,10 +80,24 @@ def realtime_updates(spark: SparkSession, sf: str) -> DataFrame:
     return gtfs_rt.trip_updates(sent).select("trip_id", "canceled", "seq", "delay", "skipped")
 
 
-@query("SRC-16_realtime_alerts", "SELECT id, CAST(len([route_id]) AS INT) AS n_routes, header FROM v_alerts")
+@query(
+    "SRC-16_SCL-11_realtime_alerts",
+    """SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 3 = 0 THEN 'Notice' ELSE header END AS header, CAST(cause AS INT) AS cause, CAST(effect AS INT) AS effect,
+    array_to_string(list_sort(list_distinct([CAST(route_id AS VARCHAR), CAST((route_id + id) % 25 AS VARCHAR)])), ',') AS routes, CAST(stop_id AS VARCHAR) AS stops,
+    CAST(epoch(start) AS BIGINT) AS since, coalesce(CAST(epoch("end") AS BIGINT), -1) AS until, 2::INT AS periods FROM v_alerts""",
+)
 def realtime_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    a = feed.alerts(spark, sf).groupBy("id", "header").agg(F.collect_set("route_id").alias("route_ids"), F.collect_list(F.struct("start", "end")).alias("periods"))
-    return a.select("id", F.size("route_ids").alias("n_routes"), "header")
+    """Alerts written to the wire with two languages, two routes and two periods, and read back."""
+    a = feed.alerts(spark, sf).select("id", "header", "cause", "effect", "route_id", "stop_id", F.unix_seconds(F.col("start").cast("timestamp")).alias("since"), F.coalesce(F.unix_seconds(F.col("end").cast("timestamp")), F.lit(0)).alias("until"))
+
+    def message(r) -> bytes:
+        texts = [("Notice", "en")] + ([(r.header, "IT")] if r.id % 3 else [])
+        routes = [str(r.route_id), str((r.route_id + r.id) % 25), str(r.route_id)]
+        return gtfs_rt.alert_message(str(r.id), texts, r.cause, r.effect, routes, [str(r.stop_id)], [], [(r.since, r.until or None), (None, 5)])
+
+    got = gtfs_rt.alerts(gtfs_rt.payloads(a, message))
+    first = F.get("periods", F.lit(0))
+    return got.select("id", text.translation(F.col("headers")).alias("header"), "cause", "effect", F.array_join("route_ids", ",").alias("routes"), F.array_join("stop_ids", ",").alias("stops"), first["start"].alias("since"), F.coalesce(first["end"], F.lit(-1)).alias("until"), F.size("periods").alias("periods"))
 
 
 @query("SRC-18_19_28_osm_json", "SELECT pattern_id AS way_id, 'bus' AS kind, count(*) AS points FROM v_pattern_stops GROUP BY pattern_id")

@@ -121,3 +121,82 @@ def test_names_claim_what_is_built():
 
     claimed = {f"{kind}-{n}" for kind, ids in (re.match(r"([A-Z]+)-([0-9_]+)", x).groups() for x in catalog.QUERIES if re.match(r"[A-Z]+-[0-9]", x)) for n in ids.strip("_").split("_")}
     assert not claimed & {"GRF-17", "GRF-18", "GRF-19", "GRF-20", "GRF-21", "GRF-27", "GRF-28", "JN-27", "JN-28", "STR-08", "STR-09", "STR-10", "STR-15"}
+
+
+def _network(spark, times_of_day, suspended=None, day="2024-10-05"):
+    """A (45.0000, 7.6) and C two kilometres off, a run at each of these hours, ten minutes long."""
+    stops = spark.createDataFrame([(1, 45.0, 7.6), (3, 45.02, 7.6)], "stop_id long, lat double, lon double")
+    patterns = spark.createDataFrame([(0, 0, 1, False), (0, 1, 3, True)], "pattern_id int, pos int, stop_id long, is_last boolean")
+    times_ = [(10 + k, 0, "s", p, s, h * 3600 + 600 * p, h * 3600 + 600 * p) for k, h in enumerate(times_of_day) for p, s in ((0, 1), (1, 3))]
+    stop_times = spark.createDataFrame(times_, "trip_id long, pattern_id int, service_id string, pos int, stop_id long, dep int, arr int")
+    days = spark.createDataFrame([("s", dt.date(2024, 10, 5))], "service_id string, day date")
+    return planner.network(stops, patterns, stop_times, days, day)
+
+
+def _ask(spark, **more):
+    row = {"request": 1, "lat": 45.001, "lon": 7.6, "to_lat": 45.0201, "to_lon": 7.6, **more}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'double' if 'l' in k and 'deadline' not in k else 'int'}" for k in row).replace("request int", "request long"))
+
+
+def test_arrive_by(spark):
+    net = _network(spark, [7, 8, 9, 10])
+    got = planner.arrive_by(_ask(spark, deadline=9 * 3600 + 900), net, max_transfers=1).collect()
+    ride = next(x for x in got[0].legs if x.kind == "ride")
+    assert len(got) == 1 and ride.dep == 9 * 3600 and got[0].legs[0].arr == 9 * 3600 - 120
+    assert got[0].departure == got[0].legs[0].dep and got[0].arr <= 9 * 3600 + 900
+    assert planner.arrive_by(_ask(spark, deadline=7 * 3600 + 300), net, max_transfers=1).count() == 0
+
+
+def test_waits_have_no_limit(spark):
+    got = planner.search(_ask(spark, depart=3 * 3600), _network(spark, [9]), 0).collect()
+    assert [r.rides for r in got] == [1] and got[0].legs[1].dep == 9 * 3600
+
+
+def test_reprice(spark):
+    net = _network(spark, [8, 9])
+    j = planner.search(_ask(spark, depart=8 * 3600 - 150), net, 0)
+    assert j.first().legs[1].dep == 8 * 3600  # 125 s on foot by the estimate
+    none = spark.createDataFrame([], "from_stop long, to_stop long, metres double")
+    kept = planner.reprice(j, net, none, 1000.0).first()
+    assert kept.legs[1].dep == 8 * 3600 and kept.walk == pytest.approx(j.first().walk * 1.35, abs=0.01)
+    # an estimate whose walk ends later misses the ride by more than 30 s and takes the next
+    slow = j.withColumn("legs", F.transform("legs", lambda x: F.when(x["kind"] == "walk", x.withField("walk", x["walk"] * 2)).otherwise(x)))
+    late = planner.reprice(slow, net, none, 5000.0).first()
+    assert late.legs[1].dep == 9 * 3600 and late.legs[1].trip_id == 11 and late.arr == late.legs[2].arr
+    assert planner.reprice(slow, _network(spark, [8]), none, 5000.0).count() == 0
+    assert planner.reprice(j, net, none, 10.0).count() == 0
+
+
+def test_line_operators(spark):
+    from farwheel.operators import lines
+
+    def frame(rows):
+        return spark.createDataFrame([(int(a), int(i), float(x), float(y)) for a, i, x, y in rows], "line long, i int, x double, y double")
+
+    bent = frame([(1, 0, 0, 0), (1, 1, 50, 0.5), (1, 2, 100, 0), (1, 3, 100, 100), (2, 0, 0, 0), (2, 1, 0, 0)])
+    assert sorted((r.line, r.i) for r in lines.simplified(bent).collect()) == [(1, 0), (1, 2), (1, 3), (2, 0), (2, 1)]
+    parts = lines.split_at(bent.where("line = 1"), spark.createDataFrame([(1, 120.0)], "line long, cut double")).collect()
+    ahead = sorted((r.i, round(r.x), round(r.y)) for r in parts if r.part == 1)
+    assert ahead[0][1:] == (100, 20) and ahead[-1][1:] == (100, 100) and sum(r.part == 0 for r in parts) == 4
+    spike = frame([(1, 0, 0, 0), (1, 1, 50, 0), (1, 2, 60, 0), (1, 3, 50, 0.2), (1, 4, 50, 60), (2, 0, 500, 0), (2, 1, 560, 0)])
+    assert [(r.line, r.i) for r in lines.folds(spike).collect()] == [(1, 2)]
+    loop = frame([(1, 0, 0, 0), (1, 1, 20, 0), (1, 2, 20, 20), (1, 3, 10, 20), (1, 4, 10, -50)])
+    assert [(r.i, r.j) for r in lines.self_crossings(loop).collect()] == [(1, 4)]
+    chain = frame([(2, 0, 20, 20), (2, 1, 90, 20)])  # another line attaches within the loop
+    assert lines.self_crossings(loop.union(chain)).count() == 0
+    drawn = frame([(10, 0, 0, 0), (10, 1, 100, 0), (11, 0, 100, 0.5), (11, 1, 200, 0), (12, 0, 200, 50), (12, 1, 300, 50)])
+    path = frame([(1, 0, 0, 0), (1, 1, 100, 0.2), (1, 2, 200, 0), (1, 3, 250, 0), (2, 0, 0, 0), (2, 1, 100, 0)])
+    assert sorted((r.line, r.i, r.kind) for r in lines.gaps(path, drawn).collect()) == [(1, 3, "missing")]
+    apart = frame([(10, 0, 0, 0), (10, 1, 100, 0), (11, 0, 100, 1.5), (11, 1, 200, 1.5)])
+    over = frame([(1, 0, 0, 0.8), (1, 1, 100, 0.8), (1, 2, 200, 0.8)])
+    assert [(r.i, r.kind) for r in lines.gaps(over, apart).collect()] == [(1, "joint")]
+    c = spark.createDataFrame([([(0.0, 9.0), (10.0, 4.0), (29.0, 5.0), (45.0, 1.0), (80.0, 2.0)],), ([],)], "c array<struct<pos:double,dist:double>>")
+    assert [[tuple(x) for x in r[0]] for r in c.select(lines.local_minima(F.col("c"))).collect()] == [[(10.0, 4.0), (45.0, 1.0), (80.0, 2.0)], []]
+
+
+def test_texts_of_places_and_alerts(spark):
+    df = spark.createDataFrame([([("Hello", "en"), ("Ciao", "IT-it")],), ([("Salut", "fr"), (None, "it")],), ([],), ([("x", None)],)], "t array<struct<text:string,language:string>>")
+    assert [r[0] for r in df.select(text.translation(F.col("t"))).collect()] == ["Ciao", "Salut", "", "x"]
+    p = spark.createDataFrame([("Bar", "Via Po", "3", "Torino"), (None, "Via Po", None, "Torino"), (None, None, None, "Torino"), (None, None, "4", None)], "n string, s string, h string, c string")
+    c = [F.col(x) for x in "nshc"]
+    assert [tuple(r) for r in p.select(text.address_line(*c[1:]), text.place_name(*c)).collect()] == [("Via Po 3, Torino", "Bar"), ("Via Po, Torino", "Via Po"), ("Torino", "Torino"), ("", "?")]
