@@ -45,7 +45,8 @@ def ride(labels: DataFrame, pattern_stops: DataFrame, runs: DataFrame, stop_time
     at = labels.join(pattern_stops.where("not is_last").select("stop_id", "pattern_id", "pos"), "stop_id").withColumn("t", ready.cast("int"))
     at = timetable.skyline(at, ["request", "pattern_id", "pos"], "stop_id")
     asks = at.select("request", "pattern_id", "pos", "t", F.col("stop_id").alias("from_stop"), "walk", "legs", F.lit(1).alias("kind"))
-    offers = runs.select("pattern_id", "pos", F.col("dep").alias("t"), "trip_id", "offset", F.lit(0).alias("kind"))
+    asked = asks.groupBy("pattern_id", "pos").agg(F.min("t").alias("since"))  # runs that no label can board take no part
+    offers = runs.join(asked, ["pattern_id", "pos"]).where(F.col("dep") >= F.col("since")).select("pattern_id", "pos", F.col("dep").alias("t"), "trip_id", "offset", F.lit(0).alias("kind"))
     # from the end: the last offer before an ask is the first run at or after it
     w = Window.partitionBy("pattern_id", "pos").orderBy(F.col("t").desc(), "kind", F.col("trip_id").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     run = F.last(F.when(F.col("kind") == 0, F.struct("trip_id", "offset", F.col("t").alias("dep"))), ignorenulls=True).over(w)
