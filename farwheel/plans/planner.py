@@ -80,8 +80,8 @@ class Network(NamedTuple):
     radius: float
 
 
-def network(stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, service_days: DataFrame, day: str, radius: float = 400.0, suspended: DataFrame | None = None) -> Network:
-    """The runs of a day and its neighbours in seconds of that day, and footpaths, as checkpoints."""
+def network(stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, service_days: DataFrame, day: str, radius: float = 400.0, suspended: DataFrame | None = None, since: int | None = None) -> Network:
+    """The runs of a day and its neighbours in seconds of that day, from `since` on, and footpaths, as checkpoints."""
     spark = stops.sparkSession
     if not _checkpoints(spark):
         spark.sparkContext.setCheckpointDir(_scratch(spark))
@@ -90,7 +90,10 @@ def network(stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, s
     paths = spatial.footpaths(stops, radius).checkpoint()
     shifted = timetable.day_offsets(stop_times.select("trip_id", "pattern_id", "service_id", "pos", "dep"), timetable.DAY)
     runs = timetable.service_runs(shifted, service_days, F.date_add(F.lit(day).cast("date"), F.col("day_shift")))
-    runs = runs.select("trip_id", "pattern_id", "pos", (F.col("dep") + F.col("offset")).cast("int").alias("dep"), "offset").checkpoint()
+    runs = runs.select("trip_id", "pattern_id", "pos", (F.col("dep") + F.col("offset")).cast("int").alias("dep"), "offset")
+    if since is not None:
+        runs = runs.where(F.col("dep") >= since)
+    runs = runs.checkpoint()
     return Network(stops, pattern_stops, stop_times, runs, paths, suspended, radius)
 
 
@@ -117,7 +120,8 @@ def search(requests: DataFrame, net: Network, max_transfers: int = 2, cap: float
 def plan(requests: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, service_days: DataFrame, day: str, max_transfers: int = 2, cap: float = 1000.0, radius: float = 400.0, max_extra: int = 3600, suspended: DataFrame | None = None) -> DataFrame:
     """(request, arr, walk, rides, legs): the journeys of (request, lat, lon, to_lat, to_lon, depart), skyline a number of rides,
     arriving at most `max_extra` seconds after the first. Waits have no limit."""
-    out = search(requests, network(stops, pattern_stops, stop_times, service_days, day, radius, suspended), max_transfers, cap)
+    since = requests.agg(F.min("depart")).first()[0]
+    out = search(requests, network(stops, pattern_stops, stop_times, service_days, day, radius, suspended, since), max_transfers, cap)
     fastest = F.min("arr").over(Window.partitionBy("request"))
     return out.withColumn("__f", fastest).where(F.col("arr") <= F.col("__f") + max_extra).drop("__f")
 
