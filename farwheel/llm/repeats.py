@@ -35,8 +35,8 @@ from farwheel.llm.shared import beside, bitmap, in_bitmap, mix, partitions, prep
 
 #: Bytes of a minimizer, a multiple of 8: long enough that frequent words in a row seldom make one that two texts share.
 K = 24
-#: Bytes of text in one stretch of documents, and in one transform.
-STRETCH, BLOCK = 8_000_000, 60_000
+#: Bytes of text in one stretch of documents, in one transform, and in the largest before its texts are dealt again.
+STRETCH, BLOCK, LARGEST = 8_000_000, 60_000, 240_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,7 +147,7 @@ def interval_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places in order of their keys, rank of each place); equal keys have one rank."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     in_order = key[order]
     rank = np.empty(len(key), np.int64)
     rank[order] = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
@@ -157,7 +157,7 @@ def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def least_docs(texts: list[bytes], docs: np.ndarray, length: int, k: int = K) -> list[np.ndarray]:
     """For each text, the least doc of each of its windows over all texts, which fell together by minimizers of k bytes."""
     total = sum(map(len, texts)) + len(texts)
-    if total > BLOCK:
+    if total > LARGEST:
         if k < length:
             return _dealt_again(texts, docs, length, k + (length - k + 1) // 2)
         least: dict[bytes, int] = {}  # all windows of a text are equal

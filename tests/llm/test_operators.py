@@ -633,6 +633,7 @@ def test_repeats(spark):
 @pytest.mark.parametrize("block", [repeats.BLOCK, 300])
 def test_interval_expansion(monkeypatch, block, length):
     monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "LARGEST", block)
     rng = random.Random(12)
     texts = list({bytes(rng.choice(b"ab") for _ in range(rng.randint(length, 70))) for _ in range(60)} | {b"a" * 70, b"ab" * 40})
     docs = np.array([rng.randrange(40) for _ in texts])
@@ -664,13 +665,13 @@ def test_no_transform_outgrows_a_block(monkeypatch):
     sizes = []
     inner = repeats.interval_groups
     monkeypatch.setattr(repeats, "interval_groups", lambda t, n: (sizes.append(len(t)), inner(t, n))[1])
-    for many in (500, 4000):
+    for many in (500, 16_000):
         flank = lambda: bytes(rng.choice(b"ijklmnop") for _ in range(60))
         texts = [flank() + passage + flank() for _ in range(many)]
         own = [t[10:-10] for t in texts]
         got = repeats.least_docs(own, np.arange(many), 50)
         assert all(x[50 : 50 + 41].tolist() == [0] * 41 for x in got)
-        assert max(sizes) <= repeats.BLOCK
+        assert max(sizes) <= repeats.LARGEST
 
 
 def test_may_share_misses_none():
