@@ -11,7 +11,8 @@ Equal vectors are one with a weight. A bucket of more than `block` vectors is cu
 task of its own, so no task holds more than two blocks; tasks return sums and labels, not pairs.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different length don't link;
-a null id takes no part and has no component; an empty table gives no rows.
+a null id takes no part and has no component; rows that repeat an id and its vector are one vector, each with its row in the
+result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def links(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, crow
     sound = F.col("vec_id").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     good = rows.where(F.coalesce(sound, F.lit(False))).select("vec_id", F.transform("e", lambda x: x + F.lit(0.0)).alias("e"))
     member = good.select("vec_id", F.md5(F.to_binary(F.array_join(F.transform("e", lambda x: x.cast("string")), ","), F.lit("utf-8"))).alias("fp"), "e")
-    classes = written(member.groupBy("fp").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("e").alias("e")), "vectors")
+    classes = written(member.groupBy("fp").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("weight"), F.first("e").alias("e")), "vectors")
     k, many = shape(classes.count(), threshold, recall, crowd)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

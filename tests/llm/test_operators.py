@@ -702,9 +702,47 @@ def test_minimizers_agree():
     assert k[2 : 2 + 351].tolist() == m[500:851].tolist()
 
 
+def test_vectors_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (None, [1.0, 0.0])]
+    got = sorted((str(r.vec_id), r.n_links, r.component_id) for r in vectors.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect())
+    assert got == [("1", 1, 1), ("1", 1, 1), ("2", 1, 1), ("3", 0, 3), ("None", 0, None)]
+
+
+def test_vectors_as_in_production(spark):
+    """The defaults: a recall of at least 0.9 of the links at the threshold and above."""
+    rng = np.random.default_rng(8)
+    base_ = rng.standard_normal((300, 24))
+    x = np.concatenate([base_, base_ + 0.3 * rng.standard_normal((300, 24)), np.repeat(base_[:2], 150, 0) + 0.1 * rng.standard_normal((300, 24))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in vectors.links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.9).collect()}
+    assert all(got[i] <= n for i, n in enumerate(near.sum(1))) and sum(got.values()) >= 0.9 * near.sum()
+
+
 # -- pipeline --
 
 
+def test_pipeline_of_odd_and_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, __h int"
+    prose = lambda k: " ".join(f"the thing number{(i * k) % 97} and that" for i in range(40))
+    autre = lambda k: " ".join(f"le chose numero{(i * k) % 97} et cela" for i in range(40))
+    rows = [(i, (prose if i % 2 else autre)(i + 3), "en" if i % 2 else "fr", "s", 1, "clash", 0) for i in range(24)]
+    rows += [(None, prose(50), "en", None, None, None, None), (30, None, None, None, None, None, None), (31, "", "en", "s", 0, "x", 1), (5, rows[5][1], "en", "s", 1, "x", 1), (32, prose(60) * 40, None, None, None, None, None)]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            was, docs = docs, shared.written(stage(spark, docs, str(tmp_path)), name)
+            assert docs.columns == was.columns and docs.count() <= was.count()
+        ids = [r.doc_id for r in docs.collect()]
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert sorted(map(str, {r.doc_id for r in packed})) == sorted(map(str, set(ids)))
+        assert not some or (None in ids and 32 in ids and 30 not in ids and len(ids) > 20)
+
+
 def test_pipeline(spark):
     import os
 
