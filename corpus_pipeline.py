@@ -1,4 +1,7 @@
-"""A training corpus in five stages. Counted as part of farwheel.llm."""
+"""A training corpus in five stages. Counted as part of farwheel.llm.
+
+Every stage takes null and repeated rows, empty and very long texts, an empty table and columns beyond those of documents,
+and says below what it does with them; all but the last keep the columns that they are given, in order."""
 
 from __future__ import annotations
 
@@ -12,29 +15,36 @@ from farwheel.llm.shared import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID; documents that it rejects go. Learned as in op4, from the labelled rows outside the held-out fold."""
+    """Language ID; documents that it rejects go. Learned as in op4, from the labelled rows outside the held-out fold.
+
+    Null texts and texts without a letter go; a null doc_id is a row like others; repeated rows stay or go together; of two
+    languages of one size the first by name counts, with a margin of 0 and so a rejection; without labelled rows all go."""
     model = langid.learn(docs.where(~langid.held_out()).select("text", "lang"))
     return langid.keep_identified(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup; n_chars follows the text. Documents of which no line is left go."""
+    """Line dedup; n_chars follows the text. Documents of which no line is left go.
+
+    A null text becomes an empty one; a null doc_id keeps its text; rows of one doc_id lose the same lines."""
     kept = lines.dedup_lines(docs).where((F.col("n_dropped") < F.col("n_lines")))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join over five words at 0.8; one document of each group stays."""
+    """N-gram Jaccard join over five words at 0.8; one document of each group stays, that of the smallest doc_id.
+
+    Empty texts link with nothing and stay; so do rows of a null doc_id; rows of one doc_id stay or go together."""
     return jaccard.keep_one(docs, k=5, num=80, den=100)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go. Null and empty texts, and all if the benchmark is empty, stay."""
     return contamination.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing into sequences of 2048."""
+    """Best-fit packing into sequences of 2048. A null or empty text is the one end id; every row is packed for itself."""
     packed = packing.pack(docs, capacity=2048, carry={"ids_crc32": F.crc32("ids")})
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
