@@ -2,7 +2,7 @@
 
 A label is (request, stop, arr, walk, by_ride, legs). A round boards every pattern at the labels' stops, takes the earliest run,
 alights at every later position, and walks on; labels that another beats weakly on (arr, walk) at their stop go, each round
-for itself. The earliest run is an as-of join by window: departures and labels of a (pattern, position) in one order, so
+for itself. The earliest run is looked up by hours: a label meets the runs of its hour and the first runs of later hours, so
 no label meets all trips. Rounds are checkpointed, since each reads the last one several times.
 """
 
@@ -44,14 +44,17 @@ def ride(labels: DataFrame, pattern_stops: DataFrame, runs: DataFrame, stop_time
     ready = F.col("arr") + F.when(F.col("by_ride"), TRANSFER).otherwise(0)
     at = labels.join(pattern_stops.where("not is_last").select("stop_id", "pattern_id", "pos"), "stop_id").withColumn("t", ready.cast("int"))
     at = timetable.skyline(at, ["request", "pattern_id", "pos"], "stop_id")
-    asks = at.select("request", "pattern_id", "pos", "t", F.col("stop_id").alias("from_stop"), "walk", "legs", F.lit(1).alias("kind"))
-    asked = asks.groupBy("pattern_id", "pos").agg(F.min("t").alias("since"))  # runs that no label can board take no part
-    offers = runs.join(asked, ["pattern_id", "pos"]).where(F.col("dep") >= F.col("since")).select("pattern_id", "pos", F.col("dep").alias("t"), "trip_id", "offset", F.lit(0).alias("kind"))
-    # from the end: the last offer before an ask is the first run at or after it
-    w = Window.partitionBy("pattern_id", "pos").orderBy(F.col("t").desc(), "kind", F.col("trip_id").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.last(F.when(F.col("kind") == 0, F.struct("trip_id", "offset", F.col("t").alias("dep"))), ignorenulls=True).over(w)
-    on = asks.unionByName(offers, allowMissingColumns=True).withColumn("run", run).where("kind = 1 and run is not null")
-    on = on.select("request", "pattern_id", "pos", "from_stop", "walk", "legs", "t", "run.trip_id", "run.offset", "run.dep")
+    asks = at.select("request", "pattern_id", "pos", "t", F.col("stop_id").alias("from_stop"), "walk", "legs")
+    # the first run at or after t: among those of its hour, or else the first of a later hour; aggregates only, no key is sorted
+    hour = lambda t: F.floor(t / 3600).alias("hour")
+    run = F.struct("dep", "trip_id", "offset")
+    hourly = runs.select("pattern_id", "pos", "dep", "trip_id", "offset", hour(F.col("dep")))
+    firsts = hourly.groupBy("pattern_id", "pos", F.col("hour").alias("later")).agg(F.min(run).alias("run"))
+    wanted = asks.select("pattern_id", "pos", "t", hour(F.col("t"))).distinct()
+    own = wanted.join(hourly, ["pattern_id", "pos", "hour"]).where("dep >= t").groupBy("pattern_id", "pos", "t").agg(F.min(run).alias("run"))
+    after = wanted.join(firsts, ["pattern_id", "pos"]).where("later > hour").groupBy("pattern_id", "pos", "t").agg(F.min("run").alias("run"))
+    found = own.unionByName(after).groupBy("pattern_id", "pos", "t").agg(F.min("run").alias("run"))
+    on = asks.join(found, ["pattern_id", "pos", "t"]).select("request", "pattern_id", "pos", "from_stop", "walk", "legs", "t", "run.trip_id", "run.offset", "run.dep")
     later = stop_times.select("trip_id", F.col("pos").alias("pos2"), F.col("stop_id").alias("to_stop"), F.col("arr").alias("sched"))
     off = on.join(later, "trip_id").where("pos2 > pos").withColumn("arr2", (F.col("sched") + F.col("offset")).cast("int"))
     if suspended is not None:
@@ -80,20 +83,22 @@ class Network(NamedTuple):
     radius: float
 
 
-def network(stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, service_days: DataFrame, day: str, radius: float = 400.0, suspended: DataFrame | None = None, since: int | None = None) -> Network:
-    """The runs of a day and its neighbours in seconds of that day, from `since` on, and footpaths, as checkpoints."""
+def network(stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, service_days: DataFrame, day: str, radius: float = 400.0, suspended: DataFrame | None = None, since: int | None = None, keep: bool = True) -> Network:
+    """The runs of a day and its neighbours in seconds of that day, from `since` on, and footpaths. `keep`: as
+    checkpoints, for searches of several rounds or passes."""
     spark = stops.sparkSession
     if not _checkpoints(spark):
         spark.sparkContext.setCheckpointDir(_scratch(spark))
     if suspended is not None:
         stops = stops.join(suspended, "stop_id", "left_anti")
-    paths = spatial.footpaths(stops, radius).checkpoint()
+    paths = spatial.footpaths(stops, radius)
     shifted = timetable.day_offsets(stop_times.select("trip_id", "pattern_id", "service_id", "pos", "dep"), timetable.DAY)
     runs = timetable.service_runs(shifted, service_days, F.date_add(F.lit(day).cast("date"), F.col("day_shift")))
     runs = runs.select("trip_id", "pattern_id", "pos", (F.col("dep") + F.col("offset")).cast("int").alias("dep"), "offset")
     if since is not None:
         runs = runs.where(F.col("dep") >= since)
-    runs = runs.checkpoint()
+    if keep:
+        runs, paths = runs.checkpoint(), paths.checkpoint()
     return Network(stops, pattern_stops, stop_times, runs, paths, suspended, radius)
 
 
@@ -121,7 +126,7 @@ def plan(requests: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_t
     """(request, arr, walk, rides, legs): the journeys of (request, lat, lon, to_lat, to_lon, depart), skyline a number of rides,
     arriving at most `max_extra` seconds after the first. Waits have no limit."""
     since = requests.agg(F.min("depart")).first()[0]
-    out = search(requests, network(stops, pattern_stops, stop_times, service_days, day, radius, suspended, since), max_transfers, cap)
+    out = search(requests, network(stops, pattern_stops, stop_times, service_days, day, radius, suspended, since, keep=max_transfers > 0), max_transfers, cap)
     fastest = F.min("arr").over(Window.partitionBy("request"))
     return out.withColumn("__f", fastest).where(F.col("arr") <= F.col("__f") + max_extra).drop("__f")
 

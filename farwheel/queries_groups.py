@@ -60,7 +60,7 @@ def pattern_trip_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("AGG-04_24_stop_mode_set", "SELECT stop_id, string_agg(DISTINCT CAST(route_type AS VARCHAR), ',' ORDER BY CAST(route_type AS VARCHAR)) AS modes, max(CASE WHEN route_type = 1 THEN 1 ELSE 0 END) AS metro FROM v_pattern_stops p JOIN v_routes r ON p.route_id = r.route_id GROUP BY stop_id")
 def stop_mode_set(spark: SparkSession, sf: str) -> DataFrame:
-    both = feed.pattern_stops(spark, sf).join(F.broadcast(feed.routes(spark, sf)), "route_id")
+    both = feed.pattern_stops(spark, sf).join(feed.routes(spark, sf), "route_id")
     return both.groupBy("stop_id").agg(_joined("route_type").alias("modes"), F.max(F.when(F.col("route_type") == 1, 1).otherwise(0)).alias("metro"))
 
 
@@ -140,7 +140,7 @@ def stop_clusters(spark: SparkSession, sf: str) -> DataFrame:
 )
 def every_line_options(spark: SparkSession, sf: str) -> DataFrame:
     s = timetable.service_runs(feed.stop_times(spark, sf).where((F.col("pos") < 7) & F.col("dep").between(NOW, NOW + 1800)), feed.service_days(spark, sf), F.lit(DAY).cast("date"))
-    return s.join(F.broadcast(feed.routes(spark, sf)), "route_id").groupBy("stop_id", "feed", "short_name").agg(F.min("dep").alias("dep"))
+    return s.join(feed.routes(spark, sf), "route_id").groupBy("stop_id", "feed", "short_name").agg(F.min("dep").alias("dep"))
 
 
 @query(
@@ -174,7 +174,7 @@ _SEGMENTS = "SELECT r.route_type AS mode, s.stop_id AS f, n.stop_id AS t, s.rout
 )
 def merge_segments(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("pattern_id").orderBy("pos")
-    hops = feed.pattern_stops(spark, sf).withColumn("to_node", F.lead("stop_id").over(w)).where("to_node is not null").join(F.broadcast(feed.routes(spark, sf).select("route_id", "route_type")), "route_id")
+    hops = feed.pattern_stops(spark, sf).withColumn("to_node", F.lead("stop_id").over(w)).where("to_node is not null").join(feed.routes(spark, sf).select("route_id", "route_type"), "route_id")
     m = graph.merge_segments(hops.select(F.col("route_type").alias("mode"), F.col("stop_id").alias("from_node"), "to_node", F.col("route_id").cast("string").alias("route")))
     return m.select("mode", "a", "b", F.array_join("routes", ",").alias("routes"), "directions")
 
@@ -208,11 +208,17 @@ def line_groups(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT kind, count(*) AS n, round(sum(value), 3) AS total, round(list_sort(list(value))[CAST(floor(0.5::DOUBLE * count(*)) AS INT) + 1], 3) AS p50, round(list_sort(list(value))[CAST(floor(0.95::DOUBLE * count(*)) AS INT) + 1], 3) AS p95, round(max(value), 3) AS most FROM v_fixes GROUP BY kind",
 )
 def quality_report(spark: SparkSession, sf: str) -> DataFrame:
-    # the floor(q n)-th value by rank: no group is gathered in one list
-    w = Window.partitionBy("kind").orderBy("value")
-    ranked = feed.fixes(spark, sf).select("kind", "value").withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("kind")))
-    at = lambda q: F.max(F.when(F.col("i") == F.floor(feed.d(q) * F.col("n")), F.col("value")))
-    return ranked.groupBy("kind").agg(F.count("*").alias("n"), r3(F.sum("value")).alias("total"), r3(at(0.5)).alias("p50"), r3(at(0.95)).alias("p95"), r3(F.max("value")).alias("most"))
+    # the floor(q n)-th value: counts by whole values tell its bucket, ranks within that bucket the value; no kind is sorted whole
+    f = feed.fixes(spark, sf).select("kind", "value", F.floor("value").alias("b"))
+    per = f.groupBy("kind", "b").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.max("value").alias("m"))
+    total = per.groupBy("kind").agg(F.sum("n").alias("n"), r3(F.sum("s")).alias("total"), r3(F.max("m")).alias("most"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = total.select("kind", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(feed.d(q) * F.col("n")).alias("rank")) for k, q in (("p50", 0.5), ("p95", 0.95))))).alias("q")).select("kind", "q.k", "q.rank")
+    hit = per.select("kind", "b", "n", before.alias("before")).join(ranks, "kind").where("rank >= before and rank < before + n")
+    w = Window.partitionBy("kind", "k").orderBy("value")
+    at = f.join(hit, ["kind", "b"]).withColumn("i", F.row_number().over(w) - 1).where(F.col("i") == F.col("rank") - F.col("before"))
+    found = at.groupBy("kind").agg(*(r3(F.max(F.when(F.col("k") == k, F.col("value")))).alias(k) for k in ("p50", "p95")))
+    return total.join(found, "kind").select("kind", "n", "total", "p50", "p95", "most")
 
 
 @query("AGG-22_components", _CLUSTERS + ", m AS (SELECT s, min(o) AS c FROM c GROUP BY s) SELECT c AS component, count(*) AS nodes FROM m GROUP BY c")
@@ -270,7 +276,7 @@ def _track():
 
 
 @query(
-    "WIN-05_10_heading_turn",
+    "WIN-05_heading",
     f"""SELECT event_id, round({BEARING.format('la', 'lo', 'lb', 'lob')}, 3) AS heading FROM (SELECT event_id, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, lead(lat) OVER w AS lb, lead(lon) OVER w AS lob FROM v_fixes WINDOW w AS (PARTITION BY vehicle ORDER BY ts, event_id))""",
 )
 def heading_turn(spark: SparkSession, sf: str) -> DataFrame:
@@ -405,7 +411,7 @@ def pareto_per_rides(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "TOP-06_19_pareto3_arrive_by",
+    "TOP-06_pareto3",
     f"""WITH l AS ({_LABELS}) SELECT a.event_id FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.request = a.request AND b.arr >= a.arr AND b.walk <= a.walk AND b.rides <= a.rides
     AND (b.arr > a.arr OR b.walk < a.walk OR b.rides < a.rides))""",
 )
@@ -501,7 +507,7 @@ def dedupe_journeys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SET-03_05_array_sets", "SELECT stop_id, array_to_string(list_sort(list_filter(list_distinct(r), lambda x: x NOT IN (3, 7))), ',') AS kept FROM (SELECT stop_id, list(route_type) AS r FROM v_pattern_stops JOIN v_routes USING (route_id) GROUP BY stop_id)")
 def array_sets(spark: SparkSession, sf: str) -> DataFrame:
-    g = feed.pattern_stops(spark, sf).join(F.broadcast(feed.routes(spark, sf)), "route_id").groupBy("stop_id").agg(F.collect_set("route_type").alias("r"))
+    g = feed.pattern_stops(spark, sf).join(feed.routes(spark, sf), "route_id").groupBy("stop_id").agg(F.collect_set("route_type").alias("r"))
     kept = F.array_sort(F.array_except("r", F.array(F.lit(3), F.lit(7))))
     return g.select("stop_id", F.array_join(F.transform(kept, lambda x: x.cast("string")), ",").alias("kept"))
 

@@ -92,7 +92,7 @@ def footpath_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "GRF-08_10_road_graph",
+    "GRF-08_road_graph",
     """SELECT s.pattern_id AS way_id, round(a.lat, 6) AS from_lat, round(a.lon, 6) AS from_lon, round(b.lat, 6) AS to_lat, round(b.lon, 6) AS to_lon FROM v_pattern_stops s JOIN v_pattern_stops n ON s.pattern_id = n.pattern_id AND (n.pos = s.pos + 1 OR (n.pos = s.pos - 1 AND s.pattern_id % 2 = 0))
     JOIN v_stops a ON s.stop_id = a.stop_id JOIN v_stops b ON n.stop_id = b.stop_id WHERE s.stop_id <> n.stop_id""",
 )
@@ -145,11 +145,11 @@ def chord(spark: SparkSession, sf: str) -> DataFrame:
     return at.groupBy("pattern_id").agg(F.array_join(line, ";").alias("line"))
 
 
-@query("GRF-23_24_merge_chain")
+@query("GRF-23_merge_chain")
 def merge_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Maximal chains of segments with one mode and route set: a node of degree two joins its two segments."""
     w = Window.partitionBy("pattern_id").orderBy("pos")
-    hops = feed.pattern_stops(spark, sf).withColumn("to_node", F.lead("stop_id").over(w)).where("to_node is not null and to_node <> stop_id").join(F.broadcast(feed.routes(spark, sf).select("route_id", "route_type")), "route_id")
+    hops = feed.pattern_stops(spark, sf).withColumn("to_node", F.lead("stop_id").over(w)).where("to_node is not null and to_node <> stop_id").join(feed.routes(spark, sf).select("route_id", "route_type"), "route_id")
     m = graph.merge_segments(hops.select(F.col("route_type").alias("mode"), F.col("stop_id").alias("from_node"), "to_node", F.col("route_id").cast("string").alias("route")))
     seg = m.withColumn("id", F.xxhash64("mode", "a", "b")).withColumn("key", F.concat_ws("|", "mode", F.array_join("routes", ","), "directions"))
     ends = seg.select("id", "key", F.explode(F.array("a", "b")).alias("node"))
@@ -242,7 +242,7 @@ def missed_ride(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "STR-13_14_connection_risk",
+    "STR-13_connection_risk",
     "SELECT a.trip_id, a.arr + coalesce(d.delay, 0) + 300 > n.dep AS risk FROM v_stop_times a LEFT JOIN (SELECT trip_id, arg_max(delay, event_id) AS delay FROM v_updates GROUP BY trip_id) d ON a.trip_id = d.trip_id JOIN v_stop_times n ON n.trip_id = a.trip_id + 1 AND n.pos = 4 WHERE a.pos = 3",
 )
 def connection_risk(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,7 +259,7 @@ def trip_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "STR-17_18_change_detection",
+    "STR-18_change_detection",
     "SELECT event_id FROM (SELECT event_id, kind, lag(kind) OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS was FROM v_fixes) WHERE was IS DISTINCT FROM kind",
 )
 def change_detection(spark: SparkSession, sf: str) -> DataFrame:

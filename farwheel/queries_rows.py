@@ -180,7 +180,7 @@ def _vehicles(spark: SparkSession, sf: str) -> DataFrame:
 def vehicle_route(spark: SparkSession, sf: str) -> DataFrame:
     t = feed.trips(spark, sf).select("trip_id", F.col("route_id").alias("t_route"))
     r = feed.routes(spark, sf).select("route_id")
-    v = _vehicles(spark, sf).join(t, F.col("v_trip") == F.col("trip_id"), "left").join(F.broadcast(r), F.col("v_route") == F.col("route_id"), "left")
+    v = _vehicles(spark, sf).join(t, F.col("v_trip") == F.col("trip_id"), "left").join(r, F.col("v_route") == F.col("route_id"), "left")
     return v.select("event_id", "trip_id", F.coalesce("t_route", "route_id").alias("route_id"))
 
 
@@ -354,6 +354,6 @@ def endpoint_poles(spark: SparkSession, sf: str) -> DataFrame:
 @query("JN-26_29_route_for_tap", "SELECT event_id, arg_max(route_id, (score, -route_id)) AS route_id FROM (SELECT event_id, r.route_id, CASE WHEN feed = 0 THEN 2 ELSE 0 END + CASE WHEN route_type = k % 4 THEN 1 ELSE 0 END AS score FROM v_fixes f JOIN v_routes r ON r.short_name = CAST(f.k % 25 + 1 AS VARCHAR)) GROUP BY event_id")
 def route_for_tap(spark: SparkSession, sf: str) -> DataFrame:
     taps = feed.fixes(spark, sf).select("event_id", "k", (F.col("k") % 25 + 1).cast("string").alias("short_name"))
-    both = taps.join(F.broadcast(feed.routes(spark, sf)), "short_name")
+    both = taps.join(feed.routes(spark, sf), "short_name")
     score = F.when(F.col("feed") == 0, 2).otherwise(0) + F.when(F.col("route_type") == F.col("k") % 4, 1).otherwise(0)
     return both.groupBy("event_id").agg(F.max(F.struct(score.alias("s"), -F.col("route_id"), "route_id"))["route_id"].alias("route_id"))

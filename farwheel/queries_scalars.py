@@ -58,7 +58,7 @@ def looks_like_line(spark: SparkSession, sf: str) -> DataFrame:
 )
 def pattern_signature(spark: SparkSession, sf: str) -> DataFrame:
     p = feed.pattern_stops(spark, sf).groupBy("pattern_id", "route_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "stop_id"))), lambda x: x["stop_id"]).alias("s"))
-    both = p.join(F.broadcast(feed.routes(spark, sf)), "route_id")
+    both = p.join(feed.routes(spark, sf), "route_id")
     return both.select("pattern_id", text.pattern_signature(F.col("short_name"), F.col("route_type"), F.col("s")).alias("signature"))
 
 

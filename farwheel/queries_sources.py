@@ -108,7 +108,7 @@ def osm_json(spark: SparkSession, sf: str) -> DataFrame:
     return osm.ways(bodies).select(F.col("way_id").cast("int").alias("way_id"), F.col("tags")["route"].alias("kind"), F.size("points").cast("bigint").alias("points"))
 
 
-@query("SRC-20_21_osm_opl", "SELECT pattern_id AS way_id, 'à, b' AS name, count(*) AS points FROM v_pattern_stops GROUP BY pattern_id")
+@query("SRC-20_21_SCL-09_osm_opl", "SELECT pattern_id AS way_id, 'à, b' AS name, count(*) AS points FROM v_pattern_stops GROUP BY pattern_id")
 def osm_opl(spark: SparkSession, sf: str) -> DataFrame:
     at = feed.pattern_stops(spark, sf).join(feed.stops(spark, sf), "stop_id").groupBy("pattern_id").agg(F.sort_array(F.collect_list(F.struct("pos", "stop_id", "lat", "lon"))).alias("p"))
     nodes = F.array_join(F.transform("p", lambda x: F.concat(F.lit("n"), x["stop_id"], F.format_string("x%.7fy%.7f", x["lon"], x["lat"]))), ",")
@@ -118,7 +118,7 @@ def osm_opl(spark: SparkSession, sf: str) -> DataFrame:
     return osm.opl_ways(lines).select(F.col("way_id").cast("int").alias("way_id"), F.col("tags")["name"].alias("name"), F.size("points").cast("bigint").alias("points"))
 
 
-@query("SRC-22_23_osm_tiles", "SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT min(floor(lat / 0.1::DOUBLE)) AS a, max(floor(lat / 0.1::DOUBLE)) AS b, min(floor(lon / 0.1::DOUBLE)) AS c, max(floor(lon / 0.1::DOUBLE)) AS d FROM v_stops), LATERAL (SELECT unnest(range(CAST(a AS INT), CAST(b AS INT) + 1)) AS y), LATERAL (SELECT unnest(range(CAST(c AS INT), CAST(d AS INT) + 1)) AS x)")
+@query("SRC-22_osm_tiles", "SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT min(floor(lat / 0.1::DOUBLE)) AS a, max(floor(lat / 0.1::DOUBLE)) AS b, min(floor(lon / 0.1::DOUBLE)) AS c, max(floor(lon / 0.1::DOUBLE)) AS d FROM v_stops), LATERAL (SELECT unnest(range(CAST(a AS INT), CAST(b AS INT) + 1)) AS y), LATERAL (SELECT unnest(range(CAST(c AS INT), CAST(d AS INT) + 1)) AS x)")
 def osm_tiles(spark: SparkSession, sf: str) -> DataFrame:
     cell = lambda f, c: f(F.floor(F.col(c) / feed.d(0.1)).cast("int"))
     box = feed.stops(spark, sf).agg(cell(F.min, "lat").alias("a"), cell(F.max, "lat").alias("b"), cell(F.min, "lon").alias("c"), cell(F.max, "lon").alias("d"))
@@ -135,25 +135,25 @@ def json_sources(spark: SparkSession, sf: str) -> DataFrame:
 # -- sinks ----------------------------------------------------------------------------------------------------------
 
 
-@query("SNK-01_02_03_11_manifest", "SELECT count(*) AS rows, sum(stop_id) AS ids, md5(string_agg(stop_id || ':' || name, ',' ORDER BY stop_id)) AS digest FROM v_stops")
+@query("SNK-01_11_manifest", "SELECT count(*) AS rows, sum(stop_id) AS ids, md5(string_agg(stop_id || ':' || name, ',' ORDER BY stop_id)) AS digest FROM v_stops")
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
     s = feed.stops(spark, sf)
     lines = F.transform(F.sort_array(F.collect_list(F.struct("stop_id", "name"))), lambda x: F.concat_ws(":", x["stop_id"], x["name"]))
     return s.agg(F.count("*").alias("rows"), F.sum("stop_id").alias("ids"), F.md5(F.array_join(lines, ",")).alias("digest"))
 
 
-@query("SNK-04_05_06_features", "SELECT stop_id, round(lon, 6) AS lon, round(lat, 6) AS lat, bool_or(route_type = 1) AS metro, bool_or(route_type = 0) AS tram FROM v_stops JOIN v_pattern_stops USING (stop_id) JOIN v_routes USING (route_id) GROUP BY ALL")
+@query("SNK-06_features", "SELECT stop_id, round(lon, 6) AS lon, round(lat, 6) AS lat, bool_or(route_type = 1) AS metro, bool_or(route_type = 0) AS tram FROM v_stops JOIN v_pattern_stops USING (stop_id) JOIN v_routes USING (route_id) GROUP BY ALL")
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    t = feed.pattern_stops(spark, sf).join(F.broadcast(feed.routes(spark, sf)), "route_id").groupBy("stop_id").agg(F.bool_or(F.col("route_type") == 1).alias("metro"), F.bool_or(F.col("route_type") == 0).alias("tram"))
+    t = feed.pattern_stops(spark, sf).join(feed.routes(spark, sf), "route_id").groupBy("stop_id").agg(F.bool_or(F.col("route_type") == 1).alias("metro"), F.bool_or(F.col("route_type") == 0).alias("tram"))
     f = feed.stops(spark, sf).join(t, "stop_id").select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(F.round("lon", 6), F.round("lat", 6)).alias("coordinates")).alias("geometry"), F.struct("stop_id", "metro", "tram").alias("properties"))).alias("j"))
     x = F.from_json("j", "geometry struct<coordinates:array<double>>, properties struct<stop_id:bigint,metro:boolean,tram:boolean>")
     return f.select(x.alias("x")).select("x.properties.stop_id", F.get("x.geometry.coordinates", 0).alias("lon"), F.get("x.geometry.coordinates", 1).alias("lat"), "x.properties.metro", "x.properties.tram")
 
 
-@query("SNK-07_08_09_vehicle_features", "SELECT event_id, r.short_name AS line, CASE route_type WHEN 0 THEN 'tram' WHEN 1 THEN 'metro' WHEN 7 THEN 'funicular' ELSE 'bus' END AS mode FROM v_fixes f LEFT JOIN v_routes r ON f.k % 30 = r.route_id")
+@query("SNK-07_vehicle_features", "SELECT event_id, r.short_name AS line, CASE route_type WHEN 0 THEN 'tram' WHEN 1 THEN 'metro' WHEN 7 THEN 'funicular' ELSE 'bus' END AS mode FROM v_fixes f LEFT JOIN v_routes r ON f.k % 30 = r.route_id")
 def vehicle_features(spark: SparkSession, sf: str) -> DataFrame:
     r = feed.routes(spark, sf).select("route_id", "short_name", "route_type")
-    return feed.fixes(spark, sf).join(F.broadcast(r), F.col("k") % 30 == F.col("route_id"), "left").select("event_id", F.col("short_name").alias("line"), text.mode_key(F.col("route_type")).alias("mode"))
+    return feed.fixes(spark, sf).join(r, F.col("k") % 30 == F.col("route_id"), "left").select("event_id", F.col("short_name").alias("line"), text.mode_key(F.col("route_type")).alias("mode"))
 
 
 @query("SNK-12_widget_payload")
@@ -162,7 +162,7 @@ def widget_payload(spark: SparkSession, sf: str) -> DataFrame:
     return top.groupBy("stop_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("rank", "trip_id", "expected"))), lambda x: F.struct(x["trip_id"].alias("trip_id"), x["expected"].alias("expected")))).alias("payload"))
 
 
-@query("SNK-13_14_15_bounded_logs", "SELECT rider, event_id FROM (SELECT user_id AS rider, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 10")
+@query("SNK-14_15_bounded_logs", "SELECT rider, event_id FROM (SELECT user_id AS rider, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 10")
 def bounded_logs(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     return table(spark, sf, "events").withColumn("k", F.row_number().over(w)).where("k <= 10").select(F.col("user_id").alias("rider"), "event_id")

@@ -11,7 +11,8 @@ ELEMENT = "type string, id bigint, lat double, lon double, nodes array<bigint>,
 def elements(answers: DataFrame) -> DataFrame:
     """All elements of (body): JSON answers with an `elements` list; the first of a type and id stays."""
     rows = answers.select(F.explode(F.from_json("body", f"elements array<struct<{ELEMENT.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>")["elements"]).alias("e")).select("e.*")
-    return rows.dropDuplicates(["type", "id"])
+    first = rows.withColumn("__i", F.monotonically_increasing_id()).groupBy("type", "id").agg(F.min_by(F.struct(*(rows[c] for c in rows.columns)), "__i").alias("e"))
+    return first.select("e.*")
 
 
 def ways(answers: DataFrame) -> DataFrame:
