@@ -105,5 +105,6 @@ def moving_like_a_vehicle(trail: Column, t: Column, along: Column, least_seconds
     return F.exists(trail, lambda x: (t - x["t"] >= least_seconds) & ((along - x["along"]) / (t - x["t"]) >= speed))
 
 
-def me_heading(speed: Column, course: Column, compass: Column) -> Column:
-    return F.when(speed >= 4.0, course).otherwise(F.coalesce(compass, course))
+def me_heading(speed: Column, course: Column, compass: Column, at_rest: bool = True) -> Column:
+    """The course when moving, else the compass; without one the course, if it may stand in `at_rest`, or nothing."""
+    return F.when(speed >= 4.0, course).otherwise(F.coalesce(compass, course) if at_rest else compass)

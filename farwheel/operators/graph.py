@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -59,3 +60,28 @@ def road_edges(ways: DataFrame) -> DataFrame:
     ahead = one.select("way_id", F.col("h.p").alias("p"), F.col("h.q").alias("q"))
     back = one.where("not oneway").select("way_id", F.col("h.q").alias("p"), F.col("h.p").alias("q"))
     return ahead.unionByName(back).select("way_id", F.col("p.lat").alias("from_lat"), F.col("p.lon").alias("from_lon"), F.col("q.lat").alias("to_lat"), F.col("q.lon").alias("to_lon"))
+
+
+def ordinals(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`rows`, which are distinct in `order`, with `name`: their place from 0. Ranges are ranked for themselves and moved by the counts
+    of those before them, so no task holds all rows; only a count a range is joined."""
+    w = Window.partitionBy("__range").orderBy(*order)
+    ranged = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = counts.select("__range", before.alias("__before"))
+    return ranged.join(start, "__range").withColumn(name, F.row_number().over(w) - 1 + F.col("__before")).drop("__range", "__before")
+
+
+def canonical(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, lat_e5, lon_e5), (edge, a, b, flags, name)) of nodes (key, lat_e5, lon_e5) and edges (a, b: keys, flags, name).
+
+    Nodes are numbered by place, edges by (a, b, flags, name) with a <= b, equal ones once: one graph has one form."""
+    spark = nodes.sparkSession
+    if not _checkpoints(spark):
+        spark.sparkContext.setCheckpointDir(_scratch(spark))
+    placed = ordinals(nodes.select("lat_e5", "lon_e5").distinct(), ["lat_e5", "lon_e5"], "node")
+    of = nodes.join(placed, ["lat_e5", "lon_e5"]).select("key", "node")
+    both = edges.join(of.select(F.col("key").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("key").alias("b"), F.col("node").alias("y")), "b")
+    one = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "flags", "name").distinct()
+    return placed.select("node", "lat_e5", "lon_e5"), ordinals(one, ["a", "b", "flags", "name"], "edge")

@@ -103,6 +103,20 @@ def road_graph(spark: SparkSession, sf: str) -> DataFrame:
     return graph.road_edges(ways).select("way_id", *(F.round(c, 6).alias(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")))
 
 
+@query(
+    "GRF-10_canonicalise",
+    f"""WITH n AS (SELECT stop_id, CAST(round(lat * 100000) AS INT) AS y, CAST(round(lon * 100000) AS INT) AS x FROM v_stops), k AS (SELECT y, x, row_number() OVER (ORDER BY y, x) - 1 AS node FROM (SELECT DISTINCT y, x FROM n)), o AS (SELECT stop_id, node FROM n JOIN k USING (y, x)),
+    e AS (SELECT DISTINCT least(p.node, q.node) AS a, greatest(p.node, q.node) AS b, CAST((least(p.node, q.node) + greatest(p.node, q.node)) % 3 AS INT) AS flags FROM ({_PAIRS}) w JOIN o p ON w.a = p.stop_id JOIN o q ON w.b = q.stop_id WHERE w.a <> w.b AND m <= 200)
+    SELECT row_number() OVER (ORDER BY a, b, flags) - 1 AS edge, a, b, flags FROM e""",
+)
+def canonicalise(spark: SparkSession, sf: str) -> DataFrame:
+    """The walking graph of footpaths in canonical form; flags are made of an edge's ends."""
+    stops = feed.stops(spark, sf)
+    nodes = stops.select(F.col("stop_id").alias("key"), geo.fixed(F.col("lat"), 100_000).alias("lat_e5"), geo.fixed(F.col("lon"), 100_000).alias("lon_e5"))
+    found = graph.canonical(nodes, walk_graph(spark, sf).select("a", "b", F.lit(0).alias("flags"), F.lit("").alias("name")))[1]
+    return found.select("edge", "a", "b", ((F.col("a") + F.col("b")) % 3).cast("int").alias("flags"))
+
+
 @query("GRF-11_connected_components", _CLUSTERS + " SELECT s AS node, min(o) AS component FROM c GROUP BY s")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     stops = feed.stops(spark, sf)

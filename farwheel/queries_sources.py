@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from farwheel import feed
 from farwheel.feed import table
-from farwheel.functions import text
+from farwheel.functions import geo, text
 from farwheel.operators import timetable
 from farwheel.queries_groups import board
 from farwheel.queries_scalars import r3
@@ -156,6 +156,22 @@ def vehicle_features(spark: SparkSession, sf: str) -> DataFrame:
     return feed.fixes(spark, sf).join(r, F.col("k") % 30 == F.col("route_id"), "left").select("event_id", F.col("short_name").alias("line"), text.mode_key(F.col("route_type")).alias("mode"))
 
 
+@query(
+    "SNK-09_me_feature",
+    """SELECT event_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(least(value * 20, 2000) * 4194304 / (78271.51696402048::DOUBLE * cos(radians(lat))), 3) AS r22,
+    CAST(coalesce(CASE WHEN event_id % 9 >= 4 THEN event_id % 360 WHEN event_id % 3 <> 0 THEN (event_id + 90) % 360 END, -1) AS INT) AS heading FROM v_fixes WHERE event_id % 11 <> 0""",
+)
+def me_feature(spark: SparkSession, sf: str) -> DataFrame:
+    """The rider's point with its accuracy's radius at zoom 22 and the beam's heading, -1 without one; no fix, no feature."""
+    e = F.col("event_id")
+    heading = F.coalesce(geo.me_heading(e % 9, e % 360, F.when(e % 3 != 0, (e + 90) % 360), at_rest=False), F.lit(-1)).cast("int")
+    r22 = F.least(F.col("value") * 20, feed.d(2000)) * feed.d(1 << 22) / (feed.d(78271.51696402048) * F.cos(F.radians("lat")))
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.round("lon", 6), F.round("lat", 6)).alias("coordinates"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(r3(r22).alias("r22"), heading.alias("heading")).alias("properties")))
+    rows = feed.fixes(spark, sf).where(e % 11 != 0).select("event_id", F.from_json(feature, "geometry struct<coordinates:array<double>>, properties struct<r22:double,heading:int>").alias("x"))
+    return rows.select("event_id", F.get("x.geometry.coordinates", 0).alias("lon"), F.get("x.geometry.coordinates", 1).alias("lat"), "x.properties.r22", "x.properties.heading")
+
+
 @query("SNK-12_widget_payload")
 def widget_payload(spark: SparkSession, sf: str) -> DataFrame:
     top = timetable.first_n(board(spark, sf), ["stop_id"], 12, "expected", "trip_id", "pos")
