@@ -65,14 +65,16 @@ def index_artefact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SNK-13_alert_cache", "SELECT event_type AS feed, max(ts) AS fetched_at, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE event_id % 7 <> 0 GROUP BY event_type")
 def alert_cache(spark: SparkSession, sf: str) -> DataFrame:
-    """The last good payload a feed with its time; a payload that doesn't parse never takes a good one's place."""
+    """The last good payload a feed with its time, written and read back; one that doesn't parse never takes a good one's place."""
     e = table(spark, sf, "events").withColumn("payload", F.when(F.col("event_id") % 7 == 0, F.lit("<html>")).otherwise(F.col("props")))
     good = e.where(F.get_json_object("payload", "$.k").isNotNull()).select(F.col("event_type").alias("feed"), F.col("ts").alias("fetched_at"), "event_id", "payload")
-    return live.latest(good, ["feed"], ["fetched_at", "event_id"]).select("feed", "fetched_at", "event_id")
+    path = _folder(spark, "alerts")
+    artefacts.write(live.latest(good, ["feed"], ["fetched_at", "event_id"]).select("feed", "fetched_at", "event_id", "payload"), path, "alerts", "1")
+    return artefacts.read(spark, path, "alerts").select("feed", "fetched_at", "event_id")
 
 
 @query(
-    "SNK-04_drawn_segments",
+    "SNK_drawn_segments",
     f"""WITH tier AS ({{tier}}), h AS (SELECT s.mode, s.f, s.t, r.short_name, tier.tier, {{shade}} AS shade FROM ({_SEGMENTS}) s JOIN v_routes r ON s.route = r.route_id JOIN tier ON s.route = tier.route_id),
     g AS (SELECT mode, least(f, t) AS a, greatest(f, t) AS b, string_agg(DISTINCT short_name, ',' ORDER BY short_name) AS routes, CAST(count(DISTINCT short_name) AS INT) AS n, CAST(min(tier) AS INT) AS tier, CAST(CASE WHEN count(DISTINCT f <= t) = 1 THEN 1 ELSE 0 END AS INT) AS arrow, min(shade) AS shade FROM h GROUP BY ALL)
     SELECT a, b, CASE mode WHEN 0 THEN 'tram' WHEN 1 THEN 'metro' WHEN 7 THEN 'funicular' ELSE 'bus' END AS mode, routes, n, tier, arrow, CAST(CASE WHEN n = 1 THEN shade ELSE -1 END AS INT) AS shade, round(p.lon, 6) AS lon, round(q.lat, 6) AS lat
@@ -82,7 +84,7 @@ def alert_cache(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def drawn_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Features of merged segments, read back from their JSON; longitude of one end, latitude of the other."""
+    """Features of merged segments (not of chains, as SNK-04 has them), read back from their JSON; longitude of one end, latitude of the other."""
     w = Window.partitionBy("pattern_id").orderBy("pos")
     routes = feed.routes(spark, sf).select("route_id", "short_name", "route_type").join(route_tiers(spark, sf), "route_id")
     hops = feed.pattern_stops(spark, sf).withColumn("to_node", F.lead("stop_id").over(w)).where("to_node is not null").join(routes, "route_id")
