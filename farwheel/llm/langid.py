@@ -6,7 +6,8 @@ compressed with every dictionary; the margin is the share by which the second-sm
 margin of at most `min_margin` is a rejection for `keep_identified`.
 
 Null texts and texts without a letter are `und` with score 0; ties go to the first language by name; repeated rows get
-equal answers; without any labelled row every text is `und`; extra columns pass through.
+equal answers; without any labelled row every text is `und`; extra columns pass through, but for those that have the names of
+the answers: `identify` replaces them, `keep_identified` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -66,14 +67,14 @@ class Classifier:
         return best, 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], block: int = 4096) -> DataFrame:
-    """`docs` with lang_pred (string) and score (double, the margin) from `text` alone."""
+def identify(docs: DataFrame, model: dict[str, bytes], block: int = 4096, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with the language (string) and the margin (double) from `text` alone, under `names`."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # languages x dict_bytes
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(*names)
     at = rows.columns.index("text")
-    schema = T.StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double")
+    schema = T.StructType(list(rows.schema.fields)).add(names[0], "string").add(names[1], "double")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = Classifier(shared.value, block)
@@ -92,5 +93,5 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes], min_margin: float = 0.002) -> DataFrame:
     """`docs` without rejected rows: those of no language, and those whose margin is narrow."""
-    told = identify(docs, model)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > min_margin)).select(docs.columns)
+    told = identify(docs, model, names=("__lang", "__margin"))
+    return told.where((F.col("__lang") != UNKNOWN) & (F.col("__margin") > min_margin)).select(docs.columns)

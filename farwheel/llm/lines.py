@@ -9,7 +9,8 @@ are shuffled once, and neither the anti-joins nor the last join with the repeate
 Keys: the line without ASCII white space at both ends, A-Z in lower case, as a 128-bit hash. Nulls and empty texts are
 one empty line; a null doc_id takes no part and keeps its text; a line that repeats within a document counts once;
 rows of one doc_id are one document, and what it loses goes from each of them; no ties arise, for doc_ids decide; extra columns
-pass through `dedup_lines` untouched; an empty table gives an empty result.
+pass through `dedup_lines` untouched, but for those that have the names of its counts, which it replaces: ask for other names
+where they must stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,8 +126,8 @@ def _batches(keys: DataFrame, n: int) -> list[DataFrame]:
     return [keys.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
-    """`docs` with `text` less its repeated lines, plus n_lines and n_dropped (long).
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """`docs` with `text` less its repeated lines, plus the counts of its lines and of the dropped ones (long), under `names`.
 
     A key found in at least `min_docs` documents loses all its lines except in the largest doc_id that holds it. Only the
     texts that lose a line move; a bitmap of fixed size tells most others."""
@@ -141,12 +142,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     drops = keys.join(repeated.hint("merge"), "key").where("doc_id < max_doc")
     drops = settled(drops.groupBy("doc_id").agg(F.collect_set("key").alias("__drop")), "line-drops", since)
 
-    rows = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")])
+    rows = docs.select(*[c for c in docs.columns if c not in names])
     near, far = marked(rows, drops)
     near = near.join(drops.withColumnRenamed("doc_id", "__doc").hint("merge"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
     joined = near.unionByName(far.withColumn("__drop", F.lit(None).cast("array<binary>")))
     at, drop_at = joined.columns.index("text"), joined.columns.index("__drop")
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in joined.schema.fields if f.name != "__drop"]).add("n_lines", "long").add("n_dropped", "long")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in joined.schema.fields if f.name != "__drop"]).add(names[0], "long").add(names[1], "long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
