@@ -27,7 +27,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup; n_chars follows the text. Documents of which no line is left go.
 
     A null text becomes an empty one; a null doc_id keeps its text; rows of one doc_id lose the same lines."""
-    kept = lines.dedup_lines(docs).where((F.col("n_dropped") < F.col("n_lines")))
+    kept = lines.dedup_lines(docs, names=("__lines", "__gone")).where(F.col("__gone") < F.col("__lines"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
