@@ -192,7 +192,7 @@ def beside(known: DataFrame, dealt: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node in `edges` (a long, b long).
+    """(node, component): the smallest node reachable, for every node in `edges` (a, b: of one type that has an order).
 
     Alternates large-star and small-star steps, each a shuffle of at most the edges, until nothing changes; a star
     needs two rounds, any graph O(log^2) of its size. Nothing is gathered on the driver but the changed count."""

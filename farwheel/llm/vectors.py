@@ -12,7 +12,7 @@ task of its own, so no task holds more than two blocks; tasks return sums and la
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different length don't link;
 a null id takes no part and has no component; rows that repeat an id and its vector are one vector, each with its row in the
-result; an empty table gives no rows.
+result; different vectors under one id are vectors of their own, each with its links and component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farwheel.llm.shared import components, mix, prepare, settled, tables, written
 
 WIDTH = 2.0
+_SIGN = -(1 << 63)
 
 
 def cell_chance(distance: float, width: float = WIDTH) -> float:
@@ -70,6 +71,16 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _node(vec_id: str, fp: str) -> Column:
+    """A name for a class of equal vectors: its least id in 16 hex digits, in the order of ids, and half of its fingerprint, which
+    tells apart the classes of one id."""
+    return F.concat(F.lpad(F.hex(F.col(vec_id).bitwiseXOR(F.lit(_SIGN))), 16, "0"), F.substring(fp, 1, 16))
+
+
+def _id_of(node: str) -> Column:
+    return (F.conv(F.substring(node, 1, 16), 16, 10).cast("decimal(20,0)") + F.lit(_SIGN).cast("decimal(20,0)")).cast("long")
+
+
 def links(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, crowd: int = 64, block: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id) of (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -79,7 +90,7 @@ def links(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, crow
     sound = F.col("vec_id").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     good = rows.where(F.coalesce(sound, F.lit(False))).select("vec_id", F.transform("e", lambda x: x + F.lit(0.0)).alias("e"))
     member = good.select("vec_id", F.md5(F.to_binary(F.array_join(F.transform("e", lambda x: x.cast("string")), ","), F.lit("utf-8"))).alias("fp"), "e")
-    classes = written(member.groupBy("fp").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("weight"), F.first("e").alias("e")), "vectors")
+    classes = written(member.groupBy("fp").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("weight"), F.first("e").alias("e")).withColumn("node", _node("rep", "fp")), "vectors")
     k, many = shape(classes.count(), threshold, recall, crowd)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,21 +111,21 @@ def links(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, crow
                 for i, v in zip(at, x, strict=True):
                     xs[i] = v.tobytes()
             out = pa.array(keys.view(np.int64).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), out, pa.array(xs, pa.binary())], ["rep", "weight", "keys", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), out, pa.array(xs, pa.binary())], ["node", "weight", "keys", "x"])
 
-    known = written(classes.select("rep", "e", "weight").mapInArrow(hashed, "rep long, weight long, keys array<long>, x binary"), "hashed")
-    cells = known.select("rep", F.posexplode("keys").alias("t", "key"))
+    known = written(classes.select("node", "e", "weight").mapInArrow(hashed, "node string, weight long, keys array<long>, x binary"), "hashed")
+    cells = known.select("node", F.posexplode("keys").alias("t", "key"))
     full = cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     # only shared buckets go on; what a vector needs of them is gathered, so that vectors move once
-    places = cells.join(full, "key").groupBy("rep").agg(F.collect_list(F.struct("t", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))).alias("places"))
-    dealt = known.join(places, "rep").select("rep", "weight", "keys", "x", F.explode("places").alias("p"))
-    own = F.pmod(F.xxhash64("rep", "p.t"), F.col("p.blocks")).cast("int")
-    dealt = dealt.select("rep", "weight", "keys", "x", "p.t", "p.key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)).alias("other"))
-    dealt = dealt.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "t", "key", "own", "rep", "weight", "keys", "x")
+    places = cells.join(full, "key").groupBy("node").agg(F.collect_list(F.struct("t", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))).alias("places"))
+    dealt = known.join(places, "node").select("node", "weight", "keys", "x", F.explode("places").alias("p"))
+    own = F.pmod(F.xxhash64("node", "p.t"), F.col("p.blocks")).cast("int")
+    dealt = dealt.select("node", "weight", "keys", "x", "p.t", "p.key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "t", "key", "own", "node", "weight", "keys", "x")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         _, lo, hi, t = (x.as_py() for x in key)
-        rep = table.column("rep").to_numpy()
+        node = table.column("node")
         weight = table.column("weight").to_numpy()
         x = np.stack([np.frombuffer(v, np.float64) for v in table.column("x").to_pylist()])
         linked = x @ x.T >= threshold
@@ -131,13 +142,13 @@ def links(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, crow
         n = linked @ weight
         some = np.flatnonzero(n)
         label = _labels(linked)[some] if len(some) else some
-        return pa.table({"rep": pa.array(rep[some], pa.int64()), "n": pa.array(n[some], pa.int64()), "to": pa.array(rep[label], pa.int64())})
+        return pa.table({"node": node.take(pa.array(some)), "n": pa.array(n[some], pa.int64()), "to": node.take(pa.array(label))})
 
-    found = written(dealt.groupBy("key", "lo", "hi", "t").applyInArrow(compare, "rep long, n long, to long"), "found")
-    comps = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    per = classes.select("fp", "rep", "weight").join(counts, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")
-    per = per.select("fp", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    found = written(dealt.groupBy("key", "lo", "hi", "t").applyInArrow(compare, "node string, n long, to string"), "found")
+    comps = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    per = classes.select("fp", "node", "rep", "weight").join(counts, "node", "left").join(comps, "node", "left")
+    per = per.select("fp", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce(_id_of("component"), "rep").alias("component_id"))
     ids = member.select("vec_id", "fp").join(per, "fp").select("vec_id", "n_links", "component_id")
     bad = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return settled(ids.unionByName(bad), "vector-links", since)
