@@ -46,6 +46,16 @@ def _scratch(spark) -> str:
     return "file://" + tempfile.mkdtemp(prefix="farwheel-ckpt-")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """`df` with its lineage cut, in the shared folder; it is computed once and written from the cache."""
+    if not _checkpoints(df.sparkSession):
+        df.sparkSession.sparkContext.setCheckpointDir(_scratch(df.sparkSession))
+    df.persist()
+    out = df.checkpoint()
+    df.unpersist()
+    return out
+
+
 def merge_segments(segments: DataFrame) -> DataFrame:
     """(mode, a, b, routes, directions) of (mode, from_node, to_node, route): both ways of a hop are one segment."""
     a, b = F.least("from_node", "to_node"), F.greatest("from_node", "to_node")

@@ -211,3 +211,19 @@ def varint_hex(z: Column) -> Column:
         byte = F.lpad(F.hex(low.bitwiseOR(F.when(more, 128).otherwise(0))), 2, "0")
         out.append(byte if i == 0 else F.when(z >= F.lit(1 << (7 * i)), byte).otherwise(""))
     return F.concat(*out)
+
+
+def resample(points: DataFrame, step: float = 15.0) -> DataFrame:
+    """(line, k, x, y, along): each line's start, a place every `step` metres along it, and its end if over a metre beyond the last."""
+    w = _in_line()
+    m = measured(points)
+    hop = m.withColumn("nx", F.lead("x").over(w)).withColumn("ny", F.lead("y").over(w)).withColumn("na", F.lead("along").over(w))
+    hop = hop.where("na > along")
+    first, last = F.floor(F.col("along") / step) + 1, F.floor(F.col("na") / step)
+    inner = hop.where(first <= last).withColumn("k", F.explode(F.sequence(first, last))).withColumn("f", (F.col("k") * step - F.col("along")) / (F.col("na") - F.col("along")))
+    inner = inner.select("line", "k", (F.col("x") + F.col("f") * (F.col("nx") - F.col("x"))).alias("x"), (F.col("y") + F.col("f") * (F.col("ny") - F.col("y"))).alias("y"), (F.col("k") * F.lit(float(step))).alias("along"))
+    ends_ = m.groupBy("line").agg(F.min(F.struct("i", "x", "y", "along")).alias("a"), F.max(F.struct("i", "x", "y", "along")).alias("b"))
+    start = ends_.select("line", F.lit(0).cast("long").alias("k"), "a.x", "a.y", F.lit(0.0).alias("along"))
+    whole = F.floor(F.col("b.along") / step)
+    end = ends_.where(F.col("b.along") - whole * step > 1).select("line", (whole + 1).alias("k"), "b.x", "b.y", "b.along")
+    return start.unionByName(inner).unionByName(end)
