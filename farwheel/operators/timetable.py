@@ -31,12 +31,13 @@ def derive_patterns(stop_times: DataFrame, trips: DataFrame, least: int = 2) ->
     return rows.groupBy("route_id", "dir", "stops").agg(F.min_by("seqs", "trip_id").alias("seqs"), F.count("*").alias("n_trips"), F.min("trip_id").alias("first_trip"))
 
 
-def delay_asof(stop_times: DataFrame, updates: DataFrame) -> DataFrame:
-    """(trip_id, pos, delay): the delay of the last update at or before each position, for trips that have updates."""
+def delay_asof(stop_times: DataFrame, updates: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(trip_id, pos, *keep, delay): the delay of the last update at or before each position, for trips that have updates."""
+    keep = keep or []
     last = updates.groupBy("trip_id", "pos").agg(F.max_by("delay", "event_id").alias("delay"))
-    known = stop_times.select("trip_id", "pos").join(last.select("trip_id").distinct(), "trip_id", "left_semi")
+    known = stop_times.select("trip_id", "pos", *keep).join(last.select("trip_id").distinct(), "trip_id", "left_semi")
     w = Window.partitionBy("trip_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return known.join(last, ["trip_id", "pos"], "left").select("trip_id", "pos", F.last("delay", ignorenulls=True).over(w).alias("delay")).where("delay is not null")
+    return known.join(last, ["trip_id", "pos"], "left").select("trip_id", "pos", *keep, F.last("delay", ignorenulls=True).over(w).alias("delay")).where("delay is not null")
 
 
 def unavailable(stop_times: DataFrame, updates: DataFrame) -> DataFrame:

@@ -205,10 +205,14 @@ def expiry(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("vehicle").agg(F.max("ts").alias("ts")).crossJoin(F.broadcast(newest)).where("ts >= since").select("vehicle")
 
 
-@query("STR-05_delay_lookup", f"SELECT trip_id, pos, dep + delay AS expected FROM v_stop_times JOIN ({DELAYS}) d USING (trip_id, pos)")
+@query(
+    "STR-05_delay_lookup",
+    """SELECT trip_id, pos, dep + delay AS expected FROM (SELECT s.trip_id, s.pos, s.dep, last_value(u.delay IGNORE NULLS) OVER (PARTITION BY s.trip_id ORDER BY s.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS delay
+    FROM v_stop_times s LEFT JOIN (SELECT trip_id, pos, arg_max(delay, event_id) AS delay FROM v_updates GROUP BY trip_id, pos) u ON s.trip_id = u.trip_id AND s.pos = u.pos) WHERE delay IS NOT NULL""",
+)
 def delay_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    s = feed.stop_times(spark, sf)
-    return s.join(timetable.delay_asof(s, feed.updates(spark, sf)), ["trip_id", "pos"]).select("trip_id", "pos", (F.col("dep") + F.col("delay")).alias("expected"))
+    """When each stop of a run with updates is expected, in one window: the delay of the last update at or before it."""
+    return timetable.delay_asof(feed.stop_times(spark, sf), feed.updates(spark, sf), keep=["dep"]).select("trip_id", "pos", (F.col("dep") + F.col("delay")).alias("expected"))
 
 
 @query("STR-06_unavailable_lookup", _GONE)

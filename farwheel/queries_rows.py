@@ -43,10 +43,16 @@ def suspended_stops(spark: SparkSession, sf: str) -> DataFrame:
 _GONE = "SELECT DISTINCT s.trip_id, s.pos FROM v_stop_times s JOIN v_updates u ON s.trip_id = u.trip_id WHERE u.canceled OR (u.skipped AND u.pos = s.pos)"
 
 
-@query("FLT-04_unavailable", f"SELECT s.trip_id, s.pos FROM v_stop_times s ANTI JOIN ({_GONE}) g ON s.trip_id = g.trip_id AND s.pos = g.pos")
+@query(
+    "FLT-04_unavailable",
+    """SELECT s.trip_id, s.pos FROM v_stop_times s LEFT JOIN (SELECT DISTINCT trip_id FROM v_updates WHERE canceled) c ON s.trip_id = c.trip_id
+    LEFT JOIN (SELECT DISTINCT trip_id, pos FROM v_updates WHERE skipped) k ON s.trip_id = k.trip_id AND s.pos = k.pos WHERE c.trip_id IS NULL AND k.trip_id IS NULL""",
+)
 def unavailable(spark: SparkSession, sf: str) -> DataFrame:
-    s = feed.stop_times(spark, sf)
-    return s.join(timetable.unavailable(s, feed.updates(spark, sf)), ["trip_id", "pos"], "left_anti").select("trip_id", "pos")
+    """What is left without the runs that are cancelled and the stops that are skipped."""
+    s, u = feed.stop_times(spark, sf), feed.updates(spark, sf)
+    left = s.join(u.where("canceled").select("trip_id"), "trip_id", "left_anti")
+    return left.join(u.where("skipped").select("trip_id", "pos"), ["trip_id", "pos"], "left_anti").select("trip_id", "pos")
 
 
 @query(
