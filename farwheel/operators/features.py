@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from farwheel.functions import geo, text
+from farwheel.operators import graph
 
 
 def segment_features(hops: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -30,6 +31,27 @@ def segment_features(hops: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.select("a", "b", text.draw_rank(F.col("mode")).alias("draw_rank"), feature.alias("feature"))
 
 
+def chain_features(hops: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(chain, mode, routes, one_way, n, line) of hops (mode, from_node, to_node, route) and nodes (node, lat, lon): the drawn network. Hops
+    between the same nodes are one segment with all its routes; segments of one mode, route set and count of directions are chained
+    where nothing else of theirs meets, one-way chains in the direction of travel. `line` is GeoJSON."""
+    way = F.col("from_node") <= F.col("to_node")
+    seg = hops.where("from_node <> to_node").groupBy("mode", F.least("from_node", "to_node").alias("x"), F.greatest("from_node", "to_node").alias("y")).agg(F.array_sort(F.collect_set("route")).alias("routes"), F.bool_or(way).alias("ahead"), F.bool_or(~way).alias("back"))
+    one = F.col("ahead") != F.col("back")
+    turned = one & F.col("back")
+    seg = seg.select("mode", "routes", one.alias("oneway"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("b"))
+    seg = graph.cut(graph.ordinals(seg, ["mode", "a", "b", "oneway"], "id").withColumn("key", F.concat_ws("|", "mode", F.array_join("routes", ","))))
+    order = graph.cut(graph.chains(seg))
+    at = nodes.select("node", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    place = lambda k: at.select(F.col("node").alias(k), F.array("lon", "lat").alias(f"at_{k}"))
+    drawn = order.join(seg, "id").join(place("a"), "a").join(place("b"), "b")
+    pair = F.when(F.col("forward"), F.struct("pos", F.col("at_a").alias("p"), F.col("at_b").alias("q"))).otherwise(F.struct("pos", F.col("at_b").alias("p"), F.col("at_a").alias("q")))
+    per = drawn.groupBy("chain").agg(F.first("mode").alias("mode"), F.first("routes").alias("routes"), F.first("oneway").alias("one_way"), F.sort_array(F.collect_list(pair)).alias("s"))  # of one chain: its own points
+    points = F.concat(F.array(F.col("s")[0]["p"]), F.transform("s", lambda x: x["q"]))
+    line = F.to_json(F.struct(F.lit("LineString").alias("type"), points.alias("coordinates")))
+    return per.select("chain", text.mode_key(F.col("mode")).alias("mode"), F.array_join("routes", ",").alias("routes"), "one_way", F.size("s").alias("n"), line.alias("line"))
+
+
 def live_route(legs: DataFrame, pattern_stops: DataFrame, stops: DataFrame) -> DataFrame:
     """(trip_key, leg, kind, i, lat, lon, along): each leg's polyline with the metres from its start.
 

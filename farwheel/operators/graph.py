@@ -46,6 +46,49 @@ def _scratch(spark) -> str:
     return "file://" + tempfile.mkdtemp(prefix="farwheel-ckpt-")
 
 
+def _ranked(links: DataFrame, rounds: int) -> DataFrame:
+    """(arc, head, rank, low, open) of (arc, before): the first arc of each list and the steps from it. By pointer jumping: a round doubles
+    how far back each arc has looked, so rounds grow with the logarithm of the longest list. Arcs of a ring stay open, and `low` is
+    then the ring's least arc."""
+    first = F.col("before").isNull()
+    state = cut(links.select("arc", F.coalesce("before", "arc").alias("head"), F.when(first, 0).otherwise(1).cast("long").alias("rank"), F.least("arc", F.coalesce("before", "arc")).alias("low"), (~first).alias("open")))
+    was = None
+    for _ in range(rounds):
+        now = tuple(state.where("open").agg(F.count("*"), F.sum(F.xxhash64("arc", "low").cast("decimal(38,0)"))).first())
+        if not now[0] or now == was:
+            return state
+        was = now
+        far = state.select(F.col("arc").alias("head"), F.col("head").alias("__head"), F.col("rank").alias("__rank"), F.col("low").alias("__low"), F.col("open").alias("__open"))
+        step = state.where("open").join(far, "head").select("arc", F.col("__head").alias("head"), (F.col("rank") + F.col("__rank")).alias("rank"), F.least("low", "__low").alias("low"), F.col("__open").alias("open"))
+        state = cut(step.unionByName(state.where("not open")))
+    raise RuntimeError(f"chains: not settled after {rounds} rounds")
+
+
+def chains(segments: DataFrame, rounds: int = 64) -> DataFrame:
+    """(chain, pos, id, forward): maximal chains of segments (id, key, a, b, oneway) of one key, each segment once, in order from 0.
+
+    A chain goes on through a node that two segments of its key meet at; one-way segments run from a to b and go on where one comes in
+    and one goes out, the others are walked either way. Rings begin at their least segment. A chain is named by its first segment."""
+    arcs = segments.select("key", "oneway", (F.col("id") * 2).alias("arc"), F.col("a").alias("from"), F.col("b").alias("to"))
+    back = segments.where("not oneway").select("key", "oneway", (F.col("id") * 2 + 1).alias("arc"), F.col("b").alias("from"), F.col("a").alias("to"))
+    arcs = cut(arcs.unionByName(back))
+    ends = arcs.select("key", "oneway", "arc", F.explode(F.array(F.struct(F.col("from").alias("node"), F.lit(1).alias("out")), F.struct(F.col("to").alias("node"), F.lit(0).alias("out")))).alias("e")).select("key", "oneway", "arc", "e.*")
+    counts = ends.groupBy("key", "oneway", "node").agg(F.sum("out").alias("outs"), F.sum(1 - F.col("out")).alias("ins"))
+    through = counts.where(F.col("outs") == F.when(F.col("oneway"), 1).otherwise(2)).where("ins = outs").select("key", "oneway", "node")
+    into = arcs.select("key", "oneway", F.col("to").alias("node"), F.col("arc").alias("before")).join(through, ["key", "oneway", "node"])
+    nxt = arcs.select("key", "oneway", F.col("from").alias("node"), "arc").join(into, ["key", "oneway", "node"]).where(F.floor(F.col("arc") / 2) != F.floor(F.col("before") / 2))
+    links = cut(arcs.select("arc").join(nxt.select("arc", "before"), "arc", "left"))
+    lists = _ranked(links, rounds)
+    rings = lists.where("open").select("arc", "low")
+    if not rings.isEmpty():
+        cuts = links.join(rings, "arc").select("arc", F.when(F.col("arc") != F.col("low"), F.col("before")).alias("before"))
+        lists = lists.where("not open").unionByName(_ranked(cuts, rounds))
+    # walked either way, a chain stands twice: the way of the lesser first segment counts
+    told = lists.select("arc", "head", "rank", F.floor(F.col("arc") / 2).alias("id"))
+    best = told.groupBy("id").agg(F.min(F.struct("head", "arc", "rank")).alias("v"))
+    return best.select(F.floor(F.col("v.head") / 2).alias("chain"), F.col("v.rank").alias("pos"), "id", (F.col("v.arc") % 2 == 0).alias("forward"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut, in the shared folder; it is computed once and written from the cache."""
     if not _checkpoints(df.sparkSession):
@@ -76,7 +119,7 @@ def ordinals(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """`rows`, which are distinct in `order`, with `name`: their place from 0. Ranges are ranked for themselves and moved by the counts
     of those before them, so no task holds all rows; only a count a range is joined."""
     w = Window.partitionBy("__range").orderBy(*order)
-    ranged = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    ranged = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = counts.select("__range", before.alias("__before"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from farwheel import feed
-from farwheel.operators import lines, snapping
+from farwheel.operators import features, lines, snapping
 from farwheel.operators.graph import cut
 from farwheel.queries_lines import points
 from farwheel.queries_scalars import r3
@@ -131,3 +132,15 @@ def finish_path(spark: SparkSession, sf: str) -> DataFrame:
     s = _stages(spark, sf)
     path = snapping.collapsed(_path(s), s["roads"], s["shapes"])
     return snapping.finished(path, snapping.placed(path, riders_stops(s["shapes"])))[1]
+
+
+@query("GRF-23_24_SNK-04_chains")
+def drawn_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """The network of all runs as it is drawn: maximal chains of one mode, route set and direction count, with their points in order.
+
+    A hop is what a run of the raw stop times drives between two of its stops that are neighbours on the grid."""
+    w = Window.partitionBy("trip_id").orderBy("seq")
+    hops = feed.raw_stop_times(spark, sf).withColumn("to_node", F.lead("stop_id").over(w)).where("abs(to_node - stop_id) in (1, 2, 32)")
+    routes = feed.trips(spark, sf).select("trip_id", "route_id").join(feed.routes(spark, sf).select("route_id", "route_type"), "route_id")
+    one = hops.join(routes, "trip_id").select(F.col("route_type").alias("mode"), F.col("stop_id").alias("from_node"), "to_node", (F.col("route_id") % 3).cast("string").alias("route")).distinct()
+    return features.chain_features(one, feed.stops(spark, sf).select(F.col("stop_id").alias("node"), "lat", "lon"))
