@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from farwheel import feed
 from farwheel.functions import walking
-from farwheel.operators import walks
+from farwheel.operators import walkgraph, walks
 from farwheel.operators.graph import cut
 from farwheel.queries_drawn import _X, _Y, streets
 from farwheel.queries_scalars import r3
@@ -55,3 +55,19 @@ def reroute(spark: SparkSession, sf: str) -> DataFrame:
     routes = cut(walks.walk_routes(asks(spark, sf), edges))
     strayed = asks(spark, sf).select("q", (F.col("x1") + 70).alias("x"), (F.col("y1") + 40).alias("y"))
     return walks.rerouted(strayed, routes, edges).groupBy("q").agg(F.count("*").alias("pieces"), r3(F.first("cost")).alias("cost"))
+
+
+@query("GRF-09_walk_graph_build")
+def walk_graph_build(spark: SparkSession, sf: str) -> DataFrame:
+    """The walking graph of the stops' grid: every row and column is a way, every other row and every third column a busy road."""
+    k = F.col("stop_id")
+    at = feed.stops(spark, sf).select("stop_id", F.floor(k / 32).alias("row"), (k % 32).alias("column"))
+    along = lambda by, i: at.groupBy(by).agg(F.array_sort(F.collect_list("stop_id")).alias("nodes")).withColumnRenamed(by, i)
+    rows, columns = along("row", "r"), along("column", "c")
+    way = lambda df, n, kind, sided, name: df.select(n.alias("way"), "nodes", kind.cast("int").alias("kind"), (n % 3).cast("int").alias("sub"), sided.alias("sided"), (n % 3).cast("int").alias("left"), F.lit(1).alias("right"), (n % 5 == 0).alias("covered"), name.alias("name"))
+    r, c = F.col("r"), F.col("c")
+    ways = way(rows, r * 2, F.when(r % 2 == 0, walking.SIDE).otherwise(walking.STREET), r % 2 == 0, F.concat(F.lit("Via "), r))
+    ways = ways.unionByName(way(columns, c * 2 + 1, F.when(c % 3 == 0, walking.SIDE).when(c % 3 == 1, walking.STREET).otherwise(walking.PATH), c % 3 == 0, F.when(c % 4 < 3, F.concat(F.lit("Corso "), c))))
+    cross = F.when(k % 7 == 0, 0).when(k % 11 == 0, 1).otherwise(-1)
+    places = at.select(k.alias("node"), (F.col("column") * F.expr(_X)).alias("x"), (F.col("row") * F.expr(_Y)).alias("y"), cross.alias("cross"))
+    return walkgraph.build(cut(ways), cut(places))[1].select("edge", "a", "b", "flags", "name", F.size("geom").alias("points"))
