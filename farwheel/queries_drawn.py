@@ -134,7 +134,7 @@ def finish_path(spark: SparkSession, sf: str) -> DataFrame:
     return snapping.finished(path, snapping.placed(path, riders_stops(s["shapes"])))[1]
 
 
-@query("GRF-23_24_SNK-04_chains")
+@query("GRF-23_chains")
 def drawn_chains(spark: SparkSession, sf: str) -> DataFrame:
     """The network of all runs as it is drawn: maximal chains of one mode, route set and direction count, with their points in order.
 
