@@ -220,7 +220,7 @@ def unavailable_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return timetable.unavailable(feed.stop_times(spark, sf), feed.updates(spark, sf))
 
 
-@query("STR-07_live_advance")
+@query("STR_track_progress")
 def live_advance(spark: SparkSession, sf: str) -> DataFrame:
     return live.replay(feed.fixes(spark, sf).select(F.col("vehicle").alias("trip_key"), "ts", "lat", "lon", "event_id"))
 
