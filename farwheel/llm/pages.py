@@ -9,9 +9,11 @@ shares per host and path, and the path with most is the host's. Then every page
 its host's path; a page without one falls back to its own best container.
 
 Dropped wherever they stand: the elements and roles listed below, and what a class or id names by a whole word or by a compound
-of such words ("ad-slot", "site-header"); a compound with any other word ("share-price", "article-header") drops
-nothing, nor does a header within an article. Blocks are what block elements part;
-`br` is white space. A null html, or one without text, gives an empty text; a null url is host ''; ties go to the first
+of such words ("ad-slot", "site-header"). Outside an article a plain word such as "sidebar" drops any compound; within one a
+compound with any other word ("share-price", "cookie-recipe", "menu-of-the-day") drops nothing, nor do a header, a paragraph or heading
+by a word that articles use too ("alert"), or an id by such a word. An article named as a reader's goes, but not one that is
+a post as well, unless it stands in another. Formulas stay in their sentence, their sources go. Blocks are what block elements part;
+`br` is white space. A column `text` of the input is replaced. A null html, or one without text, gives an empty text; a null url is host ''; ties go to the first
 path by name; repeated rows get equal texts; an empty table gives no rows; extra columns pass through.
 """
 
@@ -30,9 +32,14 @@ from pyspark.sql import types as T
 from farwheel.llm.shared import prepare, written
 
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
-DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "fieldset", "svg", "math", "object", "canvas", "dialog", "menu", "audio", "video"}
+DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "fieldset", "svg", "object", "annotation", "annotation-xml", "canvas", "dialog", "menu", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+#: A formula's elements, inline too.
+INLINE |= {"math", "semantics", "annotation", "annotation-xml", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mpadded", "mfenced", "menclose", "mphantom", "mmultiscripts"}
+#: An article, by an element's own class.
+HOMES = {"article", "post", "story", "entry"}
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "td", "center", "blockquote"}
 #: Words of a class or id by which a part is not the article's, alone and in any compound.
 STRONG = {
@@ -45,6 +52,8 @@ SIGNS = STRONG | {
     "sponsor", "banner", "notice", "notices", "alert", "overlay", "rail", "toc", "header", "foot", "copyright", "comment", "replies", "reply", "respond",
     "share", "sharing", "social", "related", "recommended", "login", "signup", "search", "skip",
 }
+#: Words that articles use too: within one they drop neither paragraphs nor headings, nor anything by an id.
+DOUBTFUL = {"alert", "overlay", "rail", "toc", "foot", "share", "sharing", "social", "related", "recommended", "login", "signup", "search", "skip"}
 #: An article with one of these is a reader's.
 COMMENTS = {"comment", "comments", "reply", "replies"}
 PLACES = {
@@ -124,6 +133,7 @@ class _Open(NamedTuple):
     chain: tuple[int, ...]
     path: str
     link: bool
+    inside: bool = False  # an article
 
 
 def parse(source: str) -> Page:
@@ -196,11 +206,13 @@ def parse(source: str) -> Page:
         top = stack[-1]
         named = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
         dropped = top.dropped or tag in DROPPED or (tag == "header" and not ({"article", "main"} & {x.tag for x in stack}))
+        inside = top.inside or tag in ("article", "main")
         if tag == "article":
-            dropped = dropped or not COMMENTS.isdisjoint(_WORDS.split(named.get("class", "")))
+            names = set(_WORDS.split(named.get("class", "")))
+            dropped = dropped or (not COMMENTS.isdisjoint(names) and ("article" in {x.tag for x in stack} or HOMES.isdisjoint(names)))
         elif not dropped and named and tag not in ("html", "body", "main"):
-            inside = bool({"article", "main"} & {x.tag for x in stack})
-            dropped = named.get("role") in ROLES or any(is_sign(w, inside) for w in f"{named.get('class', '')} {named.get('id', '')}".split())
+            dropped = named.get("role") in ROLES or is_part(named, top.inside, tag)
+            inside = inside or not HOMES.isdisjoint(named.get("class", "").split())
         chain, path = top.chain, top.path
         if tag not in INLINE:
             path += ">" + ".".join([tag, *sorted(_DIGITS.sub("#", named.get("class", "")).split())])
@@ -211,7 +223,7 @@ def parse(source: str) -> Page:
                 tags.append(tag)
         if dropped and not top.dropped and tag not in INLINE:
             flush()
-        stack.append(_Open(tag, dropped, chain, path, top.link or tag == "a"))
+        stack.append(_Open(tag, dropped, chain, path, top.link or tag == "a", inside))
     flush()
     return Page(blocks, paths, tags, parents)
 
@@ -221,7 +233,16 @@ def is_sign(word: str, in_article: bool) -> bool:
     parts = [p for p in _WORDS.split(word) if p]
     if in_article and "header" in parts:
         return False
-    return not STRONG.isdisjoint(parts) or (not SIGNS.isdisjoint(parts) and all(p in SIGNS or p in PLACES or p.isdigit() for p in parts))
+    if not in_article and not STRONG.isdisjoint(parts):
+        return True
+    return not SIGNS.isdisjoint(parts) and all(p in SIGNS or p in PLACES or p.isdigit() for p in parts)
+
+
+def is_part(named: dict[str, str], in_article: bool, tag: str) -> bool:
+    """Whether an element's class or id says that it is not the article's."""
+    if any(is_sign(w, in_article) and not (in_article and tag in TEXTUAL and w in DOUBTFUL) for w in named.get("class", "").split()):
+        return True
+    return any(is_sign(w, in_article) and not (in_article and w in DOUBTFUL) for w in named.get("id", "").split())
 
 
 def host_of(url: Column) -> Column:

@@ -761,3 +761,29 @@ def test_pipeline(spark):
     assert brute_components(list(texts.items()), 5, 80, 100) == {d: (x, d) for d, (x, _) in brute_components(list(texts.items()), 5, 80, 100).items()}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(texts)
+
+
+KEPT = [
+    '<p class="alert">Sirens were heard at noon.</p>', '<div class="cookie-recipe">Mix flour and sugar.</div>', '<div class="menu-of-the-day">Soup and bread.</div>',
+    '<section class="comments-of-minister">She said it was late.</section>', '<div class="ad-hoc-committee">Nine members met.</div>', '<div id="search">The search went on.</div>', '<h2 class="share">A fair share</h2>',
+]
+GONE = [
+    '<div class="ad">Buy now.</div>', '<div class="ad-slot">Buy two.</div>', '<div class="cookie-notice">We use cookies.</div>', '<div class="share-buttons">Tweet</div>', '<p class="ad">Buy three.</p>', '<div class="alert">Read our terms.</div>',
+    '<div class="related-posts">More news.</div>', '<section class="comments">First!</section>', '<article class="comment">Second!</article>', '<div id="comments">Third!</div>', '<article class="post reply">Fourth!</article>',
+]
+
+
+@pytest.mark.parametrize("shell", ['<body><div class="sidebar-primary">Side.</div><article>{}</article></body>', '<body><div class="sidebar-primary">Side.</div><div class="story">{}</div></body>'])
+def test_names_within_an_article_mislead(spark, shell):
+    lead = "<p>" + "The council met on Monday and talked for hours about the bridge. " * 3 + "</p>"
+    gone = [g for g in GONE if "article" in shell or "post reply" not in g]
+    inner = lead + "".join(a + b for a, b in zip(KEPT, [*gone[: len(KEPT)]])) + "".join(gone[len(KEPT) :])
+    got = pages.extract(spark.createDataFrame([(1, "http://a.example/1", shell.format(inner))], "page_id long, url string, html string")).first().text.split("\n")
+    assert got[1:] == [re.sub("<[^>]*>", "", k) for k in KEPT]
+
+
+def test_formulas_and_replies_that_are_posts(spark):
+    html = ['<article class="post reply"><p>One whole page of text.</p></article>', "<article><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> hold.</p></article>"]
+    rows = [(i, f"http://h{i}.example/", h, "own") for i, h in enumerate(html)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    assert got == {0: "One whole page of text.", 1: "Let x=2 hold."}
