@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from farwheel import feed
-from farwheel.operators import features
+from farwheel.feed import NOW
+from farwheel.operators import features, graph, timetable
 from farwheel.registry import query
-from farwheel.streaming import trips
+from farwheel.streaming import stats, trips
 
 #: Metres a second of the journeys' rides; with walks at the rules' speed, they give the legs' times.
 RIDE_SPEED = 9.0
@@ -69,6 +70,32 @@ def rider_events(spark: SparkSession, sf: str, route: DataFrame, leg_times: Data
 @query("STR-07_08_11_live_trip")
 def live_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Every rider's state after each fix and tick."""
-    route = routes(spark, sf)
+    route = graph.cut(routes(spark, sf))
     out = trips.follow(rider_events(spark, sf, route, times(route)))
     return out.withColumns({c: F.round(c, 3) for c in ("along", "to_end")})
+
+
+@query("STR-14_live_stats")
+def live_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rider in the middle of their events (the timetable's clock is NOW at the journey's start): next vehicles, alighting, arrival."""
+    route = graph.cut(routes(spark, sf))
+    leg_times = times(route)
+    told = graph.cut(rider_events(spark, sf, route, leg_times))
+    clock = told.where("what in ('fix', 'tick', 'next')").select("trip_key", "event_id", "t")
+    half = clock.groupBy("trip_key").agg((F.max("t") / 2).alias("half"))
+    state = trips.follow(told).join(clock, ["trip_key", "event_id"]).join(half, "trip_key")
+    now = state.where("t <= half").groupBy("trip_key").agg(F.max(F.struct("t", "event_id", "leg", "to_end", "finished")).alias("x"), F.min(F.when(F.col("leg") == 1, F.col("t"))).alias("boarded")).select("trip_key", "x.*", "boarded")
+    metres = route.groupBy("trip_key", "leg").agg(F.max("along").alias("metres")).join(leg_times, ["trip_key", "leg"])
+    lengths = metres.groupBy("trip_key").pivot("leg", [0, 1, 2]).agg(F.max("metres").alias("metres"), F.max("arrival").alias("arrival"))  # the three legs
+    x = now.join(lengths, "trip_key")
+    leg = F.col("leg")
+    later = F.when(leg < 1, F.col("1_metres")).otherwise(0.0) + F.when(leg < 2, F.col("2_metres")).otherwise(0.0)
+    riders = x.select(
+        "trip_key", (F.col("trip_key") % 50).cast("int").alias("pattern_id"), (F.col("trip_key") % 4).cast("int").alias("from_pos"), (F.col("trip_key") % 4 + 3).cast("int").alias("to_pos"),
+        F.when(leg == 0, "to_ride").when(leg == 1, "riding").otherwise("done").alias("state"), (NOW + F.when(leg == 1, F.col("boarded")).otherwise(F.col("t"))).alias("at"),
+        (F.col("to_end") + later).alias("metres_left"), (F.col("2_arrival") - F.col("1_arrival")).alias("walk_after"), (NOW + F.col("1_arrival")).alias("planned_alight"), (NOW + F.col("2_arrival")).alias("planned_arrival"),
+    )
+    riders = graph.cut(riders)  # a row a rider, used thrice
+    s, u = feed.stop_times(spark, sf), feed.updates(spark, sf)
+    out = stats.live_stats(riders, stats.boards(riders, s, timetable.delay_asof(s, u), timetable.unavailable(s, u)))
+    return out.withColumns({c: F.round(c, 3) for c in ("metres_left", "alight_at", "arrives")})

@@ -210,3 +210,35 @@ def test_no_plan_no_rows_and_empty_tables(spark):
     assert trips.follow(trips.events(one.limit(0))).count() == 0
     nameless = one.selectExpr("cast(null as long) as trip_key", "event_id", "t", "what")
     assert trips.events(nameless).count() == 0
+
+
+def test_live_stats_against_brute_force(spark):
+    from farwheel.streaming import stats
+
+    rng = random.Random(11)
+    times, delays, gone = [], [], set()
+    for trip in range(40):
+        start = rng.randrange(0, 6000, 30)
+        times += [(trip, trip % 3, p, start + 100 * p, start + 100 * p - 20) for p in range(4)]
+        delays += [(trip, p, rng.choice([-60, 0, 200])) for p in range(4) if rng.random() < 0.5]
+        gone |= {(trip, p) for p in range(4) if rng.random() < 0.1}
+    riders = [(k, k % 3, k % 2, k % 2 + 2, ["to_ride", "riding", "done"][k % 5 % 3], float(rng.randrange(0, 7000, 10)), 10.0 * k, 60.0, 9000.0, 9060.0) for k in range(60)]
+    s = spark.createDataFrame(times, "trip_id long, pattern_id int, pos int, dep int, arr int")
+    q = spark.createDataFrame(riders, "trip_key long, pattern_id int, from_pos int, to_pos int, state string, at double, metres_left double, walk_after double, planned_alight double, planned_arrival double")
+    runs = stats.boards(q, s, spark.createDataFrame(delays, "trip_id long, pos int, delay int"), spark.createDataFrame(list(gone), "trip_id long, pos int"))
+    got = {r.trip_key: tuple(r)[1:] for r in stats.live_stats(q, runs).collect()}
+    late, dep, arr = {(t, p): x for t, p, x in delays}, {(t, p): x for t, _, p, x, _ in times}, {(t, p): x for t, _, p, _, x in times}
+    want = {}
+    for key, pattern, a, b, state, at, left, walk, alight, arrival in riders:
+        mine = sorted((dep[t, a] + late.get((t, a), 0), t, arr[t, b] + late.get((t, b), 0)) for t in range(40) if t % 3 == pattern)
+        if state == "riding":
+            near = min(mine, key=lambda x: abs(x[0] - at))
+            alight = float(near[2]) if abs(near[0] - at) <= 900 else alight
+            want[key] = (left, None, None, None, None, alight, alight + walk)
+        elif state == "to_ride":
+            free = [x for x in mine if x[0] >= at and not {(x[1], a), (x[1], b)} & gone][:2]
+            two = [*free, None, None][:2]
+            want[key] = (left, *(y for x in two for y in ((x[1], x[0]) if x else (None, None))), None, free[0][2] + walk if free else arrival)
+        else:
+            want[key] = (left, None, None, None, None, None, arrival)
+    assert got == want
