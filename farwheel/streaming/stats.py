@@ -35,14 +35,15 @@ def live_stats(riders: DataFrame, runs: DataFrame) -> DataFrame:
     run = F.struct("leaves", "trip_id", "alights")
     free = F.when(~F.col("gone"), run)
     r = runs.select(*_KEY, F.col("leaves").alias("__at"), run.alias("any"), free.alias("free"), F.lit(None).cast("long").alias("trip_key"))
-    ahead = Window.partitionBy(*_KEY).orderBy("__at", F.col("any.trip_id")).rowsBetween(1, Window.unboundedFollowing)
-    r = r.withColumn("free", F.when(F.col("free").isNotNull(), F.struct(F.col("free"), F.first("free", ignorenulls=True).over(ahead).alias("then"))))
+    # what follows is sought backwards in time: a frame that only grows, where one up to the end would be read anew a row
+    ahead = Window.partitionBy(*_KEY).orderBy(F.desc("__at"), F.desc("any.trip_id")).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("free", F.when(F.col("free").isNotNull(), F.struct(F.col("free"), F.last("free", ignorenulls=True).over(ahead).alias("then"))))
     q = riders.where("state <> 'done'").select(*_KEY, F.col("at").cast("double").alias("__at"), F.lit(None).cast(r.schema["any"].dataType).alias("any"), F.lit(None).cast(r.schema["free"].dataType).alias("free"), F.col("trip_key").cast("long"))
     both = r.withColumn("__at", F.col("__at").cast("double")).unionByName(q)
     # a rider stands before the runs of the same second: what leaves now can be caught
-    order = Window.partitionBy(*_KEY).orderBy("__at", F.col("trip_key").isNull(), F.col("any.trip_id"), "trip_key")
-    back, on = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    met = both.select("trip_key", F.last("any", ignorenulls=True).over(back).alias("before"), F.first("any", ignorenulls=True).over(on).alias("behind"), F.first("free", ignorenulls=True).over(on).alias("free")).where("trip_key is not null")
+    keys = [F.col("__at"), F.col("trip_key").isNull(), F.col("any.trip_id"), F.col("trip_key")]
+    back, on = (Window.partitionBy(*_KEY).orderBy(*k).rowsBetween(Window.unboundedPreceding, 0) for k in (keys, [c.desc() for c in keys]))
+    met = both.select("trip_key", F.last("any", ignorenulls=True).over(back).alias("before"), F.last("any", ignorenulls=True).over(on).alias("behind"), F.last("free", ignorenulls=True).over(on).alias("free")).where("trip_key is not null")
     x = riders.join(met, "trip_key", "left")
     gap = lambda c: F.abs(F.col(f"{c}.leaves") - F.col("at"))
     near = F.when(gap("before") <= F.coalesce(gap("behind"), F.lit(1e18)), F.col("before")).otherwise(F.coalesce("behind", "before"))
