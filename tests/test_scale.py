@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from farwheel.operators import graph, paths, walks
+from farwheel.operators import graph, grouped, paths, snapping, walks
 
 
 def _jobs(spark, group, run):
@@ -56,3 +56,31 @@ def test_tiles_find_what_rounds_find(spark):
     want = paths.routes(e.select(area, "*"), s.select("*", area), goals=g, ahead=ahead).join(g.select("q", "node"), ["q", "node"])
     rows = lambda df: sorted((r.q, r.node, r.cost, tuple(r.path)) for r in df.select("q", "node", "cost", "path").collect())
     assert rows(want) and rows(paths.tile_routes(e, s, g, 2500.0, 0.9, 160.0)) == rows(want)
+
+
+def test_groups_over_batches(spark):
+    """Keys that end within a batch, go over several, and have one row."""
+    rows = [(k, i, None if i % 3 else float(k)) for k, n in enumerate((1, 7, 2, 1, 12, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, i long, v double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = grouped.by_key(df, "k", ["i"], lambda k, i, v: [(k[0], len(k), i == list(range(len(i))), v)], "k long, n long, sorted boolean, v array<double>").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.k, r.n) for r in got) == [(0, 1), (1, 7), (2, 2), (3, 1), (4, 12), (5, 3)]
+    assert all(r.sorted and r.v == [None if i % 3 else float(r.k) for i in range(r.n)] for r in got)
+
+
+def test_jobs_of_stop_chains_do_not_grow_with_hops(spark):
+    n = 60
+    roads = graph.cut(spark.createDataFrame([(i, i, i + 1, i * 20.0, 0.0, i * 20.0 + 20, 0.0, 20.0, 0.0, False) for i in range(n)], "edge long, a long, b long, ax double, ay double, bx double, by double, metres double, penalty double, service boolean"))
+    stops = spark.createDataFrame([(1, 0, 5.0, 1.0), (1, 1, n * 20.0 - 5, 1.0)], "line long, stop long, x double, y double")
+    got, jobs = _jobs(spark, "chain", lambda: snapping.stop_chain(stops, roads).orderBy("i").collect())
+    assert [r.edge for r in got] == [-1, *range(n)] and jobs < 60
+
+
+def test_boarded_runs_are_no_pairs(spark):
+    from farwheel.queries_rows import boarded_run
+
+    plan = boarded_run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join " in x and "abs(" in x]
