@@ -84,3 +84,19 @@ def test_boarded_runs_are_no_pairs(spark):
 
     plan = boarded_run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Join " in x and "abs(" in x]
+
+
+def test_spread_segments_are_not_broadcast(spark):
+    """A segment is spread over many cells behind Spark's size check, so a side that looks small may be too large for the driver."""
+    at = spark.range(1).selectExpr("id AS line", "0L AS k", "5D AS px", "1D AS py")
+    seg = spark.range(1).selectExpr("id AS line", "0D AS ax", "0D AS ay", "9000D AS bx", "9000D AS by")
+    plan = snapping.near_segments(at, seg, 20.0, ["line"])._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_streets_and_tracks_are_reckoned_in_doubles(spark):
+    from farwheel import queries_drawn
+
+    sf = "/root/testdata/sf0.001"
+    kinds = {t for df in (queries_drawn.streets(spark, sf), queries_drawn.tracks(spark, sf)) for _, t in df.dtypes}
+    assert not [t for t in kinds if t.startswith("decimal")]
