@@ -2,26 +2,29 @@
 
 One table of events feeds both: (trip_key, event_id, t seconds, what, lat, lon, accuracy, speed, delay, and the PLAN columns). `what` is
 'start' (carries the plan), 'fix', 'tick' (a timer), 'next' (the rider says so), 'vehicle' (where the ride's own vehicle is) or
-'delay'. Every fix, tick and command gives one row, OUT. `follow` folds a finished table, a task a trip at a time;
+'delay'. Every fix, tick and command gives one row, OUT. `follow` folds a finished table, trip after trip in sorted Arrow batches;
 `follow_stream` holds the same state per trip under `transformWithStateInPandas`, so a trip's plan is sent once and each
 micro-batch reads its own events alone.
 
-Defined: events before a trip's plan give no row, a second plan starts anew; a fix without a place counts as a tick; null
-accuracy is poor, null speed is taken from the fix before; events of one time go by event_id; a stream passes over events
+Defined: events before a trip's plan give no row, a second plan starts anew; a fix without a place counts as a tick, a vehicle
+without one is passed over; null accuracy is poor, null speed is taken from the fix before; events of one time go by event_id; a stream passes over events
 older than the last one that it has applied; a null trip_key goes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from typing import Any, NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from farwheel.operators import grouped
+
 # Metres, seconds and metres a second of the rules.
 POOR, ON_ROUTE, OFF_ROUTE, OFF_FOR, AHEAD = 50.0, 60.0, 150.0, 30.0, 400.0
 AT_STOP, ALIGHT, WALK_END = 60.0, 60.0, 25.0
@@ -32,27 +35,26 @@ WALK_SPEED, FASTER, WARN_STOPS, NEVER = 1.2, 1.6, 1, -1e18
 PLAN = "kinds array<string>, departures array<double>, arrivals array<double>, leg_of array<int>, lats array<double>, lons array<double>, alongs array<double>, at_stop array<boolean>"
 EVENT = f"trip_key long, event_id long, t double, what string, lat double, lon double, accuracy double, speed double, delay double, {PLAN}"
 OUT = "trip_key long, event_id long, leg int, along double, to_end double, stops_left int, estimated boolean, off_route boolean, votes int, cue string, missed boolean, finished boolean"
-_PLAN_NAMES = [x.split()[0] for x in PLAN.split(", ")]
-_OUT_NAMES = [x.split()[0] for x in OUT.split(", ")]
+_PLAN_NAMES, _EVENT_NAMES, _OUT_NAMES = ([x.split()[0] for x in schema.split(", ")] for schema in (PLAN, EVENT, OUT))
 
 
 class Leg(NamedTuple):
     kind: str  # 'walk', 'ride' or 'metro'
     departure: float
     arrival: float
-    lat: np.ndarray
-    lon: np.ndarray
-    along: np.ndarray
-    stops: np.ndarray  # metres at the stops after boarding
+    lat: list[float]
+    lon: list[float]
+    along: list[float]  # rises
+    stops: list[float]  # metres at the stops after boarding
 
     @property
     def metres(self) -> float:
-        return float(self.along[-1])
+        return self.along[-1]
 
     def left(self, at: float) -> int:
         """Stops ahead of the last vertex at or before this place."""
-        vertex = self.along[max(0, int(np.searchsorted(self.along, at + 0.01, "right")) - 1)]
-        return int((self.stops > vertex).sum())
+        vertex = self.along[max(0, bisect_right(self.along, at + 0.01) - 1)]
+        return len(self.stops) - bisect_right(self.stops, vertex)
 
 
 class Rider(NamedTuple):
@@ -83,32 +85,35 @@ RIDER = ", ".join(f"{k} {'array<double>' if k.startswith('trail') else {float: '
 
 
 def legs_of(plan: list[Any]) -> list[Leg]:
-    kinds, departures, arrivals, of, lat, lon, along, stop = (np.asarray(x) for x in plan)
+    kinds, departures, arrivals, of, *vertices = plan
     out = []
     for i, kind in enumerate(kinds):
-        here = of == i
-        out.append(Leg(str(kind), float(departures[i]), float(arrivals[i]), lat[here], lon[here], along[here], along[here & stop.astype(bool)]))
+        lat, lon, along, stop = ([x for x, leg in zip(column, of, strict=True) if leg == i] for column in vertices)
+        out.append(Leg(str(kind), float(departures[i]), float(arrivals[i]), *([float(x) for x in column] for column in (lat, lon, along)), [float(m) for m, s in zip(along, stop, strict=True) if s]))
     return out
 
 
 def metres(lat: float, lon: float, to_lat: float, to_lon: float) -> float:
-    a, b = np.radians(lat), np.radians(to_lat)
-    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(to_lon - lon) / 2) ** 2
-    return float(2 * 6_371_000.0 * np.arcsin(np.sqrt(h)))
+    a, b = math.radians(lat), math.radians(to_lat)
+    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(to_lon - lon) / 2) ** 2
+    return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(h)))
 
 
 def project(leg: Leg, lat: float, lon: float, start: float, ahead: float) -> tuple[float, float]:
     """(metres along the leg, metres off it) of the nearest point on the segments from `start` to `ahead` metres further."""
-    sees = (leg.along[1:] >= start) & (leg.along[:-1] <= start + ahead)
-    if not sees.any():
-        return start, float("inf")
-    x, y = (leg.lon - lon) * np.cos(np.radians(lat)) * 111_320.0, (leg.lat - lat) * 110_540.0
-    dx, dy = np.diff(x), np.diff(y)
-    long = dx * dx + dy * dy
-    share = np.clip(-(x[:-1] * dx + y[:-1] * dy) / np.where(long == 0, 1.0, long), 0.0, 1.0)
-    off = np.where(sees, np.hypot(x[:-1] + share * dx, y[:-1] + share * dy), np.inf)
-    k = int(off.argmin())
-    return max(start, float(leg.along[k] + share[k] * (leg.along[k + 1] - leg.along[k]))), float(off[k])
+    along, scale = leg.along, math.cos(math.radians(lat)) * 111_320.0
+    best, least = start, math.inf
+    for k in range(max(0, bisect_left(along, start) - 1), len(along) - 1):  # a leg's few segments; arrays would cost more
+        if along[k] > start + ahead:
+            break
+        x, y = (leg.lon[k] - lon) * scale, (leg.lat[k] - lat) * 110_540.0
+        dx, dy = (leg.lon[k + 1] - lon) * scale - x, (leg.lat[k + 1] - lat) * 110_540.0 - y
+        long = dx * dx + dy * dy
+        share = min(1.0, max(0.0, -(x * dx + y * dy) / long)) if long else 0.0
+        off = math.hypot(x + share * dx, y + share * dy)
+        if off < least:
+            best, least = along[k] + share * (along[k + 1] - along[k]), off
+    return max(start, best), least
 
 
 def begin(legs: list[Leg], r: Rider, leg: int) -> Rider:
@@ -187,7 +192,7 @@ def timetable(legs: list[Leg], r: Rider, t: float) -> tuple[Rider, str | None]:
     if leg.kind == "walk" or leg.arrival <= leg.departure:
         return r, None
     share = min(1.0, max(0.0, (t - leg.departure - r.delay) / (leg.arrival - leg.departure)))
-    at = float(leg.along[np.searchsorted(leg.along, leg.metres * share, "right") - 1])
+    at = leg.along[bisect_right(leg.along, leg.metres * share) - 1]
     if at <= r.along:
         return r, None
     left = leg.left(at)
@@ -210,12 +215,12 @@ def after(legs: list[Leg], r: Rider, t: float, what: str, lat: float, lon: float
     if what == "next":
         return begin(legs, r, r.leg + 1), None
     leg = legs[r.leg]
-    if what != "fix" or np.isnan(lat) or np.isnan(lon):
+    if what != "fix" or not (math.isfinite(lat) and math.isfinite(lon)):
         if leg.kind == "metro":
             return underground(legs, r, t)
         return timetable(legs, r, t) if r.fix_t != NEVER and t - r.fix_t >= NO_FIX else (r, None)
-    accuracy = float("inf") if np.isnan(accuracy) else accuracy
-    if np.isnan(speed) or speed < 0:
+    accuracy = math.inf if math.isnan(accuracy) else accuracy
+    if math.isnan(speed) or speed < 0:
         gap = t - r.fix_t
         speed = metres(r.fix_lat, r.fix_lon, lat, lon) / gap if 0.5 <= gap <= 30 else -1.0
     r = r._replace(fix_lat=lat, fix_lon=lon)
@@ -235,14 +240,13 @@ def missed(legs: list[Leg], r: Rider, t: float) -> bool:
     return t - (legs[r.leg + 1].departure + r.delay) > MISSED
 
 
-def fold(events: pd.DataFrame, plan: list[Any] | None, rider: Rider | None) -> tuple[list[tuple], list[Any] | None, Rider | None]:
-    """The rows of one trip's events, and its plan and rider after them."""
+def fold(events: Iterable[tuple], plan: list[Any] | None, rider: Rider | None) -> tuple[list[tuple], list[Any] | None, Rider | None]:
+    """The rows of one trip's events (tuples of EVENT by t and event_id, NaN for null numbers), and its plan and rider after them."""
     out: list[tuple] = []
     r, legs = rider, legs_of(plan) if plan is not None else []
-    for e in events.sort_values(["t", "event_id"], kind="stable").to_dict("records"):
-        t, what = e["t"], e["what"]
+    for trip_key, event_id, t, what, lat, lon, accuracy, speed, delay, *planned in events:
         if what == "start":
-            plan = [list(e[k]) for k in _PLAN_NAMES]
+            plan = [list(x) for x in planned]
             legs = legs_of(plan)
             r = begin(legs, Rider(), 0)._replace(t=t)
             continue
@@ -250,12 +254,13 @@ def fold(events: pd.DataFrame, plan: list[Any] | None, rider: Rider | None) -> t
             continue
         r = r._replace(t=t)
         if what == "vehicle":
-            r = r._replace(vehicle_t=t, vehicle_lat=e["lat"], vehicle_lon=e["lon"])
+            if math.isfinite(lat) and math.isfinite(lon):
+                r = r._replace(vehicle_t=t, vehicle_lat=lat, vehicle_lon=lon)
         elif what == "delay":
-            r = r._replace(delay=e["delay"])
+            r = r._replace(delay=delay)
         else:
-            r, cue = after(legs, r, t, what, e["lat"], e["lon"], e["accuracy"], e["speed"])
-            out.append((e["trip_key"], e["event_id"], r.leg, r.along, r.to_end, r.stops_left, r.estimated, r.off, r.votes, cue, missed(legs, r, t), r.finished))
+            r, cue = after(legs, r, t, what, lat, lon, accuracy, speed)
+            out.append((trip_key, event_id, r.leg, r.along, r.to_end, r.stops_left, r.estimated, r.off, r.votes, cue, missed(legs, r, t), r.finished))
     return out, plan, r
 
 
@@ -281,10 +286,13 @@ def events(*parts: DataFrame) -> DataFrame:
 def follow(table: DataFrame) -> DataFrame:
     """OUT of a finished table of EVENT."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(pdf, None, None)[0], columns=_OUT_NAMES)
+    def run(**columns: list) -> list[tuple]:
+        for c in ("lat", "lon", "accuracy", "speed", "delay"):
+            columns[c] = [math.nan if x is None else x for x in columns[c]]
+        return fold(zip(*(columns[n] for n in _EVENT_NAMES), strict=True), None, None)[0]
 
-    return table.groupBy("trip_key").applyInPandas(run, OUT)
+    rows = table.select(*_EVENT_NAMES).where("trip_key is not null and t is not null")
+    return grouped.by_key(rows, "trip_key", ["t", "event_id"], run, OUT)
 
 
 class _Follow(StatefulProcessor):
@@ -301,7 +309,8 @@ class _Follow(StatefulProcessor):
         if self.rider.exists():
             r = Rider(*self.rider.get())
             r = r._replace(trail_t=tuple(r.trail_t), trail_along=tuple(r.trail_along))
-        out, plan, r = fold(pd.concat(rows), plan, r)
+        events = pd.concat(rows).sort_values(["t", "event_id"], kind="stable")
+        out, plan, r = fold(zip(*(events[n].tolist() for n in _EVENT_NAMES), strict=True), plan, r)
         if plan is not None and r is not None:
             self.plan.update(tuple([x.item() if hasattr(x, "item") else x for x in column] for column in plan))
             self.rider.update(tuple(list(x) if isinstance(x, tuple) else x for x in r))

@@ -100,3 +100,10 @@ def test_streets_and_tracks_are_reckoned_in_doubles(spark):
     sf = "/root/testdata/sf0.001"
     kinds = {t for df in (queries_drawn.streets(spark, sf), queries_drawn.tracks(spark, sf)) for _, t in df.dtypes}
     assert not [t for t in kinds if t.startswith("decimal")]
+
+
+def test_riders_are_folded_without_a_frame_a_trip(spark):
+    from farwheel.streaming import trips
+
+    plan = trips.follow(spark.createDataFrame([], trips.EVENT))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan

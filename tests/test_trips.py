@@ -242,3 +242,11 @@ def test_live_stats_against_brute_force(spark):
         else:
             want[key] = (left, None, None, None, None, None, arrival)
     assert got == want
+
+
+def test_a_vehicle_without_a_place_is_passed_over(spark):
+    none, fix = (None,) * 8, (LAT, LON + STEP, 200.0, 5.0)
+    rows = [(1, -1, -1.0, "start", None, None, None, None, None, *journey()), (1, 0, 0.0, "next", None, None, None, None, None, *none)]
+    rows += [(1, 1, 5.0, "vehicle", None, None, None, None, None, *none), (1, 2, 6.0, "fix", *fix, None, *none), (1, 3, 7.0, "fix", math.inf, 0.0, 5.0, 1.0, None, *none)]
+    got = {r.event_id: r for r in trips.follow(spark.createDataFrame(rows, trips.EVENT)).collect()}
+    assert {e: (r.leg, r.finished, r.cue) for e, r in got.items()} == {0: (1, False, None), 2: (1, False, None), 3: (1, False, None)}
