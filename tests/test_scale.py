@@ -107,3 +107,20 @@ def test_riders_are_folded_without_a_frame_a_trip(spark):
 
     plan = trips.follow(spark.createDataFrame([], trips.EVENT))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_a_round_sends_its_few_questions_to_the_timetable(spark, monkeypatch):
+    """The timetable is neither shuffled nor written for them; where they are many, both sides are shuffled, with equal rows."""
+    from farwheel import queries_journeys as q
+    from farwheel.plans import planner
+
+    sf = "/root/testdata/sf0.001"
+    net = q.network(spark, sf)
+    assert "RDD" not in net.runs._jdf.queryExecution().optimizedPlan().toString()
+    labels = graph.cut(planner.seeds(q.requests(spark, sf), net.stops, 400.0))
+    ride = lambda: planner.ride(labels, net.pattern_stops, net.runs, net.stop_times)
+    few = ride()
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("Hint=(strategy=broadcast)") >= 4
+    monkeypatch.setattr(planner, "FEW", 0)
+    rows = lambda df: sorted((r.request, r.stop_id, r.arr, r.walk, str(r.legs)) for r in df.collect())
+    assert rows(few) and rows(few) == rows(ride())
