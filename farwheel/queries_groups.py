@@ -426,7 +426,9 @@ def pareto3(spark: SparkSession, sf: str) -> DataFrame:
 @query("TOP-08_earliest_trip", f"SELECT pattern_id, pos, arg_min(trip_id, (dep, trip_id)) AS trip_id, min(dep) AS dep FROM v_stop_times s WHERE dep >= {NOW} AND EXISTS (SELECT 1 FROM v_service_days d WHERE d.service_id = s.service_id AND d.day = DATE '{DAY}') GROUP BY ALL")
 def earliest_trip(spark: SparkSession, sf: str) -> DataFrame:
     s = timetable.service_runs(feed.stop_times(spark, sf).where(F.col("dep") >= NOW), feed.service_days(spark, sf), F.lit(DAY).cast("date"))
-    return s.groupBy("pattern_id", "pos").agg(F.min(F.struct("dep", "trip_id")).alias("x")).select("pattern_id", "pos", "x.trip_id", "x.dep")
+    # the least number first, then its trip: least structs over all rows would be sorted
+    first = s.groupBy("pattern_id", "pos").agg(F.min("dep").alias("dep"))
+    return s.join(F.broadcast(first), ["pattern_id", "pos", "dep"]).groupBy("pattern_id", "pos", "dep").agg(F.min("trip_id").alias("trip_id")).select("pattern_id", "pos", "trip_id", "dep")
 
 
 @query(

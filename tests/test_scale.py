@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
@@ -124,3 +125,19 @@ def test_a_round_sends_its_few_questions_to_the_timetable(spark, monkeypatch):
     monkeypatch.setattr(planner, "FEW", 0)
     rows = lambda df: sorted((r.request, r.stop_id, r.arr, r.walk, str(r.legs)) for r in df.collect())
     assert rows(few) and rows(few) == rows(ride())
+
+
+def test_services_are_sent_to_the_rows(spark):
+    """No shuffle by service, whose few values would each be a task, whatever the size check says."""
+    from farwheel.operators import timetable
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(1, "a"), (2, "b")], "trip_id long, service_id string")
+        days = spark.createDataFrame([("a", dt.date(2024, 1, 10))], "service_id string, day date")
+        on = timetable.service_runs(rows, days, F.lit("2024-01-10").cast("date"))
+        assert "hashpartitioning" not in on._jdf.queryExecution().executedPlan().toString()
+        assert [r.trip_id for r in on.collect()] == [1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
