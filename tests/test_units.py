@@ -201,3 +201,20 @@ def test_texts_of_places_and_alerts(spark):
     p = spark.createDataFrame([("Bar", "Via Po", "3", "Torino"), (None, "Via Po", None, "Torino"), (None, None, None, "Torino"), (None, None, "4", None)], "n string, s string, h string, c string")
     c = [F.col(x) for x in "nshc"]
     assert [tuple(r) for r in p.select(text.address_line(*c[1:]), text.place_name(*c)).collect()] == [("Via Po 3, Torino", "Bar"), ("Via Po, Torino", "Via Po"), ("Torino", "Torino"), ("", "?")]
+
+
+def test_reprice_on_a_faster_line(spark):
+    """A missed ride is boarded anew on whatever arrives first, though it leaves later; the timetable isn't copied for that."""
+    net = _network(spark, [8, 9])
+    st = net.stop_times
+    asks = spark.createDataFrame([(st.where("pos = 0").first()["stop_id"], st.orderBy(F.desc("pos")).first()["stop_id"], 8 * 3600 + 1)], "from_stop long, to_stop long, t int")
+    late = planner._earliest_arrivals(asks, net, 1).first()["run"]
+    assert late.trip2 == 11 and late.dep2 == 9 * 3600
+    # a run that leaves after the first and overtakes it
+    quick = st.where("trip_id = 11").withColumn("trip_id", F.lit(77).cast("long")).withColumn("dep", F.lit(9 * 3600 + 5) + F.col("pos")).withColumn("arr", F.lit(9 * 3600 + 5) + F.col("pos"))
+    both = st.unionByName(quick)
+    runs = net.runs.unionByName(quick.select("trip_id", "pattern_id", "pos", F.col("dep").cast("int").alias("dep"), F.lit(0).alias("offset")))
+    fast = planner._earliest_arrivals(asks, net._replace(stop_times=both, runs=runs), 1).first()["run"]
+    assert fast.trip2 == 77 and fast.dep2 == 9 * 3600 + 5
+    none = asks.withColumn("to_stop", F.lit(-5).cast("long"))
+    assert planner._earliest_arrivals(none, net, 1).count() == 0
