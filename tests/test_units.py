@@ -218,3 +218,14 @@ def test_reprice_on_a_faster_line(spark):
     assert fast.trip2 == 77 and fast.dep2 == 9 * 3600 + 5
     none = asks.withColumn("to_stop", F.lit(-5).cast("long"))
     assert planner._earliest_arrivals(none, net, 1).count() == 0
+
+
+def test_times_with_other_signs(spark):
+    """Plain texts take no pattern; others mean what they meant."""
+    told = {"8:00:05": 28805, "25:1": 90060, "8:00": 28800, "-1:00:00": 3600, "a8:0b0:09": 28809, "8::5": None, "8:00:": 28800, "8": None, "": None, ":": None, " 7:30 ": 27000, "+7:30:x": 27000, "1:2:3:4": 3723, None: None}
+    df = spark.createDataFrame([(k,) for k in told], "t string").select("t", times.parse_gtfs_time(F.col("t")).alias("s"))
+    assert {r.t: r.s for r in df.collect()} == told
+    plan = df.select(times.clock(F.lit(90061))).first()[0]
+    assert plan == "25:01:01"
+    whole = spark.range(5, 200000, 1234).select(F.col("id").cast("int").alias("id")).select("id", times.parse_gtfs_time(times.clock(F.col("id"))).alias("s"))
+    assert whole.where("id <> s or s is null").isEmpty()
