@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from farwheel import feed
 from farwheel.feed import table
-from farwheel.functions import geo, text
+from farwheel.functions import geo, text, times
 from farwheel.operators import timetable
 from farwheel.queries_groups import board
 from farwheel.queries_scalars import r3
@@ -17,7 +17,7 @@ from farwheel.sources import artefacts, gtfs, gtfs_rt, osm
 
 
 def _csv(rows: DataFrame, *columns: str) -> DataFrame:
-    cells = [F.concat(F.lit('"'), F.regexp_replace(F.col(c).cast("string"), '"', '""'), F.lit('"')) for c in columns]
+    cells = [F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns]
     return rows.select(F.concat_ws(",", *(F.coalesce(c, F.lit("")) for c in cells)).alias("line"))
 
 
@@ -49,8 +49,7 @@ def gtfs_calendar(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SRC-09_10_gtfs_stop_times", "SELECT CAST(trip_id AS VARCHAR) AS trip_id, seq, CAST(stop_id AS VARCHAR) AS stop_id, dep, CASE WHEN pos % 3 = 0 THEN dep ELSE arr END AS arr FROM v_stop_times")
 def gtfs_stop_times(spark: SparkSession, sf: str) -> DataFrame:
-    clock = lambda c: F.format_string("%d:%02d:%02d", F.floor(F.col(c) / 3600), F.floor(F.col(c) % 3600 / 60), F.col(c) % 60)
-    s = feed.stop_times(spark, sf).withColumn("d", clock("dep")).withColumn("a", F.when(F.col("pos") % 3 != 0, clock("arr")))
+    s = feed.stop_times(spark, sf).withColumn("d", times.clock(F.col("dep"))).withColumn("a", F.when(F.col("pos") % 3 != 0, times.clock(F.col("arr"))))
     names = ["trip_id", "stop_id", "stop_sequence", "arrival_time", "departure_time"]
     rows = gtfs.parse_lines(_csv(s, "trip_id", "stop_id", "seq", "a", "d"), names, names)
     trips = feed.trips(spark, sf).select(F.col("trip_id").cast("string").alias("trip_id"))

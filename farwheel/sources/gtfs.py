@@ -41,11 +41,12 @@ def read_member(spark: SparkSession, folder: str, member: str, columns: list[str
 
 
 def parse_lines(lines: DataFrame, header: list[str], wanted: list[str]) -> DataFrame:
-    """Rows of a DataFrame of csv lines (line) under a known header."""
+    """Rows of a DataFrame of csv lines (line) under a known header. They come of a generator: filters on them aren't pushed below it, where
+    each would read the line anew."""
     names = [h.strip().lstrip("﻿") for h in header]
     schema = ", ".join(f"`{n}` string" for n in names)
-    r = lines.select(F.from_csv("line", schema, {"quote": '"', "escape": '"'}).alias("r"))
-    return r.select(*((F.nullif(F.col(f"r.`{c}`"), F.lit("")) if c in names else F.lit(None).cast("string")).alias(c) for c in wanted))
+    r = lines.select(F.inline(F.array(F.from_csv("line", schema, {"quote": '"', "escape": '"'}))))
+    return r.select(*((F.nullif(F.col(f"`{c}`"), F.lit("")) if c in names else F.lit(None).cast("string")).alias(c) for c in wanted))
 
 
 def stops(rows: DataFrame) -> DataFrame:
@@ -80,10 +81,12 @@ def trips(rows: DataFrame, known_routes: DataFrame, services: DataFrame) -> Data
 
 def stop_times(rows: DataFrame, known_trips: DataFrame, known_stops: DataFrame) -> DataFrame:
     """(trip_id, seq, stop_id, dep, arr) of known trips and stops with a sequence and at least one time."""
-    x = rows.join(known_trips.select("trip_id"), "trip_id", "left_semi").join(known_stops.select("stop_id"), "stop_id", "left_semi")
-    dep, arr = times.parse_gtfs_time(F.col("departure_time")), times.parse_gtfs_time(F.col("arrival_time"))
-    x = x.select("trip_id", F.col("stop_sequence").try_cast("int").alias("seq"), "stop_id", F.coalesce(dep, arr).alias("dep"), F.coalesce(arr, dep).alias("arr"))
-    return x.where("seq is not null and dep is not null")
+    # told as numbers first: rows without a time don't travel, and the others are shorter
+    told = F.struct(times.parse_gtfs_time(F.col("departure_time")).alias("d"), times.parse_gtfs_time(F.col("arrival_time")).alias("a"))
+    x = rows.select("trip_id", F.col("stop_sequence").try_cast("int").alias("seq"), "stop_id", F.inline(F.array(told)))  # once, as in parse_lines
+    x = x.where("seq is not null and (d is not null or a is not null)").select("trip_id", "seq", "stop_id", F.coalesce("d", "a").alias("dep"), F.coalesce("a", "d").alias("arr"))
+    x = x.join(known_stops.select("stop_id"), "stop_id", "left_semi").join(known_trips.select("trip_id"), "trip_id", "left_semi")
+    return x.select("trip_id", "seq", "stop_id", "dep", "arr")
 
 
 def shapes(rows: DataFrame, needed: DataFrame) -> DataFrame:

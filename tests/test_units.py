@@ -229,3 +229,13 @@ def test_times_with_other_signs(spark):
     assert plan == "25:01:01"
     whole = spark.range(5, 200000, 1234).select(F.col("id").cast("int").alias("id")).select("id", times.parse_gtfs_time(times.clock(F.col("id"))).alias("s"))
     assert whole.where("id <> s or s is null").isEmpty()
+
+
+def test_lines_are_read_once(spark):
+    """What filters and joins ask of a line's cells doesn't read the line again."""
+    names = ["trip_id", "stop_id", "stop_sequence", "arrival_time", "departure_time"]
+    lines = spark.createDataFrame([('"1","a","3",,"8:00:01"',), ('"1","a","4",,',), ('"2","a","1","9:0:0",',), ('"1","b","x","9:0:0",',)], "line string")
+    known = spark.createDataFrame([("1", "a"), ("1", "b")], "trip_id string, stop_id string")
+    got = gtfs.stop_times(gtfs.parse_lines(lines, names, names), known.select("trip_id"), known.select("stop_id"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert [tuple(r) for r in got.collect()] == [("1", 3, "a", 28801, 28801)]
