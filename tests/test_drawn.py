@@ -52,3 +52,15 @@ def test_a_match_tells_what_later_stages_ask(spark):
     gaps = snapping.run_gaps(s["match"], s["drawn"], s["roads"])
     assert gaps.count() == len(runs) - len(of_line)
     assert "Generate" not in gaps._jdf.queryExecution().optimizedPlan().toString()  # no resampling
+
+
+def test_stops_are_placed_within_their_line(spark, monkeypatch):
+    """No pair of stop and segment is a row, and a long line is reckoned in parts; a line without a path or without stops gives none."""
+    shapes = q.tracks(spark, SF)
+    stops = q.riders_stops(shapes).where("line % 10 <> 3")
+    rows = lambda: sorted(map(tuple, snapping.placed(shapes.where("line % 10 <> 4"), stops).collect()))
+    monkeypatch.setattr(snapping, "near_segments", None)
+    whole = rows()
+    assert {r[0] % 10 for r in whole} == {0, 1, 2, 5, 6, 7, 8, 9}
+    monkeypatch.setattr(snapping, "PAIRS", 1)
+    assert rows() == whole
